@@ -36,4 +36,23 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_sharding, op9_url_filters)}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperweir.llm.pack import pack
+
+    return pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperweir.llm.simhash import near_duplicates
+
+    found = near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_sharding, op9_url_filters, op10_simhash)}
