@@ -36,6 +36,25 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def _scored(spark: SparkSession, sf_dir: str, operator) -> DataFrame:
+    from paperweir.llm.common import held_out
+
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    return operator.classify(docs, labels).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperweir.llm import quality
+
+    return _scored(spark, sf_dir, quality)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperweir.llm import toxicity
+
+    return _scored(spark, sf_dir, toxicity)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -55,4 +74,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_packing, op4_sharding, op9_url_filters, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_packing, op4_sharding, op8_toxicity, op9_url_filters, op10_simhash)}
