@@ -49,6 +49,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, quality)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperweir.llm import language
+    from paperweir.llm.common import held_out
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperweir.llm import toxicity
 
@@ -74,4 +83,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_packing, op4_sharding, op8_toxicity, op9_url_filters, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_packing, op4_sharding, op6_language, op8_toxicity, op9_url_filters, op10_simhash)}
