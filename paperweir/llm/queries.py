@@ -58,6 +58,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperweir.llm.topk import top_k
+
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperweir.llm import toxicity
 
@@ -83,4 +90,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_packing, op4_sharding, op6_language, op8_toxicity, op9_url_filters, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_packing, op4_sharding, op6_language, op7_top_k, op8_toxicity, op9_url_filters, op10_simhash)}
