@@ -49,6 +49,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, quality)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperweir.llm.suffix import repeated_spans
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeated_spans(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperweir.llm import language
     from paperweir.llm.common import held_out
@@ -90,4 +97,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_packing, op4_sharding, op6_language, op7_top_k, op8_toxicity, op9_url_filters, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_packing, op4_sharding, op5_suffix_dedup, op6_language, op7_top_k, op8_toxicity, op9_url_filters, op10_simhash)}
