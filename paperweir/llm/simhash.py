@@ -242,16 +242,17 @@ def links(fps: DataFrame, fp: str = "fp", radius: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most 3 differing bits.
+    """(doc_id, fp, component_id, text_hash): component_id is the smallest doc_id reachable over links of at most 3 differing bits.
 
     Equal fingerprints are one node, so copies are never paired. Texts without words share the fingerprint zero and link like
     any other. Null texts are empty; a null doc_id takes part, but is nobody's smallest unless no other is there; repeated
     rows stay repeated. Other columns are not looked at.
     """
-    marked = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", k).select("doc_id", "fp"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+    marked = cut(with_fingerprint(rows, "text", k).select("doc_id", "fp", "text_hash"))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(nodes))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "text_hash")
