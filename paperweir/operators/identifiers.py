@@ -76,12 +76,13 @@ def candidates(pages: DataFrame, categories: Iterable[str] | None = None, text:
     return pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text)).mapInArrow(run, schema)
 
 
-def validated(found: DataFrame, as_of: str = "2026-01-01") -> DataFrame:
-    """Candidates that pass all checks of their category, with the names of those passed."""
+def validated(found: DataFrame, as_of: str = "2026-01-01", categories: Iterable[str] | None = None) -> DataFrame:
+    """Candidates that pass all checks of their category, with the names of those passed. Checks of categories that were not
+    asked for stay out of the plan."""
     passed = F.array().cast("array<string>")
     by_rule: dict[tuple[str, ...], list[str]] = {}
     for c in CATEGORIES:
-        if c.validators:
+        if c.validators and (categories is None or c.id in categories):
             by_rule.setdefault(tuple(c.validators), []).append(c.id)
     for rules, ids in by_rule.items():
         ok = reduce(lambda a, b: a & b, [VALIDATORS[r](F.col("value"), as_of) if r == "plausible_dob" else VALIDATORS[r](F.col("value")) for r in rules])
@@ -124,7 +125,8 @@ def scan(pages: DataFrame, page: list[str], categories: Iterable[str] | None = N
     """Matches of pages keyed by `page` columns: category, label, severity, line, column, length, masked, revealed, evidence,
     confidence, validators_passed and term. Pages with a null or blank text have none (see unreadable)."""
     rows = pages.select(*page, F.col(text).alias("text")).where(F.rlike(F.col("text"), F.lit("(?U)\\S")))
-    found = validated(candidates(rows, categories, "text"), as_of)
+    categories = None if categories is None else list(categories)
+    found = validated(candidates(rows, categories, "text"), as_of, categories)
     found = resolved(found.where((F.col("confidence").isNull()) | (F.col("confidence") >= min_confidence)), page)
     shown = F.when(F.lit(reveal) & ~F.col("category").isin(NEVER_REVEAL), X.squeeze(F.col("value")))
     return found.select(

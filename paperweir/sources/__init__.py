@@ -1 +1 @@
-
+"""Sources: tables as pages, files as documents."""
