@@ -124,13 +124,14 @@ def _lookup(field: str) -> Column:
 def scan(pages: DataFrame, page: list[str], categories: Iterable[str] | None = None, text: str = "text", reveal: bool = False, min_confidence: float = 0.0, as_of: str = "2026-01-01", tail: int = 4) -> DataFrame:
     """Matches of pages keyed by `page` columns: category, label, severity, line, column, length, masked, revealed, evidence,
     confidence, validators_passed and term. Pages with a null or blank text have none (see unreadable)."""
-    rows = pages.select(*page, F.col(text).alias("text")).where(F.rlike(F.col("text"), F.lit("(?U)\\S")))
+    # The keys travel as one struct, so that none of their names can clash with those of matches.
+    rows = pages.select(F.struct(*page).alias("__page"), F.col(text).alias("text")).where(F.rlike(F.col("text"), F.lit("(?U)\\S")))
     categories = None if categories is None else list(categories)
     found = validated(candidates(rows, categories, "text"), as_of, categories)
-    found = resolved(found.where((F.col("confidence").isNull()) | (F.col("confidence") >= min_confidence)), page)
+    found = resolved(found.where((F.col("confidence").isNull()) | (F.col("confidence") >= min_confidence)), ["__page"])
     shown = F.when(F.lit(reveal) & ~F.col("category").isin(NEVER_REVEAL), X.squeeze(F.col("value")))
     return found.select(
-        *page, "category", _lookup("label").alias("label"), _lookup("severity").alias("severity"), "line", "column", F.length("value").alias("length"),
+        "__page.*", "category", _lookup("label").alias("label"), _lookup("severity").alias("severity"), "line", "column", F.length("value").alias("length"),
         X.mask(F.col("value"), tail).alias("masked"), shown.alias("revealed"), evidence(F.col("validators_passed"), F.col("term")).alias("evidence"),
         "confidence", "validators_passed", F.col("term").alias("context_term"),
     )

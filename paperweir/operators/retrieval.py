@@ -9,10 +9,13 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperweir.functions import text as X
 
 K1, B, FUZZY, MAX_WORDS = 1.5, 0.75, 0.9, 6000
+#: Facts of one or two words that are looked for at most.
+SHORT_FACTS = 10_000
 _KEY = ["document", "idx"]
 
 
@@ -45,19 +48,21 @@ def plain(text):
 
 
 def exact_facts(pages: DataFrame, facts: DataFrame) -> DataFrame:
-    """(fact, document, page): the first page of each document that holds the fact word for word. Facts meet only pages that
-    hold their rarest three words in a row, an equi-join; the containment is then tested."""
+    """(fact, document, page): the first page of each document that holds the fact word for word. Facts meet pages on their
+    longest inner word, an equi-join; the containment is then tested."""
     p = pages.select("document", "page", plain(F.col("text")).alias("t"))
     f = facts.select("fact", plain(F.col("fact")).alias("f")).where("f <> ''").distinct()
-    grams = F.split("f", " ")
-    long = f.where(F.size(grams) >= 5).withColumn("key", F.array_join(F.slice(F.split("f", " "), 2, 3), " "))
-    w = F.split(F.col("t"), " ")
-    keys = p.select("document", "page", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))).alias("key"))
-    near = keys.join(long, "key").select("document", "page", "fact", "f").distinct().join(p, ["document", "page"])
-    # Facts of few words have no inner words to meet on: they are few letters, and tested against every page.
-    short = p.join(F.broadcast(f.where(F.size(grams) < 5).limit(100_000)), F.contains(F.col("t"), F.col("f")))
-    hit = near.where(F.contains("t", F.col("f"))).select("fact", "document", "page").union(short.select("fact", "document", "page"))
-    return hit.groupBy("fact", "document").agg(F.min("page").alias("page"))
+    inner = F.slice(F.split("f", " "), 2, F.greatest(F.size(F.split("f", " ")) - 2, F.lit(0)))
+    f = f.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    keys = p.select("document", "page", F.explode(F.array_distinct(F.split("t", " "))).alias("key"))
+    keys = keys.join(f.where("key is not null"), "key").select("document", "page", "fact", "f")
+    hit = keys.join(p, ["document", "page"]).where(F.contains("t", F.col("f"))).select("fact", "document", "page")
+    # Facts of one or two words have no inner word: every page is tested for them. They are few, or the join is refused.
+    short = f.where("key is null").select("fact", "f")
+    if short.limit(SHORT_FACTS + 1).count() > SHORT_FACTS:
+        raise ValueError(f"more than {SHORT_FACTS} facts of one or two words")
+    few = p.join(F.broadcast(short), F.contains(F.col("t"), F.col("f"))).select("fact", "document", "page")  # SHORT_FACTS rows at most
+    return hit.union(few).groupBy("fact", "document").agg(F.min("page").alias("page"))
 
 
 _INVISIBLE = re.compile("[\U000e0000-\U000e007f​‌‍⁠﻿᠎‪-‮⁦-⁩]")
@@ -152,7 +157,7 @@ def reading_similarity(pairs: DataFrame) -> DataFrame:
             score = pa.array([similarity(x or "", y or "") for x, y in zip(a, b)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*kept, "similarity"])
 
-    return pairs.mapInArrow(run, pairs.schema.add("similarity", "double"))
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("similarity", T.DoubleType())]))
 
 
 def segments(pairs: DataFrame) -> DataFrame:
