@@ -36,8 +36,21 @@ def discover(spark: SparkSession, root: str, recurse: bool = True) -> tuple[Data
     known = F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv])
     rows = base.withColumns({"ext": F.when(F.contains(name, F.lit(".")), ext).otherwise(""), "format": F.try_element_at(known, ext)})
     files = rows.where("length > 0 and format is not null").select("path", "ext", "format", "length", F.sha2("content", 256).alias("sha256")).orderBy("path")
-    skipped = rows.where("length = 0 or format is null").select("path", F.when(F.col("format").isNull(), "unsupported file type").otherwise("file is empty").alias("reason"))
-    return files, skipped
+    skipped = rows.where("format is null").select("path", F.lit("unsupported file type").alias("reason"))
+    empty = spark.createDataFrame([(p, "file is empty") for p in _empty_files(spark, root, recurse)], "path string, reason string")
+    return files, skipped.unionByName(empty)
+
+
+def _empty_files(spark: SparkSession, root: str, recurse: bool) -> list[str]:
+    """Spark's file sources pass over empty files, so the listing is asked for them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, listed = [], path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, recurse)
+    while listed.hasNext():
+        f = listed.next()
+        name = f.getPath().getName()
+        if f.getLen() == 0 and name not in IGNORED and not name.startswith("."):
+            found.append(f.getPath().toString())
+    return sorted(found)
 
 
 def decode(data: bytes) -> tuple[str, str | None]:
