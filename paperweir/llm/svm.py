@@ -58,17 +58,32 @@ def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     """a, b of sigmoid(a m + b) by Newton steps on the weighted log loss with smoothed targets."""
     pos, neg = weight[y > 0].sum(), weight[y <= 0].sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, float(np.log((pos + 1) / (neg + 1)))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -35, 35)))
+
+    def loss(v):
+        z = v[0] * margin + v[1]
+        return (weight * (np.logaddexp(0, z) - t * z)).sum() + 5e-4 * (v[0] - 1) ** 2
+
+    v = np.array([1.0, float(np.log((pos + 1) / (neg + 1)))])
+    now = loss(v)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(v[0] * margin + v[1], -35, 35)))
         d, h = weight * (p - t), weight * np.maximum(p * (1 - p), 1e-9)
-        g = np.array([(d * margin).sum() + 1e-3 * (a - 1), d.sum()])
+        g = np.array([(d * margin).sum() + 1e-3 * (v[0] - 1), d.sum()])
         hess = np.array([[(h * margin**2).sum() + 1e-3, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-9]])
         step = np.linalg.solve(hess, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-7:
+        # Full steps overshoot where classes lie apart: they are halved until the loss falls.
+        for _ in range(40):
+            new = loss(v - step)
+            if new <= now:
+                break
+            step = step / 2
+        else:
+            break
+        v, done = v - step, now - new < 1e-9 * max(1.0, now)
+        now = new
+        if done:
             break
-    return float(a), float(b)
+    return float(v[0]), float(v[1])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -18,6 +18,8 @@ from paperweir.llm.svm import calibrate, fit_hinge, labelled_sample, sigmoid
 MOST, LANDMARKS, DECAY, LONGEST = 1500, 24, 0.6, 16
 #: Log-likelihood ratio that a word needs to be a landmark of toxic text.
 LEAST_RATIO = 10.0
+#: Share of the third best word's ratio that it needs besides.
+LEAST_SHARE = 0.17
 
 # Letters 1 to 26; look-alike digits and signs count as their letter; bytes of other characters share 27 to 31.
 _LETTER = np.zeros(256, np.uint8)
@@ -167,7 +169,7 @@ def _distinct(table: pa.Table) -> pa.Table:
         own = {hash(p) for p in text.replace("\n", ". ").split(". ") if len(p) > 20}
         keep.append(len(own & seen) * 2 <= len(own))
         seen |= own
-    return table.filter(pa.array(keep))
+    return table.filter(pa.array(keep, pa.bool_()))
 
 
 def _landmarks(data, offsets, y, each):
@@ -188,7 +190,8 @@ def _landmarks(data, offsets, y, each):
     g = np.where(toxic * n0 > other * n1, g, 0.0)
     size = b[first] - a[first]
     fit = (size >= 3) & (size <= LONGEST)
-    least = max(LEAST_RATIO, 0.2 * g[fit].max(initial=0.0))
+    # Measured against the third best, so that one word that all toxic rows happen to share does not set the bar.
+    least = max(LEAST_RATIO, LEAST_SHARE * float(np.sort(np.append(g[fit], [0.0] * 3))[-3]))
     bad = [i for i in np.argsort(-g, kind="stable") if fit[i] and g[i] >= least][:each]
     taken = set(bad)
     good = [i for i in np.argsort(-other) if fit[i] and size[i] >= 4 and i not in taken][:each]
