@@ -226,7 +226,7 @@ ORACLES = {
     "question_status": f"WITH {_STATUS} SELECT question, fact, status, coalesce(rank, 0) AS rank FROM st",
     "bm25_hit_rate": f"WITH {_STATUS} SELECT round_even(avg((status = 'retrieved')::INT), 4) AS hit_rate, round_even(avg(CASE WHEN status = 'retrieved' THEN 1 / rank ELSE 0 END), 4) AS mean_reciprocal_rank FROM st",
     "fact_exact": f"WITH {_DOCS} SELECT b.text AS fact, d.document, 1 AS page FROM benchmark b JOIN d ON contains({_plain('d.text')}, {_plain('b.text')}) GROUP BY ALL",
-    "reading_similarity": values([("a", 1.0), ("b", 0.75), ("c", 0.0), ("d", 0.5714)], "key, similarity"),
+    "reading_similarity": "SELECT key, s::DOUBLE AS similarity FROM (" + values([("a", 1.0), ("b", 0.75), ("c", 0.0), ("d", 0.5714)], "key, s") + ")",
     "hidden_unicode": f"WITH {_SMUGGLED} SELECT * FROM sm",
     "instruction_patterns": f"WITH p AS ({SQL_PAGES}), s AS (SELECT document, page, regexp_replace(text, '{_INV}', '', 'g') AS t FROM p) SELECT * FROM ({_COUNT}) WHERE matches > 0",
     "severity_matrix": values([(v, i, "high" if v in ("confirmed", "suspected") and (i in ("confirmed", "pattern") or (i == "model" and v == "confirmed")) else "medium" if v in ("confirmed", "suspected") or i == "confirmed" else "low") for v, i in _KINDS], "visibility, instruction, severity"),
