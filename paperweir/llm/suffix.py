@@ -86,60 +86,70 @@ def _context_rows(found: DataFrame, width: int) -> DataFrame:
 
     A hot anchor's runs are cut into parts of PART windows, keyed also by the bytes that all of a part's windows share."""
 
+    def split_hot(text, s, w, place, key, hot):
+        cold = ~hot
+        a = (s + place)[hot]
+        # Window s of anchor a is number a - s; parts hold PART numbers each.
+        high, low = place[hot] // PART, (place[hot] - w[hot] + 1) // PART
+        parts = high - low + 1
+        j = np.repeat(np.arange(len(a)), parts)
+        part = low[j] + np.arange(len(j)) - np.repeat(np.cumsum(parts) - parts, parts)
+        most = np.minimum(part * PART + PART - 1, place[hot][j])
+        least = np.maximum(part * PART, (place[hot] - w[hot] + 1)[j])
+        shared = K.hashes(text, a[j] - part * PART, a[j] - (part * PART + PART - 1) + width)
+        rows = ((s[cold], a[j] - most), (w[cold], most - least + 1), (key[cold], K.mix(key[hot][j] + part.astype(U)) ^ shared))
+        return [np.concatenate(x) for x in rows]
+
+    def packed(rows):
+        """rows: (t, n, s, w, key, c, contexts, text) of some texts."""
+        size = [len(r[2]) + 1 for r in rows]
+        own = np.zeros(sum(size), bool)
+        own[np.cumsum(size) - 1] = True
+
+        def join(i, kind, last=0):
+            return np.concatenate([np.append(r[i], last) for r in rows]).astype(kind)
+
+        arrays = [
+            pa.array(join(4, U).view(np.int64), mask=own), pa.array(join(5, U).view(np.int64)), pa.array(np.repeat([r[0] for r in rows], size)),
+            pa.array(np.repeat(np.array([r[1] for r in rows], np.int32), size)), pa.array(join(2, np.int64)), pa.array(join(3, np.int32)),
+            pa.array([x for r in rows for x in (*r[6], r[7])], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=["key", "c", "t", "n", "s", "w", "ctx"])
+
     def run(batches):
         known_texts: set[tuple[int, int]] = set()
-        once, twice = np.zeros(0, U), np.zeros(0, U)
+        sent: dict[int, int] = {}
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             own = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            runs = batch.column(3)
+            runs, at = batch.column(3), batch.column(3).offsets.to_numpy()
+            fields = [runs.values.field(j).to_numpy(zero_copy_only=False) for j in range(3)]
+            rows, held = [], 0
             for i, mark in enumerate(own):
                 if mark in known_texts:
                     continue
                 known_texts.add(mark)
                 text = data[offsets[i] : offsets[i + 1]]
-                r = runs[i].values
-                h, p, hot = (r.field(j).to_numpy(zero_copy_only=False) for j in range(3))
-                s, w, place = p >> 16, (p >> 8) & 255, p & 255
-                key = h.view(U).copy()
+                h, p, hot = (f[at[i] : at[i + 1]] for f in fields)
+                s, w, place, key = p >> 16, (p >> 8) & 255, p & 255, h.view(U)
                 if hot.any():
-                    cold = ~hot
-                    rows = [(s[cold], w[cold], key[cold])]
-                    a = (s + place)[hot]
-                    # Window s of anchor a is number a - s; parts hold PART numbers each.
-                    high, low = place[hot] // PART, (place[hot] - w[hot] + 1) // PART
-                    parts = high - low + 1
-                    j = np.repeat(np.arange(len(a)), parts)
-                    part = low[j] + np.arange(len(j)) - np.repeat(np.cumsum(parts) - parts, parts)
-                    most = np.minimum(part * PART + PART - 1, place[hot][j])
-                    least = np.maximum(part * PART, (place[hot] - w[hot] + 1)[j])
-                    shared_from, shared_to = a[j] - part * PART, a[j] - (part * PART + PART - 1) + width
-                    shared = K.hashes(text, shared_from, shared_to)
-                    rows.append((a[j] - most, most - least + 1, K.mix(key[hot][j] + part.astype(U)) ^ shared))
-                    s, w, key = (np.concatenate([x[k] for x in rows]) for k in range(3))
+                    s, w, key = split_hot(text, s, w, place, key, hot)
                 c = K.hashes(text, s, s + w + width - 1)
-                both = K.mix(key ^ (c * U(3)))
-                fresh = ~np.isin(both, twice)
-                seen = np.isin(both, once)
-                u, first = np.unique(both, return_index=True)
-                lead = np.zeros(len(both), bool)
-                lead[first] = True
-                send = fresh & (lead | ~seen)
-                twice = np.union1d(twice, both[fresh & (seen | ~lead)])
-                once = np.union1d(once, u)
-                raw = text.tobytes()
-                ctx = [raw[a : a + b + width - 1] if x else None for a, b, x in zip(s.tolist(), w.tolist(), send.tolist())]
-                k = len(s)
-                arrays = [
-                    pa.array(np.append(key.view(np.int64), 0), mask=np.append(np.zeros(k, bool), True)),
-                    pa.array(np.append(c.view(np.int64), 0)),
-                    pa.array(np.full(k + 1, mark[0])),
-                    pa.array(np.full(k + 1, mark[1], np.int32)),
-                    pa.array(np.append(s, 0)),
-                    pa.array(np.append(w, 0).astype(np.int32)),
-                    pa.array([*ctx, raw], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "c", "t", "n", "s", "w", "ctx"])
+                raw, contexts = text.tobytes(), []
+                for b, x, y in zip(K.mix(key ^ (c * U(3))).tolist(), s.tolist(), (s + w + width - 1).tolist()):
+                    n = sent.get(b, 0)
+                    if n < 2:
+                        sent[b] = n + 1
+                        contexts.append(raw[x:y])
+                    else:
+                        contexts.append(None)
+                rows.append((*mark, s, w, key, c, contexts, raw))
+                held += len(raw) * 4
+                if held > 8 << 20:
+                    yield packed(rows)
+                    rows, held = [], 0
+            if rows:
+                yield packed(rows)
 
     return found.mapInArrow(run, _CONTEXT)
 
