@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -43,6 +45,14 @@ def release(spark: SparkSession, scope: str = "query") -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: shuffle files of plans that ended go from the executors' disks then, not later."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def held_out(doc_id: str | Column) -> Column:
     """Rows whose crc32 of the id's text leaves 2 on division by 4 are never learned from. A null id is not held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

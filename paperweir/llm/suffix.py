@@ -9,6 +9,7 @@ order, and neighbours that share `width` bytes are repeats.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperweir.llm import tokens as K
-from paperweir.llm.common import cut, lists, steps, text_bytes
+from paperweir.llm.common import cut, forget, lists, release, steps, text_bytes
 from paperweir.llm.induced import suffix_order
 
 U = K.U
@@ -287,12 +288,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", width: int = 200, kept:
     marked = base.withColumn("__t", F.xxhash64("__text")).withColumn("__n", F.octet_length("__text"))
     texts = marked.select(F.col("__t").alias("t"), F.col("__n").alias("n"), F.col("__text").alias("text"))
     long = texts.where(F.col("n") >= width)
-    rows = cut(_anchor_rows(long, width), scope)
+    spark, passing = docs.sparkSession, f"anchors-{uuid.uuid4().hex}"
+    rows = cut(_anchor_rows(long, width), passing)
     mark = F.xxhash64("t", "n", "p")
     twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b")
     again = rows.join(twice.select("h", (F.col("times") >= HOT).alias("hot")), "h")
-    runs = again.groupBy("t", "n").agg(F.collect_set(F.struct("h", "p", "hot")).alias("runs"))
+    # Each step's input and shuffle files go before the next one's come: the texts' shuffle is the largest.
+    between = f"runs-{uuid.uuid4().hex}"
+    runs = cut(again.groupBy("t", "n").agg(F.collect_set(F.struct("h", "p", "hot")).alias("runs")), between)
+    release(spark, passing)
+    forget(spark)
     contexts = cut(_context_rows(long.join(runs, ["t", "n"]).select("t", "n", "text", "runs"), width), scope)
+    release(spark, between)
+    forget(spark)
     sent = contexts.where("key is not null and ctx is not null").repartition("key").sortWithinPartitions("key", "c")
     repeats = _repeats(sent, width)
     places = contexts.where("key is not null").select("key", "c", "t", "n", "s")
