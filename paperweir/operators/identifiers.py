@@ -88,7 +88,8 @@ def validated(found: DataFrame, as_of: str = "2026-01-01", categories: Iterable[
         ok = reduce(lambda a, b: a & b, [VALIDATORS[r](F.col("value"), as_of) if r == "plausible_dob" else VALIDATORS[r](F.col("value")) for r in rules])
         names = F.array(*[F.lit(r) for r in rules])
         passed = F.when(F.col("category").isin(ids), F.when(ok, names)).otherwise(passed)
-    return found.withColumn("validators_passed", passed).where("validators_passed is not null")
+    # Through a generator, so that the filter tests the outcome instead of holding a second copy of all checks.
+    return found.select("*", F.explode_outer(F.array(passed)).alias("validators_passed")).where("validators_passed is not null")
 
 
 def resolved(found: DataFrame, page: list[str]) -> DataFrame:
