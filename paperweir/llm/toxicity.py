@@ -15,11 +15,13 @@ from paperweir.llm.common import map_text, steps, text_bytes
 from paperweir.llm.svm import calibrate, fit_hinge, labelled_sample, sigmoid
 
 #: Labelled rows of each class, landmarks of each kind, decay per spanned character, and longest string compared whole.
-MOST, LANDMARKS, DECAY, LONGEST = 1500, 24, 0.6, 16
-#: Log-likelihood ratio that a word needs to be a landmark of toxic text.
-LEAST_RATIO = 10.0
-#: Share of the third best word's ratio that it needs besides.
-LEAST_SHARE = 0.17
+MOST, LANDMARKS, DECAY, LONGEST = 1500, 32, 0.6, 16
+#: Log-likelihood ratio of a candidate's own documents, and the most candidates.
+LEAST_RATIO, CANDIDATES = 10.0, 192
+#: Kernel value from which two words count as forms of one.
+ALIKE = 0.6
+#: Letters of the shortest beginning that words may share to be forms of one.
+STEM = 5
 
 # Letters 1 to 26; look-alike digits and signs count as their letter; bytes of other characters share 27 to 31.
 _LETTER = np.zeros(256, np.uint8)
@@ -151,13 +153,25 @@ class Kernel:
 
     def sentences(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per sentence the highest value of its words for each landmark, and the sentence's row."""
+        return self.documents(data, offsets, np.zeros(0))[:2]
+
+    def documents(self, data: np.ndarray, offsets: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What sentences() says, and of each row the summed weight of words that are forms of the first landmarks, as many as
+        there are weights, and the number of all words."""
         flat, a, b, sentence, owner = split(data, offsets)
         out = np.zeros((len(owner), self.m), np.float32)
+        count = np.zeros((len(offsets) - 1, 2))
         if len(a):
             values, back = self.words(flat, a, b)
             lead = np.flatnonzero(np.concatenate(([True], np.diff(sentence) > 0)))
             out[sentence[lead]] = np.maximum.reduceat(values[back], lead, axis=0)
-        return out, owner
+            row = owner[sentence]
+            count[:, 1] = np.bincount(row, minlength=len(count))
+            if len(weight):
+                near = values[:, : len(weight)].argmax(1)
+                worth = np.where(values[np.arange(len(values)), near] >= ALIKE, weight[near], 0.0)
+                count[:, 0] = np.bincount(row, weights=worth[back], minlength=len(count))
+        return out, owner, count
 
 
 def _distinct(table: pa.Table) -> pa.Table:
@@ -172,56 +186,129 @@ def _distinct(table: pa.Table) -> pa.Table:
     return table.filter(pa.array(keep, pa.bool_()))
 
 
+def _ratio(toxic: np.ndarray, other: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log-likelihood ratio of documents by class: it needs frequency and contrast, so that chance finds stay low."""
+    share = (toxic + other) / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.nan_to_num(toxic * np.log(toxic / (n1 * share))) + np.nan_to_num(other * np.log(other / (n0 * share))))
+        g += 2 * (np.nan_to_num((n1 - toxic) * np.log((n1 - toxic) / (n1 * (1 - share)))) + np.nan_to_num((n0 - other) * np.log((n0 - other) / (n0 * (1 - share)))))
+    return np.where(toxic * n0 > other * n1, g, 0.0)
+
+
+def _joined(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of words end to end, and where each starts and ends."""
+    ends = np.cumsum([len(z) for z in words])
+    return np.concatenate(words), ends - [len(z) for z in words], ends
+
+
+def _stems(flat, a, b, pair, bad_row, most: int) -> list[np.ndarray]:
+    """The best of the beginnings, STEM letters and a few more, that toxic rows hold more often than chance: an insult whose
+    every form is rare has a frequent stem."""
+    n1, n0 = max(bad_row.sum(), 1), max((~bad_row).sum(), 1)
+    found = []
+    for n in range(STEM, STEM + 4):
+        long = np.flatnonzero((b - a > n) & (b - a <= LONGEST))
+        if not len(long):
+            continue
+        _, lead, at = np.unique(K.hashes(flat, a[long], a[long] + n), return_index=True, return_inverse=True)
+        of = np.full(len(a), -1)
+        of[long] = at
+        own = np.stack((pair[:, 0], of[pair[:, 1]]), 1)
+        own = np.unique(own[own[:, 1] >= 0], axis=0)
+        toxic = np.bincount(own[:, 1], weights=bad_row[own[:, 0]], minlength=len(lead))
+        g = _ratio(toxic, np.bincount(own[:, 1], minlength=len(lead)) - toxic, n1, n0)
+        best = np.argsort(-g, kind="stable")[:most]
+        found += [(-g[i], n, flat[a[long[lead[i]]] : a[long[lead[i]]] + n]) for i in best if g[i] >= LEAST_RATIO]
+    return [z for _, _, z in sorted(found, key=lambda f: f[:2])[:most]]
+
+
+def _like(landmarks: list[np.ndarray], flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each word is a form of each landmark."""
+    kernel = Kernel(landmarks)
+    return np.concatenate([kernel.of(flat, a[lo : lo + 20_000], b[lo : lo + 20_000]) >= ALIKE for lo in range(0, len(a), 20_000)])
+
+
 def _landmarks(data, offsets, y, each):
-    """Words that toxic rows hold more often than chance, and frequent words of the others."""
+    """Words that toxic rows hold more often than chance, and frequent words of the others; and the former's log odds.
+
+    A word is measured with all its forms, words of like kernel, so that an inflected insult counts whole; words like one that
+    is taken are skipped. The bar is what chance reaches among so many words, not a share of the best: a language with few
+    labelled rows need not keep up with one that has many."""
     flat, a, b, sentence, owner = split(data, offsets)
     h = K.hashes(flat, a, b)
     row = owner[sentence] if len(a) else np.zeros(0, np.int64)
     keys, first, back = np.unique(h, return_index=True, return_inverse=True)
     pair = np.unique(np.stack((row, back), 1), axis=0)
-    toxic = np.bincount(pair[:, 1], weights=(y > 0)[pair[:, 0]], minlength=len(keys))
-    other = np.bincount(pair[:, 1], weights=(y <= 0)[pair[:, 0]], minlength=len(keys))
-    n1, n0 = max((y > 0).sum(), 1), max((y <= 0).sum(), 1)
-    # Log-likelihood ratio of each word's documents by class: it needs frequency and contrast, so that chance finds stay low.
-    share = (toxic + other) / (n1 + n0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.nan_to_num(toxic * np.log(toxic / (n1 * share))) + np.nan_to_num(other * np.log(other / (n0 * share))))
-        g += 2 * (np.nan_to_num((n1 - toxic) * np.log((n1 - toxic) / (n1 * (1 - share)))) + np.nan_to_num((n0 - other) * np.log((n0 - other) / (n0 * (1 - share)))))
-    g = np.where(toxic * n0 > other * n1, g, 0.0)
+    bad_row = y > 0
+    toxic = np.bincount(pair[:, 1], weights=bad_row[pair[:, 0]], minlength=len(keys))
+    other = np.bincount(pair[:, 1], weights=~bad_row[pair[:, 0]], minlength=len(keys))
+    n1, n0 = max(bad_row.sum(), 1), max((~bad_row).sum(), 1)
+    g = _ratio(toxic, other, n1, n0)
     size = b[first] - a[first]
     fit = (size >= 3) & (size <= LONGEST)
-    # Measured against the third best, so that one word that all toxic rows happen to share does not set the bar.
-    least = max(LEAST_RATIO, LEAST_SHARE * float(np.sort(np.append(g[fit], [0.0] * 3))[-3]))
-    bad = [i for i in np.argsort(-g, kind="stable") if fit[i] and g[i] >= least][:each]
-    taken = set(bad)
-    good = [i for i in np.argsort(-other) if fit[i] and size[i] >= 4 and i not in taken][:each]
-    return [flat[a[first[i]] : b[first[i]]] for i in bad + good], len(bad)
+    word = lambda i: flat[a[first[i]] : b[first[i]]]
+    best = [i for i in np.argsort(-g, kind="stable") if fit[i] and g[i] >= LEAST_RATIO][:CANDIDATES]
+    found = [word(i) for i in best]
+    known = {z.tobytes() for z in found}
+    found += [z for z in _stems(flat, a[first], b[first], pair, bad_row, CANDIDATES // 2) if z.tobytes() not in known]
+    bad: list[int] = []
+    if found:
+        like = _like(found, flat, a[first], b[first])
+        among = _like(found, *_joined(found))
+        rows = np.zeros((len(y), len(found)), bool)
+        for j in range(len(found)):
+            rows[pair[like[pair[:, 1], j], 0], j] = True
+        least = max(LEAST_RATIO, 2 * float(np.log(len(keys))))
+        spent, left = np.zeros(len(found), bool), np.ones(len(y), bool)
+        for _ in range(2):  # over all rows, then over those that what is taken leaves unexplained
+            while len(bad) < each:
+                one, none = rows[bad_row & left], rows[~bad_row & left]
+                pooled = np.where(spent, 0.0, _ratio(one.sum(0), none.sum(0), max(len(one), 1), max(len(none), 1)))
+                j = int(np.argmax(pooled))
+                if pooled[j] < least:
+                    break
+                spent |= among[:, j]
+                spent[j] = True
+                bad.append(j)
+            forms = like[:, bad].any(1)
+            left = np.bincount(pair[forms[pair[:, 1]], 0], minlength=len(y)) < 2  # a single form may stand by chance
+    good = [i for i in np.argsort(-other) if fit[i] and size[i] >= 4 and not any(np.array_equal(word(i), found[j]) for j in bad)][:24]
+    one, none = (rows[bad_row][:, bad].sum(0), rows[~bad_row][:, bad].sum(0)) if bad else (np.zeros(0), np.zeros(0))
+    return [found[j] for j in bad] + [word(i) for i in good], np.maximum(np.log((one + 0.5) / (n1 + 1)) - np.log((none + 0.5) / (n0 + 1)), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST, doc_id: str = "doc_id", text: str = "text", each: int = LANDMARKS) -> dict:
     """Landmarks, their weights, bias and calibration. Labels are of documents: of a toxic one, the sentence that scores
-    highest is taken as toxic; fitting and choosing alternate."""
+    highest is taken as toxic; fitting and choosing alternate. A document's score weighs its worst sentence with how many of
+    its words are forms of telling ones: in long texts one of them stands by chance, two or three in a short one do not."""
     sample, sizes = labelled_sample(docs, labels, label, most, doc_id, text)
-    table = sample.select("d", "text", "y").toArrow().sort_by("d")
+    return learn(sample.select("d", "text", "y").toArrow().sort_by("d"), sizes, each)
+
+
+def learn(table: pa.Table, sizes: dict[int, int], each: int = LANDMARKS) -> dict:
+    """fit() on rows (text, y) and the classes' sizes."""
     table = _distinct(table)
     y = table.column("y").to_numpy() * 2.0 - 1
     total = sizes.get(0, 0) + sizes.get(1, 0)
     prior = (sizes.get(1, 0) + 1) / (total + 2)
-    blank = {"landmarks": [np.array([1, 2, 3], np.uint8)], "u": np.zeros(1), "bias": 0.0, "a": 0.0, "b": float(np.log(prior / (1 - prior)))}
+    blank = {"landmarks": [np.array([1, 2, 3], np.uint8)], "odds": np.zeros(0), "u": np.zeros(1), "v": np.zeros(4), "a": 0.0, "b": float(np.log(prior / (1 - prior)))}
     if len(y) == 0 or len(set(y.tolist())) < 2:
         return blank
     data, offsets = text_bytes(table.column("text"))
-    landmarks, n_bad = _landmarks(data, offsets, y, each)
+    landmarks, odds = _landmarks(data, offsets, y, each)
+    n_bad = len(odds)
     if n_bad == 0:
         return blank
     kernel = Kernel(landmarks)
-    parts = [(kernel.sentences(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), lo) for lo, hi in steps(offsets)]
-    x = np.concatenate([p[0] for p, _ in parts]).astype(float)
+    parts = [(kernel.documents(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], odds), lo) for lo, hi in steps(offsets)]
+    x = np.concatenate([p[0] for p, _ in parts])
+    count = np.concatenate([p[2] for p, _ in parts])
     owner = np.concatenate([p[1] + lo for p, lo in parts])
+    del parts
     among = kernel.of(np.concatenate(landmarks), np.cumsum([0] + [len(z) for z in landmarks[:-1]]), np.cumsum([len(z) for z in landmarks])).astype(float)
     value, vector = np.linalg.eigh((among + among.T) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    mapped = x @ root
+    mapped = x @ root.astype(np.float32)
     rows = np.unique(owner)
     # A document's label says that some sentence is toxic: those that hold a telling word itself are taken first, then
     # also those that the model finds. Toxic documents without any such sentence are left to the calibration.
@@ -243,28 +330,38 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
         w = fit_hinge(np.arange(len(points) + 1) * m, np.tile(np.arange(m), len(points)), points.ravel(), target, m, share, rounds=8)
         margin = mapped @ w[:-1] + w[-1]
         toxic |= (y[owner] > 0) & (margin > 0)
-    top = np.full(len(y), w[-1])
-    np.maximum.at(top, owner, margin)
+    u = (root @ w[:-1]).astype(np.float32)
+    traits = _traits(x @ u + np.float32(w[-1]), owner, count, w[-1])
     weight = np.where(y > 0, sizes[1] / (y > 0).sum(), sizes[0] / (y < 0).sum())
-    a, b = calibrate(top, y, weight)
-    return {"landmarks": landmarks, "u": root @ w[:-1], "bias": float(w[-1]), "a": a, "b": b}
+    k = traits.shape[1]
+    v = fit_hinge(np.arange(len(y) + 1) * k, np.tile(np.arange(k), len(y)), traits.ravel(), y, k, 4 * weight, rounds=40)
+    v[0] = max(v[0], 0.0)  # a worse sentence never lowers a score
+    a, b = calibrate(traits @ v[:-1] + v[-1], y, weight)
+    return {"landmarks": landmarks, "odds": odds, "u": u, "bias": float(w[-1]), "v": v, "a": a, "b": b}
+
+
+def _traits(margin: np.ndarray, owner: np.ndarray, count: np.ndarray, empty: float) -> np.ndarray:
+    """Of each row the margin of its worst sentence, the logarithm of its telling words' odds, and that times the logarithm of all its
+    words. A row without telling words has no weight by its length."""
+    top = np.full(len(count), -np.inf)
+    np.maximum.at(top, owner, margin)
+    top[np.isinf(top)] = empty
+    telling = np.log1p(count[:, 0])
+    return np.column_stack((np.clip(top, -3, 3), telling, telling * np.log1p(count[:, 1]) / 10))
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with the score of their worst sentence, 0 to 1. Null, empty and letterless texts get that of an empty sentence."""
+    """docs with the score of their worst sentence and telling words, 0 to 1. Null, empty and letterless texts get that of an empty sentence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few dozen short strings and numbers
 
     def make():
         m = shared.value
         kernel = Kernel(m["landmarks"])
-        u = m["u"].astype(np.float32)
+        u, bias, v = m["u"].astype(np.float32), np.float32(m.get("bias", 0.0)), m["v"]
 
         def apply(data, offsets):
-            x, owner = kernel.sentences(data, offsets)
-            top = np.full(len(offsets) - 1, -np.inf)
-            np.maximum.at(top, owner, x @ u)
-            top[np.isinf(top)] = 0.0
-            return [pa.array(sigmoid(m["a"] * (top + m["bias"]) + m["b"]))]
+            x, owner, count = kernel.documents(data, offsets, m["odds"])
+            return [pa.array(sigmoid(m["a"] * (_traits(x @ u + bias, owner, count, bias) @ v[:-1] + v[-1]) + m["b"]))]
 
         return apply
 
