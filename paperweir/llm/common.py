@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,40 +18,65 @@ from pyspark.sql import types as T
 #: Bytes of text that one vectorised step handles; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
 
-_scratch: dict[str, list[str]] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_current: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine serves a
+    session that is this machine alone (tests); on a cluster it is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="paperweir-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def cut(df: DataFrame, scope: str = "query") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: the lineage ends, and any executor can reread it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/paperweir-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _scratch.setdefault(scope, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, scope: str = "query") -> None:
-    """Delete what cut() wrote under a scope; only for callers whose results are already stored elsewhere."""
-    for path in _scratch.pop(scope, []):
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def forget(spark: SparkSession) -> None:
-    """Let the driver collect its garbage: shuffle files of plans that ended go from the executors' disks then, not later."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+    if place:
+        return place.rstrip("/")
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if app not in _own_dirs:
+        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="paperweir-")
+    return _own_dirs[app]
+
+
+class Scratch:
+    """Tables of one call in the shared folder. release() deletes these and no others; until then any executor can reread them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write df as Parquet and read it back: the lineage ends, and its shuffle files go at once, not when garbage is collected."""
+        path = f"{shared_dir(self.spark)}/paperweir-{uuid.uuid4().hex}"
+        was = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, was)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        """For callers whose results are stored elsewhere, or that read these tables no more."""
+        while self.paths:
+            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """What operators cut() inside the block belongs to the Scratch it gives. It stays when the block ends, as results are lazy:
+    the caller releases it once they are stored."""
+    own = Scratch(spark)
+    token = _current.set(own)
+    try:
+        yield own
+    finally:
+        _current.reset(token)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Scratch.cut() for the scratch() block around the call; without one the table stays until the shared folder is emptied."""
+    return (_current.get() or Scratch(df.sparkSession)).cut(df)
 
 
 def held_out(doc_id: str | Column) -> Column:
