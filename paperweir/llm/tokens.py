@@ -31,6 +31,11 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[base]
 
 
+def forget() -> None:
+    """Drops the tables of powers: a fit on the driver need not leave them behind."""
+    _tables.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(30))
     x = x * U(0xBF58476D1CE4E5B9)
@@ -56,9 +61,9 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return s, e, np.searchsorted(offsets, s, "right") - 1
 
 
-def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[s:e]."""
-    p, inv = powers(_BASE, len(data) + 1)
+def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """A 64-bit hash of each data[s:e]; another odd base gives another hash."""
+    p, inv = powers(base, len(data) + 1)
     total = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * p[: len(data)], out=total[1:])
     return mix((total[e] - total[s]) * inv[s])
