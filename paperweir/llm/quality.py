@@ -54,7 +54,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST, doc_id: str = "doc_id", text: str = "text") -> dict:
-    """Weights per code (the log-count ratio times the hinge model's weight), bias and calibration."""
+    """Weights per code (the log-count ratio times the hinge model's weight), bias and calibration.
+
+    What is learned from, and how repeated labels, ids and rows count, is labelled_sample's to say."""
     sample, sizes = labelled_sample(docs, labels, label, most, doc_id, text)
 
     def make():
@@ -64,7 +66,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
         return apply
 
-    table = map_text(sample, "text", make, [T.StructField("codes", T.ArrayType(T.IntegerType()))]).select("d", "y", "codes").toArrow().sort_by("d")
+    table = map_text(sample, "text", make, [T.StructField("codes", T.ArrayType(T.IntegerType()))]).select("d", "h", "y", "codes").toArrow().sort_by([("d", "ascending"), ("h", "ascending")])
     y = table.column("y").to_numpy() * 2.0 - 1
     total = sizes.get(0, 0) + sizes.get(1, 0)
     if len(y) == 0 or len(set(y.tolist())) < 2:
@@ -99,8 +101,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1. Null and empty texts get the score of a text without n-grams."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers
+    """docs with a score from 0 to 1. Null and empty texts get the score of a text without n-grams; texts of any length are
+    scored whole; repeated rows and equal texts score alike; a column of docs that has the score's name is replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers of 4 bytes
 
     def make():
         m = shared.value
@@ -116,5 +119,6 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, most: int = MOST) -> DataFrame:
-    """docs with score and predicted. Without labels of both classes every score is the smoothed share of label 1."""
+    """docs with score and predicted (1 from the threshold on, a tie included). Without labels of both classes every score is
+    the smoothed share of label 1; an empty table of docs gives no rows. Columns named score or predicted are replaced."""
     return score(docs, fit(docs, labels, label, most)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

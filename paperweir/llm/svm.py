@@ -6,17 +6,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperweir.llm.common import held_out
 
-#: Texts above this size are not fitted on (they are scored like any other).
-FIT_BYTES = 200_000
+#: Bytes of labelled text that a fit takes to the driver at most. Rows are taken whole, in a seeded order, up to this sum.
+FIT_BYTES = 64 << 20
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id", text: str = "text", seed: int = 5) -> tuple[DataFrame, dict[int, int]]:
-    """(text, y) of about `most` rows of each class at most, by a seeded hash of the id, and the classes' sizes.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id", text: str = "text", seed: int = 5, fit_bytes: int = FIT_BYTES) -> tuple[DataFrame, dict[int, int]]:
+    """(d, text, y) of about `most` rows of each class, in the order of a seeded hash of the id while their texts stay within
+    `fit_bytes` together, and the classes' sizes.
 
-    Rows that are held out, null labels and null ids are left out; of repeated labels of an id the highest counts."""
+    Rows that are held out, null labels, null ids and null texts are left out; of repeated labels of an id the highest
+    counts; rows repeated in full count once, and rows of one id with different texts each. However many rows an id has, at
+    most 2.4 x most rows come to the driver."""
     own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     own = own.groupBy(F.col(doc_id).alias("k")).agg(F.max((F.col(label) == 1).cast("int")).alias("y"))
     sizes = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -25,9 +29,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, d
         share = F.when(F.col("y") == y, F.lit(min(1.0, most / n))).otherwise(share)
     mark = F.pmod(F.xxhash64(F.lit(seed), "k"), F.lit(1_000_000)) / 1_000_000
     # At most 2.4 x most rows of two numbers each, by the limit; the rule above rarely comes near it.
-    picked = own.where(mark < share).orderBy(F.xxhash64(F.lit(seed), "k")).limit(int(2.4 * most))
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")).where(F.octet_length("text") <= FIT_BYTES)
-    return rows.join(F.broadcast(picked), F.col("d") == F.col("k")).select("d", "text", "y"), sizes
+    limit = int(2.4 * most)
+    picked = own.where(mark < share).orderBy(F.xxhash64(F.lit(seed), "k")).limit(limit)
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("n", F.octet_length("text"))
+    rows = rows.join(F.broadcast(picked), F.col("d") == F.col("k"))
+    found = rows.select("d", "h", "n", "y").distinct().orderBy(F.xxhash64(F.lit(seed), "d"), "d", "h").limit(limit).collect()
+    total, chosen = 0, []
+    for r in found:
+        total += r["n"]
+        if total > fit_bytes:
+            break
+        chosen.append((r["d"], r["h"], r["y"]))
+    schema = T.StructType([T.StructField("k", docs.schema[doc_id].dataType), T.StructField("g", T.LongType()), T.StructField("y", T.IntegerType())])
+    few = docs.sparkSession.createDataFrame(chosen, schema)  # 2.4 x most rows at most
+    texts = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    return texts.join(F.broadcast(few), (F.col("d") == F.col("k")) & (F.col("h") == F.col("g"))).select("d", "h", "text", "y").dropDuplicates(["d", "h"]), sizes
 
 
 def fit_hinge(start: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray, size: int, c: np.ndarray, rounds: int = 12, seed: int = 0) -> np.ndarray:
