@@ -1,4 +1,9 @@
-"""Toxicity: a support vector machine on subsequence string kernels, by Nyström landmarks, trained on sentences."""
+"""Toxicity: a support vector machine on subsequence string kernels, by Nyström landmarks, trained on labelled texts.
+
+Two words' kernel is the squared normalised kernel of their gapped three-letter subsequences. Landmark words span a Nyström
+map of it, in which a word is scaled to length 1, or to 0 if the landmarks hold too little of it to be a form of any. A
+sentence's map is the sum of its words', a text's the sum of its sentences' over the root of its number of words, so that the
+machine is linear in a sum of word kernels."""
 
 from __future__ import annotations
 
@@ -18,10 +23,12 @@ from paperweir.llm.svm import calibrate, fit_hinge, labelled_sample, sigmoid
 MOST, LANDMARKS, DECAY, LONGEST = 1500, 32, 0.6, 16
 #: Log-likelihood ratio of a candidate's own documents, and the most candidates.
 LEAST_RATIO, CANDIDATES = 10.0, 192
-#: Kernel value from which two words count as forms of one.
-ALIKE = 0.6
+#: Kernel value from which two words count as forms of one; share of a word's length that its map must hold.
+ALIKE, HELD = 0.6, 0.2
 #: Letters of the shortest beginning that words may share to be forms of one.
 STEM = 5
+#: What texts' maps are multiplied by before fitting, so that a word in fifty has length 1.
+SCALE = 50**0.5
 
 # Letters 1 to 26; look-alike digits and signs count as their letter; bytes of other characters share 27 to 31.
 _LETTER = np.zeros(256, np.uint8)
@@ -92,7 +99,7 @@ def _spectrum(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Kernel:
-    """Normalised kernel values of words against the landmarks."""
+    """Kernel values of words against the landmarks, and the maps of words and texts."""
 
     KEEP = 400_000
 
@@ -103,6 +110,8 @@ class Kernel:
             code, w = _spectrum(z[None, :])
             np.add.at(self.table[:, j], code[0], w)
         self.table /= np.maximum(np.sqrt((self.table**2).sum(0)), 1e-9)
+        value, vector = np.linalg.eigh(self.of(*_joined(landmarks)).astype(float))
+        self.root = (vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T).astype(np.float32)
         self._clear()
 
     def _clear(self):
@@ -131,8 +140,14 @@ class Kernel:
                 out[rows] = (acc / np.maximum(norm, 1e-9)[:, None]) ** 2  # a kernel too; likeness by chance weighs less
         return out
 
+    def mapped(self, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Each word's place in the landmarks' space: of length 1, or 0."""
+        x = self.of(flat, a, b) @ self.root
+        size = np.sqrt((x**2).sum(1))
+        return x * np.where(size**2 >= HELD, 1 / np.maximum(size, 1e-9), 0).astype(np.float32)[:, None]
+
     def words(self, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(values of the distinct words, which of them each word is); values are remembered between calls."""
+        """(maps of the distinct words, which of them each word is); maps are remembered between calls."""
         h = K.hashes(flat, a, b)
         keys, first, back = np.unique(h, return_index=True, return_inverse=True)
         known = np.zeros(len(keys), bool)
@@ -143,7 +158,7 @@ class Kernel:
         values[known] = self.rows[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            values[new] = self.of(flat, a[first[new]], b[first[new]])
+            values[new] = self.mapped(flat, a[first[new]], b[first[new]])
             if len(self.keys) + len(new) > self.KEEP:
                 self._clear()
             k = np.concatenate((self.keys, keys[new]))
@@ -151,27 +166,17 @@ class Kernel:
             self.keys, self.rows = k[order], np.concatenate((self.rows, values[new]))[order]
         return values, back
 
-    def sentences(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per sentence the highest value of its words for each landmark, and the sentence's row."""
-        return self.documents(data, offsets, np.zeros(0))[:2]
-
-    def documents(self, data: np.ndarray, offsets: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What sentences() says, and of each row the summed weight of words that are forms of the first landmarks, as many as
-        there are weights, and the number of all words."""
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Each text's map: the sum of its words' over the root of their number."""
         flat, a, b, sentence, owner = split(data, offsets)
-        out = np.zeros((len(owner), self.m), np.float32)
-        count = np.zeros((len(offsets) - 1, 2))
+        out = np.zeros((len(offsets) - 1, self.m))
         if len(a):
             values, back = self.words(flat, a, b)
-            lead = np.flatnonzero(np.concatenate(([True], np.diff(sentence) > 0)))
-            out[sentence[lead]] = np.maximum.reduceat(values[back], lead, axis=0)
             row = owner[sentence]
-            count[:, 1] = np.bincount(row, minlength=len(count))
-            if len(weight):
-                near = values[:, : len(weight)].argmax(1)
-                worth = np.where(values[np.arange(len(values)), near] >= ALIKE, weight[near], 0.0)
-                count[:, 0] = np.bincount(row, weights=worth[back], minlength=len(count))
-        return out, owner, count
+            held = np.flatnonzero(values.any(1)[back])
+            np.add.at(out, row[held], values[back[held]])
+            out /= np.sqrt(np.maximum(np.bincount(row, minlength=len(out)), 1))[:, None]
+        return out
 
 
 def _distinct(table: pa.Table) -> pa.Table:
@@ -228,37 +233,61 @@ def _like(landmarks: list[np.ndarray], flat: np.ndarray, a: np.ndarray, b: np.nd
     return np.concatenate([kernel.of(flat, a[lo : lo + 20_000], b[lo : lo + 20_000]) >= ALIKE for lo in range(0, len(a), 20_000)])
 
 
+def _vocabulary(data: np.ndarray, offsets: np.ndarray):
+    """Letters of the distinct words end to end, start and end of each, and the distinct (row, word) pairs. Texts are split a
+    step at a time, so that only their words are held."""
+    known, letters, size, rows, marks = np.zeros(0, np.uint64), [], [], [], []
+    for lo, hi in steps(offsets):
+        flat, a, b, sentence, owner = split(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        if not len(a):
+            continue
+        keys, first, back = np.unique(K.hashes(flat, a, b), return_index=True, return_inverse=True)
+        pair = np.unique(owner[sentence].astype(np.int64) * len(keys) + back)
+        rows.append(pair // len(keys) + lo)
+        marks.append(keys[pair % len(keys)])
+        new = np.flatnonzero(~np.isin(keys, known))
+        known = np.concatenate((known, keys[new]))
+        size.append((b - a)[first[new]])
+        letters += [flat[x:y] for x, y in zip(a[first[new]].tolist(), b[first[new]].tolist())]
+    K.forget()
+    if not len(known):
+        z = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), z, z, np.zeros((0, 2), np.int64)
+    order = np.argsort(known)
+    size = np.concatenate(size)[order]
+    flat = np.concatenate([letters[i] for i in order.tolist()])
+    ends = np.cumsum(size)
+    return flat, ends - size, ends, np.stack((np.concatenate(rows), np.searchsorted(known[order], np.concatenate(marks))), 1)
+
+
 def _landmarks(data, offsets, y, each):
-    """Words that toxic rows hold more often than chance, and frequent words of the others; and the former's log odds.
+    """Words that toxic rows hold more often than chance.
 
     A word is measured with all its forms, words of like kernel, so that an inflected insult counts whole; words like one that
     is taken are skipped. The bar is what chance reaches among so many words, not a share of the best: a language with few
     labelled rows need not keep up with one that has many."""
-    flat, a, b, sentence, owner = split(data, offsets)
-    h = K.hashes(flat, a, b)
-    row = owner[sentence] if len(a) else np.zeros(0, np.int64)
-    keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-    pair = np.unique(np.stack((row, back), 1), axis=0)
+    flat, a, b, pair = _vocabulary(data, offsets)
+    words = len(a)
     bad_row = y > 0
-    toxic = np.bincount(pair[:, 1], weights=bad_row[pair[:, 0]], minlength=len(keys))
-    other = np.bincount(pair[:, 1], weights=~bad_row[pair[:, 0]], minlength=len(keys))
+    toxic = np.bincount(pair[:, 1], weights=bad_row[pair[:, 0]], minlength=words)
+    other = np.bincount(pair[:, 1], weights=~bad_row[pair[:, 0]], minlength=words)
     n1, n0 = max(bad_row.sum(), 1), max((~bad_row).sum(), 1)
     g = _ratio(toxic, other, n1, n0)
-    size = b[first] - a[first]
+    size = b - a
     fit = (size >= 3) & (size <= LONGEST)
-    word = lambda i: flat[a[first[i]] : b[first[i]]]
+    word = lambda i: flat[a[i] : b[i]]
     best = [i for i in np.argsort(-g, kind="stable") if fit[i] and g[i] >= LEAST_RATIO][:CANDIDATES]
     found = [word(i) for i in best]
     known = {z.tobytes() for z in found}
-    found += [z for z in _stems(flat, a[first], b[first], pair, bad_row, CANDIDATES // 2) if z.tobytes() not in known]
+    found += [z for z in _stems(flat, a, b, pair, bad_row, CANDIDATES // 2) if z.tobytes() not in known]
     bad: list[int] = []
     if found:
-        like = _like(found, flat, a[first], b[first])
+        like = _like(found, flat, a, b)
         among = _like(found, *_joined(found))
         rows = np.zeros((len(y), len(found)), bool)
         for j in range(len(found)):
             rows[pair[like[pair[:, 1], j], 0], j] = True
-        least = max(LEAST_RATIO, 2 * float(np.log(len(keys))))
+        least = max(LEAST_RATIO, 2 * float(np.log(words)))
         spent, left = np.zeros(len(found), bool), np.ones(len(y), bool)
         for _ in range(2):  # over all rows, then over those that what is taken leaves unexplained
             while len(bad) < each:
@@ -272,17 +301,15 @@ def _landmarks(data, offsets, y, each):
                 bad.append(j)
             forms = like[:, bad].any(1)
             left = np.bincount(pair[forms[pair[:, 1]], 0], minlength=len(y)) < 2  # a single form may stand by chance
-    good = [i for i in np.argsort(-other) if fit[i] and size[i] >= 4 and not any(np.array_equal(word(i), found[j]) for j in bad)][:24]
-    one, none = (rows[bad_row][:, bad].sum(0), rows[~bad_row][:, bad].sum(0)) if bad else (np.zeros(0), np.zeros(0))
-    return [found[j] for j in bad] + [word(i) for i in good], np.maximum(np.log((one + 0.5) / (n1 + 1)) - np.log((none + 0.5) / (n0 + 1)), 0.0)
+    return [found[j] for j in bad]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST, doc_id: str = "doc_id", text: str = "text", each: int = LANDMARKS) -> dict:
-    """Landmarks, their weights, bias and calibration. Labels are of documents: of a toxic one, the sentence that scores
-    highest is taken as toxic; fitting and choosing alternate. A document's score weighs its worst sentence with how many of
-    its words are forms of telling ones: in long texts one of them stands by chance, two or three in a short one do not."""
+    """Landmarks, their weights, bias and calibration.
+
+    What is learned from, and how repeated labels, ids and rows count, is labelled_sample's to say."""
     sample, sizes = labelled_sample(docs, labels, label, most, doc_id, text)
-    return learn(sample.select("d", "text", "y").toArrow().sort_by("d"), sizes, each)
+    return learn(sample.select("d", "h", "text", "y").toArrow().sort_by([("d", "ascending"), ("h", "ascending")]), sizes, each)
 
 
 def learn(table: pa.Table, sizes: dict[int, int], each: int = LANDMARKS) -> dict:
@@ -291,77 +318,41 @@ def learn(table: pa.Table, sizes: dict[int, int], each: int = LANDMARKS) -> dict
     y = table.column("y").to_numpy() * 2.0 - 1
     total = sizes.get(0, 0) + sizes.get(1, 0)
     prior = (sizes.get(1, 0) + 1) / (total + 2)
-    blank = {"landmarks": [np.array([1, 2, 3], np.uint8)], "odds": np.zeros(0), "u": np.zeros(1), "v": np.zeros(4), "a": 0.0, "b": float(np.log(prior / (1 - prior)))}
+    blank = {"landmarks": [np.array([1, 2, 3], np.uint8)], "w": np.zeros(1), "bias": 0.0, "a": 0.0, "b": float(np.log(prior / (1 - prior)))}
     if len(y) == 0 or len(set(y.tolist())) < 2:
         return blank
     data, offsets = text_bytes(table.column("text"))
-    landmarks, odds = _landmarks(data, offsets, y, each)
-    n_bad = len(odds)
-    if n_bad == 0:
+    landmarks = _landmarks(data, offsets, y, each)
+    if not landmarks:
         return blank
     kernel = Kernel(landmarks)
-    parts = [(kernel.documents(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], odds), lo) for lo, hi in steps(offsets)]
-    x = np.concatenate([p[0] for p, _ in parts])
-    count = np.concatenate([p[2] for p, _ in parts])
-    owner = np.concatenate([p[1] + lo for p, lo in parts])
-    del parts
-    among = kernel.of(np.concatenate(landmarks), np.cumsum([0] + [len(z) for z in landmarks[:-1]]), np.cumsum([len(z) for z in landmarks])).astype(float)
-    value, vector = np.linalg.eigh((among + among.T) / 2)
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    mapped = x @ root.astype(np.float32)
-    rows = np.unique(owner)
-    # A document's label says that some sentence is toxic: those that hold a telling word itself are taken first, then
-    # also those that the model finds. Toxic documents without any such sentence are left to the calibration.
-    toxic = (y[owner] > 0) & (x[:, :n_bad].max(1) > 0.8)
-    m = mapped.shape[1]
-    # The telling words with one letter inserted or left out between others: toxic as well.
-    changed = [np.insert(z, i, c) for z in landmarks[:n_bad] for i in range(1, len(z)) for c in (24, 17)] + [np.delete(z, i) for z in landmarks[:n_bad] if len(z) > 4 for i in range(1, len(z) - 1)]
-    ends = np.cumsum([len(z) for z in changed])
-    gapped = kernel.of(np.concatenate(changed), ends - [len(z) for z in changed], ends).astype(float) @ root
-    rng = np.random.default_rng(2)
-    margin = x[:, :n_bad].max(1)
-    for _ in range(3):
-        clean = np.flatnonzero(y[owner] < 0)
-        hard = clean[np.argsort(-margin[clean], kind="stable")][: 2 * len(rows)]
-        pick = np.concatenate((np.flatnonzero(toxic)[: 8 * len(rows)], hard, rng.permutation(clean)[: 2 * len(rows)]))
-        target = np.concatenate((np.where(y[owner[pick]] > 0, 1.0, -1.0), np.ones(len(gapped))))
-        points = np.concatenate((mapped[pick], gapped))
-        share = np.where(target > 0, 1 / max((target > 0).sum(), 1), 1 / max((target < 0).sum(), 1)) * len(target) * 2
-        w = fit_hinge(np.arange(len(points) + 1) * m, np.tile(np.arange(m), len(points)), points.ravel(), target, m, share, rounds=8)
-        margin = mapped @ w[:-1] + w[-1]
-        toxic |= (y[owner] > 0) & (margin > 0)
-    u = (root @ w[:-1]).astype(np.float32)
-    traits = _traits(x @ u + np.float32(w[-1]), owner, count, w[-1])
-    weight = np.where(y > 0, sizes[1] / (y > 0).sum(), sizes[0] / (y < 0).sum())
-    k = traits.shape[1]
-    v = fit_hinge(np.arange(len(y) + 1) * k, np.tile(np.arange(k), len(y)), traits.ravel(), y, k, 4 * weight, rounds=40)
-    v[0] = max(v[0], 0.0)  # a worse sentence never lowers a score
-    a, b = calibrate(traits @ v[:-1] + v[-1], y, weight)
-    return {"landmarks": landmarks, "odds": odds, "u": u, "bias": float(w[-1]), "v": v, "a": a, "b": b}
-
-
-def _traits(margin: np.ndarray, owner: np.ndarray, count: np.ndarray, empty: float) -> np.ndarray:
-    """Of each row the margin of its worst sentence, the logarithm of its telling words' odds, and that times the logarithm of all its
-    words. A row without telling words has no weight by its length."""
-    top = np.full(len(count), -np.inf)
-    np.maximum.at(top, owner, margin)
-    top[np.isinf(top)] = empty
-    telling = np.log1p(count[:, 0])
-    return np.column_stack((np.clip(top, -3, 3), telling, telling * np.log1p(count[:, 1]) / 10))
+    x = np.concatenate([kernel.texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in steps(offsets)]) * SCALE
+    K.forget()
+    m = x.shape[1]
+
+    def model(rows):
+        return fit_hinge(np.arange(len(rows) + 1) * m, np.tile(np.arange(m), len(rows)), x[rows].ravel(), y[rows], m, np.ones(len(rows)), rounds=30)
+
+    fold, margin = np.random.default_rng(1).integers(0, 3, len(y)), np.zeros(len(y))
+    for f in range(3):
+        w = model(np.flatnonzero(fold != f))
+        margin[fold == f] = x[fold == f] @ w[:-1] + w[-1]
+    a, b = calibrate(margin, y, np.where(y > 0, sizes[1] / (y > 0).sum(), sizes[0] / (y < 0).sum()))
+    w = model(np.arange(len(y)))
+    return {"landmarks": landmarks, "w": w[:-1] * SCALE, "bias": float(w[-1]), "a": a, "b": b}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with the score of their worst sentence and telling words, 0 to 1. Null, empty and letterless texts get that of an empty sentence."""
+    """docs with a score from 0 to 1. Null, empty and letterless texts get that of a text without words; texts of any length
+    are scored whole; repeated rows and equal texts score alike; a column of docs that has the score's name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few dozen short strings and numbers
 
     def make():
         m = shared.value
         kernel = Kernel(m["landmarks"])
-        u, bias, v = m["u"].astype(np.float32), np.float32(m.get("bias", 0.0)), m["v"]
 
         def apply(data, offsets):
-            x, owner, count = kernel.documents(data, offsets, m["odds"])
-            return [pa.array(sigmoid(m["a"] * (_traits(x @ u + bias, owner, count, bias) @ v[:-1] + v[-1]) + m["b"]))]
+            return [pa.array(sigmoid(m["a"] * (kernel.texts(data, offsets) @ m["w"] + m["bias"]) + m["b"]))]
 
         return apply
 
@@ -369,6 +360,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.3, most: int = MOST) -> DataFrame:
-    """docs with score and predicted. Without labels of both classes, or without telling words, every score is the smoothed
-    share of label 1."""
+    """docs with score and predicted (1 from the threshold on, a tie included). Without labels of both classes, or without
+    telling words, every score is the smoothed share of label 1; an empty table of docs gives no rows. Columns named score or
+    predicted are replaced."""
     return score(docs, fit(docs, labels, label, most)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
