@@ -4,45 +4,72 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperweir.llm import tokens as K
 from paperweir.llm.common import held_out, map_text, text_bytes
-from paperweir.llm.svm import FIT_BYTES
 
-#: Hashed features, documents of each language to fit on, segments of each that are used, words of a segment.
-BITS, MOST, SEGMENTS, WORDS = 17, 400, 4, 64
-#: Languages that are learned at most (the most frequent), and words of each that the lexicon holds.
-LANGUAGES, LEXICON = 200, 4000
+#: Hashed features, documents of each language to fit on, words of a training sequence, words of a language in the lexicon.
+BITS, MOST, WORDS, LEXICON = 17, 400, 64, 4000
+#: Bytes of labelled text that a fit takes to the driver at most: documents come whole, by their turn in their language.
+FIT_BYTES = 32 << 20
+#: Weights (codes times languages) of a model are 2**WEIGHTS at most: with more than 64 languages, codes share weights sooner.
+WEIGHTS = 23
+#: Share of training sequences into which a run of another document's words is spliced.
+SWITCHED = 0.3
 
 _FOLD = K.LOWER.copy()
+#: Lower case of the characters of two bytes, where that has two bytes as well.
+_SMALL = np.arange(0x800)
+for _c in range(0x80, 0x800):
+    if len(_l := chr(_c).lower()) == 1 and 0x80 <= ord(_l) < 0x800:
+        _SMALL[_c] = ord(_l)
 _INSIDE = np.zeros(256, bool)
 _INSIDE[97:123] = _INSIDE[128:] = True
 
 
 def words(data: np.ndarray, offsets: np.ndarray):
-    """Folded bytes, and start, end and row of each word: letters and all non-ASCII characters. Latin-1 capitals are folded."""
+    """Folded bytes, and start, end and row of each word: letters and all non-ASCII characters. Capitals are folded where the
+    small letter has as many bytes, up to two."""
     low = _FOLD[data]
-    if len(low) > 1:
-        capital = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
-        low[1:][capital] += 32
+    two = np.flatnonzero((low >= 0xC2) & (low < 0xE0))
+    if len(two):
+        small = _SMALL[(low[two].astype(np.int64) & 31) << 6 | low[two + 1] & 63]
+        low[two], low[two + 1] = 0xC0 | small >> 6, 0x80 | small & 63
     s, e, row = K.spans(_INSIDE[low], offsets)
     return low, s, e, row
 
 
-def segments(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of each segment; every word of a row lies in one."""
+def segments(row: np.ndarray, rows: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First word and length of each row's chain, or of its parts of `most` words; every word lies in one."""
     n = np.bincount(row, minlength=rows)
-    parts = -(-n // WORDS)
+    parts = -(-n // most) if most else (n > 0).astype(np.int64)
     first = np.cumsum(n) - n
     i = np.repeat(np.arange(rows), parts)
     k = np.arange(len(i)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return first[i] + WORDS * k, np.minimum(WORDS, n[i] - WORDS * k)
-
-
-def features(low: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray] | None):
+    return (first[i] + most * k, np.minimum(most, n[i] - most * k)) if most else (first[i], n[i])
+
+
+def switched(label: np.ndarray, first: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """Training sequences as word numbers: each segment, and into SWITCHED of them a run of 1 to 16 words of a segment of
+    another label is spliced at a random place, so that changes of label inside a text are learned from texts that have them."""
+    out = []
+    for f, n in zip(first.tolist(), size.tolist()):
+        own = np.arange(f, f + n)
+        if rng.random() < SWITCHED:
+            j = int(rng.integers(0, len(first)))
+            if label[first[j]] != label[f]:
+                run = int(rng.integers(1, min(16, size[j]) + 1))
+                start = int(first[j] + rng.integers(0, size[j] - run + 1))
+                at = int(rng.integers(0, n + 1))
+                own = np.concatenate((own[:at], np.arange(start, start + run), own[at:]))
+        out.append(own)
+    return out
+
+
+def features(low: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray] | None, bits: int = BITS):
     """Hashed features of each word: itself, prefixes and suffixes of 1 to 4 bytes, all trigrams with word ends, lexicon entry."""
     n = e - s
     codes, owners = [h], [np.arange(len(s))]
@@ -70,7 +97,7 @@ def features(low: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, lexic
     code, owner = np.concatenate(codes), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     count = np.bincount(owner, minlength=len(s))
-    return (code[order] >> K.U(64 - BITS)).astype(np.int64), count
+    return (code[order] >> K.U(64 - bits)).astype(np.int64), count
 
 
 def emissions(weights: np.ndarray, codes: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -118,32 +145,35 @@ def forward_backward(emission: np.ndarray, first: np.ndarray, size: np.ndarray,
 
 
 def fit_crf(low, s, e, row, label, languages: int, rows: int, rounds: int = 4, seed: int = 3) -> dict:
-    """Adaptive-gradient ascent on the log-likelihood of the words' labels (those of their documents)."""
+    """Adaptive-gradient ascent on the log-likelihood of the words' labels: those of their documents, in sequences of which
+    some hold words of two documents."""
+    bits = min(BITS, WEIGHTS - max(0, languages - 1).bit_length())
     h = K.hashes(low, s, e)
     keys, first_of, back = np.unique(h, return_index=True, return_inverse=True)
-    share = np.bincount(back * languages + label[row], minlength=len(keys) * languages).reshape(-1, languages)
+    of = label[row]
+    share = np.bincount(back * languages + of, minlength=len(keys) * languages).reshape(-1, languages)
     top, total = share.argmax(1), share.sum(1)
     sure = np.flatnonzero((total >= 3) & (share.max(1) >= 0.8 * total))
     sure = np.concatenate([c[np.argsort(-total[c], kind="stable")][:LEXICON] for c in (sure[top[sure] == j] for j in range(languages))])
     sure = np.sort(sure)
     lexicon = (keys[sure], top[sure])
-    codes, count = features(low, s[first_of], e[first_of], keys, lexicon)
+    codes, count = features(low, s[first_of], e[first_of], keys, lexicon, bits)
     lead = np.concatenate(([0], np.cumsum(count)))
-    first, size = segments(row, rows)
     rng = np.random.default_rng(seed)
-    w, move, begin = np.zeros((1 << BITS, languages)), np.zeros((languages, languages)), np.zeros(languages)
+    chains = switched(of, *segments(row, rows, WORDS), rng)
+    w, move, begin = np.zeros((1 << bits, languages)), np.zeros((languages, languages)), np.zeros(languages)
     gw, gm, gb = np.full(w.shape, 1e-2), np.full(move.shape, 1e-2), np.full(begin.shape, 1e-2)
     for _ in range(rounds):
-        for part in np.array_split(rng.permutation(len(first)), max(1, len(first) // 128)):
-            n = size[part]
-            at = np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        for part in np.array_split(rng.permutation(len(chains)), max(1, len(chains) // 128)):
+            n = np.array([len(chains[i]) for i in part])
+            at = np.concatenate([chains[i] for i in part])
             uniq, inv = np.unique(back[at], return_inverse=True)
             c = count[uniq]
             flat = codes[np.repeat(lead[uniq] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
             em = emissions(w, flat, c)[inv]
             own_first = np.cumsum(n) - n
             gamma, pair, start, _ = forward_backward(em, own_first, n, move, begin, True)
-            truth = label[row[at]]
+            truth = of[at]
             diff = -gamma
             diff[np.arange(len(at)), truth] += 1
             by_word = np.stack([np.bincount(inv, weights=diff[:, j], minlength=len(uniq)) for j in range(languages)], 1)
@@ -156,42 +186,48 @@ def fit_crf(low, s, e, row, label, languages: int, rows: int, rounds: int = 4, s
             inner[own_first] = False
             t = np.flatnonzero(inner)
             moves = np.bincount(truth[t - 1] * languages + truth[t], minlength=languages**2).reshape(languages, languages)
-            # Labels never change inside a training document; a prior of one change in a hundred words keeps switching possible.
-            moves = moves + 0.01 * len(t) / languages / max(languages - 1, 1) * (1 - np.eye(languages)) if languages > 1 else moves
             for p, acc, g in ((move, gm, moves - pair), (begin, gb, seen - start)):
+                g = g - 1e-3 * p
                 acc += g**2
                 p += 0.1 * g / np.sqrt(acc)
-    return {"w": w.astype(np.float32), "move": move, "begin": begin, "lexicon": lexicon}
+    return {"w": w.astype(np.float32), "bits": bits, "move": move, "begin": begin, "lexicon": lexicon}
 
 
-def fit(docs: DataFrame, most: int = MOST, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", seed: int = 11) -> dict:
-    """Learns from about `most` documents of each language that are not held out, chosen by a seeded hash of the id.
+def fit(docs: DataFrame, most: int = MOST, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", seed: int = 11, fit_bytes: int = FIT_BYTES) -> dict:
+    """Learns from about `most` documents of each language that are not held out, in the order of a seeded hash of the id.
 
-    The driver gets at most 1.2 x most x languages texts of FIT_BYTES at most, and a count per language."""
+    Every language that occurs is learned. Documents come to the driver whole, the first of each language before the second
+    of any, while their texts stay within `fit_bytes` together. Null texts, languages and held-out ids are left out; rows
+    repeated in full count once; ties of the hash go by id and text."""
     own = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("d") & (F.octet_length("text") <= FIT_BYTES))
-    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, most / r["n"]))).otherwise(share)
+    own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("d"))
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     mark = F.xxhash64(F.lit(seed), "d")
-    picked = own.where(F.pmod(mark, F.lit(1_000_000)) / 1_000_000 < share).orderBy(mark, "text").limit(int(1.2 * most * max(len(counts), 1)) + 10)
-    table = picked.toArrow()
-    names = sorted(set(table.column("lang").to_pylist())) if table.num_rows else []
-    if not names:
+    key = own.select("d", "lang", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"), mark.alias("mark"))
+    key = key.join(F.broadcast(counts), "lang").where(F.pmod("mark", F.lit(1_000_000)) / 1_000_000 < F.lit(1.2 * most) / F.col("n")).drop("n")  # a row per language
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "d", "h"))
+    found = key.distinct().withColumn("turn", turn).where(F.col("turn") <= most).orderBy("turn", "lang")
+    total, chosen = 0, []
+    for r in found.toLocalIterator():
+        total += r["size"]
+        if total > fit_bytes:
+            break
+        chosen.append((r["d"], r["lang"], r["h"]))
+    if not chosen:
         return {"names": []}
-    label = np.array([names.index(x) for x in table.column("lang").to_pylist()])
+    few = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("k", docs.schema[doc_id].dataType), T.StructField("l", T.StringType()), T.StructField("g", T.LongType())]))
+    marked = own.withColumn("h", F.xxhash64("text"))
+    # At most `most` small rows per language.
+    picked = marked.join(F.broadcast(few), marked.d.eqNullSafe(few.k) & (marked.lang == few.l) & (marked.h == few.g)).select("d", "lang", "h", "text").dropDuplicates(["d", "lang", "h"])
+    table = picked.toArrow().sort_by([("lang", "ascending"), ("h", "ascending"), ("d", "ascending")])
+    names = sorted(set(table.column("lang").to_pylist()))
+    label = np.searchsorted(np.array(names, dtype=object), np.array(table.column("lang").to_pylist(), dtype=object)).astype(np.int64)
     low, s, e, row = words(*text_bytes(table.column("text")))
-    # Evenly spaced segments of each document.
-    first, size = segments(row, table.num_rows)
-    owner = row[first]
-    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    number = np.bincount(owner, minlength=table.num_rows)[owner]
-    use = np.flatnonzero((place * SEGMENTS) // number != ((place - 1) * SEGMENTS) // number) if len(owner) else np.zeros(0, int)
-    at = np.repeat(first[use] - (np.cumsum(size[use]) - size[use]), size[use]) + np.arange(size[use].sum())
-    if not len(at):
+    if not len(s):
         return {"names": []}
-    return fit_crf(low, s[at], e[at], row[at], label, len(names), table.num_rows) | {"names": names}
+    model = fit_crf(low, s, e, row, label, len(names), table.num_rows) | {"names": names}
+    K.forget()
+    return model
 
 
 class Tagger:
@@ -215,7 +251,7 @@ class Tagger:
         values[known] = self.rows[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            codes, count = features(low, s[first[new]], e[first[new]], keys[new], self.m["lexicon"])
+            codes, count = features(low, s[first[new]], e[first[new]], keys[new], self.m["lexicon"], self.m["bits"])
             values[new] = emissions(self.m["w"], codes, count)
             if len(self.keys) + len(new) > self.KEEP:
                 self._clear()
@@ -228,7 +264,7 @@ class Tagger:
         low, s, e, row = words(data, offsets)
         if not len(s):
             return np.zeros((0, len(self.m["names"]))), s, e, row
-        first, size = segments(row, len(offsets) - 1)
+        first, size = segments(row, len(offsets) - 1)  # a document is one chain, however long
         return forward_backward(self.emission(low, s, e).astype(np.float64), first, size, self.m["move"], self.m["begin"]), s, e, row
 
 
@@ -244,8 +280,10 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (the words' mean probability of it) and word_langs (per language found: its words' share).
 
-    A text that is null or has no letter is `und` with score 0; so is every text if nothing could be learned."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers per language
+    A text that is null or has no letter is `und` with score 0; so is every text if nothing could be learned. Texts of any
+    length are one chain; of languages of equal probability the first by name is taken; repeated rows are judged alike; an
+    empty table gives no rows; columns of docs with the names of added ones are replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**WEIGHTS numbers at most
     kind = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
 
     def make():
@@ -269,4 +307,6 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
         return apply
 
-    return map_text(docs, text, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("word_langs", kind)])
+    # Chains run side by side, as many steps as the longest has words: large batches serve more rows per step.
+    most = max(1 << 18, (4 << 20) * 4 // max(4, len(model["names"])))
+    return map_text(docs, text, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("word_langs", kind)], most)
