@@ -8,17 +8,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperweir.llm.common import cut, steps, text_bytes
 
-#: Ranges that each length is split into for ranking; a hot length so spreads over as many groups.
-RANGES = 64
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Rows of a stored file that are ranked together: a length, however frequent, is ranked block by block.
+BLOCK = 1 << 16
+FIELDS = ["start", "length", "ids_crc32", "doc_tokens"]
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: a document's ids and a final id 0, cut every `window` ids."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """One row per piece: a document's ids and a final id 0, cut every `window` ids. text_hash tells texts of one id apart."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("text_hash", T.LongType()), *[T.StructField(f, T.LongType()) for f in FIELDS]])
 
     def run(batches):
         from paperweir.llm.pretoken import Encoder
@@ -42,10 +44,11 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, doc_id: str = "doc_id",
                 at = (ends - total)[owner] + start
                 raw = memoryview(flat).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
-                arrays = [batch.column(0).slice(lo, hi - lo).take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[owner])]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                own = [batch.column(c).slice(lo, hi - lo).take(pa.array(owner)) for c in (0, 2)]
+                arrays = [*own, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[owner])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", *FIELDS])
 
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(run, schema)
 
 
 def _powers(window: int) -> set[int]:
@@ -96,114 +99,132 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[int, dict[int, int]]
     return out
 
 
+def cuts(chosen: dict[int, int], window: int) -> tuple[dict[int, list[list[tuple[int, int, int, int]]]], int]:
+    """For each length of a pattern, and each of its pieces there, (start, length, sequence, offset) of its parts; and the number
+    of sequences. One sequence if what the pattern holds needs no padding, else one for each power of two that it is made of."""
+    size = sum(k * v for k, v in chosen.items())
+    rooms = [size] if size in _powers(window) else [1 << i for i in reversed(range(window.bit_length())) if size >> i & 1]
+    out: dict[int, list[list[tuple[int, int, int, int]]]] = {}
+    room, at = 0, 0
+    for k, v in sorted(chosen.items(), reverse=True):
+        for _ in range(v):
+            parts, taken = [], 0
+            while taken < k:
+                step = min(k - taken, rooms[room] - at)
+                parts.append((taken, step, room, at))
+                taken, at = taken + step, at + step
+                if at == rooms[room]:
+                    room, at = room + 1, 0
+            out.setdefault(k, []).append(parts)
+    return out, len(rooms)
+
+
+class Places:
+    """Where each piece goes, by its length and its rank among pieces of this length. Held per pattern, not per piece."""
+
+    def __init__(self, counts: dict[int, int], window: int):
+        self.ranges: dict[int, list[tuple[int, int, int, list]]] = {k: [] for k in counts}
+        used, seq = dict.fromkeys(counts, 0), 0
+        for times, chosen in plan(counts, window):
+            parts, rooms = cuts(chosen, window)
+            for k, v in chosen.items():
+                # From rank used[k] on, v pieces to a use of the pattern, which takes `rooms` sequences from `seq` on.
+                self.ranges[k].append((used[k], seq, rooms, parts[k]))
+                used[k] += times * v
+            seq += times * rooms
+        self.first = {k: np.array([r[0] for r in v], np.int64) for k, v in self.ranges.items()}
+
+    def of(self, length: int, rank: np.ndarray):
+        """(which of the ranks, start, length, sequence, offset) of every part of the pieces, and which pieces are cut."""
+        hit = np.searchsorted(self.first[length], rank, "right") - 1
+        found, is_cut = [], np.zeros(len(rank), bool)
+        for j in np.unique(hit).tolist():
+            low, seq, rooms, parts = self.ranges[length][j]
+            i = np.flatnonzero(hit == j)
+            times, which = (rank[i] - low) // len(parts), (rank[i] - low) % len(parts)
+            for p, pieces_of in enumerate(parts):
+                own = which == p
+                is_cut[i[own]] = len(pieces_of) > 1
+                for start, step, room, at in pieces_of:
+                    n = int(own.sum())
+                    found.append((i[own], np.full(n, start), np.full(n, step), seq + times[own] * rooms + room, np.full(n, at)))
+        return tuple(np.concatenate(c) for c in zip(*found)), is_cut
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces with sequence_id and offset: sequences of at most `window` ids.
 
     Full pieces are sequences of their own; the rests of documents are packed by least slack, where a sequence of a power of
-    two needs no padding. The last sequences that padding would remain in are cut at powers of two instead. The driver
-    holds counts per length only (window x RANGES numbers). Null or empty texts are the id 0 alone; an empty table has no
-    pieces; repeated rows are packed each; null ids stay null.
+    two needs no padding. Pieces of patterns in which padding would remain are cut at powers of two instead. The driver holds
+    a count per length and a few numbers per pattern, both bounded by the window; pieces are placed by their rank, so that a
+    million pieces of one length cost what one does. A piece is told apart by its place in the stored table, so that rows
+    equal in full rank like any others. Ids may be of any type. Null or empty texts are the id 0 alone; an empty table has no
+    pieces; repeated rows are packed each; null ids stay null; texts of any length are encoded whole; other columns are not
+    looked at; ties between lengths go to the longer.
     """
-    found = cut(pieces(docs, tokenizer, window, doc_id, text))
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANGES))
-    found = found.withColumn("part", part)
-    held = {(r["length"], r["part"]): r["n"] for r in found.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts: dict[int, int] = {}
-    base: dict[int, list[int]] = {}
-    for length in sorted({k for k, _ in held}):
-        base[length], n = [], 0
-        for p in range(RANGES):
-            base[length].append(n)
-            n += held.get((length, p), 0)
-        counts[length] = n
-    # Per length: ranks from `low` on go `each` to a sequence, from sequence `seq` on, at `offset` in it.
-    slots: dict[int, list[tuple[int, int, int, int]]] = {k: [] for k in counts}
-    tails: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
-    used = dict.fromkeys(counts, 0)
-    seq = 0
-    for times, chosen in plan(counts, window):
-        size = sum(k * v for k, v in chosen.items())
-        if size in _powers(window):
-            at = 0
-            for k, v in sorted(chosen.items(), reverse=True):
-                slots[k].append((used[k], v, seq, at))
-                used[k] += times * v
-                at += k * v
-            seq += times
-            continue
-        for _ in range(times):  # padding would remain: cut the contents at powers of two
-            rooms = [1 << i for i in reversed(range(window.bit_length())) if size >> i & 1]
-            room, at = 0, 0
-            for k, v in sorted(chosen.items(), reverse=True):
-                for _ in range(v):
-                    taken = 0
-                    while taken < k:
-                        step = min(k - taken, rooms[room] - at)
-                        tails.setdefault((k, used[k]), []).append((taken, step, seq + room, at))
-                        taken, at = taken + step, at + step
-                        if at == rooms[room]:
-                            room, at = room + 1, 0
-                    used[k] += 1
-            seq += len(rooms)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1)
-    table = {k: np.array(v, np.int64).reshape(-1, 4) for k, v in slots.items()}
-    bases = {k: np.array(v, np.int64) for k, v in base.items()}
-    cuts: dict[int, dict[int, list]] = {}
-    for (k, rank), v in tails.items():
-        cuts.setdefault(k, {})[rank] = v
-    again = _recut(docs, tokenizer, found, cuts, bases, ranked, window, doc_id, text) if cuts else None
+    stored = cut(pieces(docs, tokenizer, window, doc_id, text))
+    # Spark's writer names its files part-<task>-<id>-c<file of the task>.
+    task, file = (F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*-c(\d+)", i).cast("long") for i in (1, 2))
+    block = F.shiftleft(task, 40).bitwiseOR(F.shiftleft(file, 26)).bitwiseOR(F.floor(F.col("_metadata.row_index") / BLOCK))
+    stored = stored.select("*", block.alias("block"), F.col("_metadata.row_index").alias("row"))
+    sizes = cut(stored.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")))
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    places = Places(counts, window)
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select("length", "block", F.coalesce(before, F.lit(0)).alias("base"))
+    inner = F.row_number().over(Window.partitionBy("length", "block").orderBy("row")) - 1
+    ranked = stored.withColumn("inner", inner).join(bases, ["length", "block"]).select("doc_id", "text_hash", *FIELDS, (F.col("base") + F.col("inner")).alias("rank"))
+    fields = [stored.schema["doc_id"], T.StructField("text_hash", T.LongType()), *[T.StructField(f, T.LongType()) for f in (*FIELDS, "sequence_id", "offset", "whole_start")]]
 
     def place(batches):
         for batch in batches:
-            length, rank = batch.column(2).to_numpy(), batch.column(6).to_numpy().astype(np.int64)
-            part = batch.column(5).to_numpy()
-            seqs, offs, keep = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64), np.ones(len(rank), bool)
+            if not batch.num_rows:
+                continue
+            start, length, rank = (batch.column(c).to_numpy() for c in (2, 3, 6))
             for k in np.unique(length).tolist():
                 i = np.flatnonzero(length == k)
-                r = rank[i] + bases[k][part[i]]
-                t = table[k]
-                if len(t):
-                    j = np.searchsorted(t[:, 0], r, "right") - 1
-                    seqs[i] = t[j, 2] + (r - t[j, 0]) // t[j, 1]
-                    offs[i] = t[j, 3] + k * ((r - t[j, 0]) % t[j, 1])
-                if k in cuts:
-                    keep[i[np.isin(r, list(cuts[k]))]] = False
-            arrays = [batch.column(c) for c in range(5)] + [pa.array(seqs), pa.array(offs)]
-            out = pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            yield out.filter(pa.array(keep))
-
-    placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
-    return placed.unionByName(again) if again is not None else placed
-
-
-def _recut(docs, tokenizer, found, cuts, bases, ranked, window, doc_id, text):
-    """The few pieces that are cut once more (fewer than the window's length of them), with their ids' checksums anew."""
-    spark = docs.sparkSession
-    rows = [(k, rank) for k, by in cuts.items() for rank in by]
-    wanted = [(int(k), int(np.searchsorted(bases[k], rank, "right") - 1), rank) for k, rank in rows]
-    wanted = [(k, p, rank - int(bases[k][p]), rank) for k, p, rank in wanted]
-    small = spark.createDataFrame(wanted, "length long, part long, rank int, place long")
-    picked = ranked.join(F.broadcast(small), ["length", "part", "rank"])  # a bounded number of rows
-    picked = cut(picked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"))
-    keys = picked.select(F.col("doc_id").alias("k"), "start", "length", "ids_crc32", "doc_tokens", "place")
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = source.join(F.broadcast(keys), source.doc_id.eqNullSafe(keys.k))
+                (j, a, n, seq, at), is_cut = places.of(k, rank[i])
+                j, again = i[j], is_cut[j]
+                crc = pa.array(batch.column(4).to_numpy()[j], mask=again)  # of a part it is not known yet
+                arrays = [batch.column(0).take(pa.array(j)), batch.column(1).take(pa.array(j)), pa.array(start[j] + a), pa.array(n), crc, batch.column(5).take(pa.array(j)), pa.array(seq), pa.array(at), pa.array(start[j])]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
+
+    placed = ranked.mapInArrow(place, T.StructType(fields))
+    result = ["doc_id", *FIELDS, "sequence_id", "offset"]
+    if not any(len(p) > 1 for v in places.ranges.values() for _, _, _, parts in v for p in parts):
+        return placed.select(*result)
+    placed = cut(placed)
+    again = _checksums(docs, tokenizer, placed.where("ids_crc32 is null"), doc_id, text)
+    return placed.where("ids_crc32 is not null").select(*result).unionByName(again.select(*result))
+
+
+def _checksums(docs: DataFrame, tokenizer: str, parts: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """parts with ids_crc32: texts that have any are encoded once more, each with a bounded number of its parts."""
+    texts = docs.select(F.col(doc_id).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("g"), F.col(text).alias("text"))
+    keys = parts.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).distinct()
+    # Rows of one id and text have the same ids: one of them serves all.
+    texts = texts.join(keys, F.col("k").eqNullSafe(F.col("own_id")) & (F.col("g") == F.col("own_hash")), "left_semi").dropDuplicates(["k", "g"])
+    same = F.col("k").eqNullSafe(F.col("doc_id")) & (F.col("g") == F.col("text_hash"))
+    names = ["doc_id", *FIELDS, "sequence_id", "offset"]
+    fields = [parts.schema[c] for c in names]
 
     def run(batches):
         from paperweir.llm.pretoken import Encoder
 
         encode = Encoder(tokenizer)
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            ids, n = encode.ids_of(data, offsets)
-            at = np.concatenate(([0], np.cumsum(n)))
-            for i, (start, length, crc, total, place, d) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5, 6, 7, 0)))):
-                own = np.concatenate((ids[at[i] : at[i + 1]], [0])).astype("<u4")
-                if len(own) != total or zlib.crc32(own[start : start + length].tobytes()) != crc:
-                    continue
-                out = [(d, start + a, m, zlib.crc32(own[start + a : start + a + m].tobytes()), total, s, o) for a, m, s, o in cuts[length][place]]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
-
-    # Rows that repeat in full would each find the same piece: one is enough.
-    return texts.mapInArrow(run, PIECES + ", sequence_id long, offset long").dropDuplicates(["sequence_id", "offset"])
+            data, offsets = text_bytes(batch.column(7))
+            start, length = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for lo, hi in steps(offsets):
+                o = offsets[lo : hi + 1]
+                ids, n = encode.ids_of(data[o[0] : o[-1]], o - o[0])
+                ends = np.cumsum(n)
+                crc = []
+                for i in range(hi - lo):
+                    own = np.append(ids[ends[i] - n[i] : ends[i]], 0).astype("<u4")
+                    crc.append(zlib.crc32(own[start[lo + i] : start[lo + i] + length[lo + i]].tobytes()))
+                part = batch.slice(lo, hi - lo)
+                arrays = [part.column(0), part.column(1), part.column(2), pa.array(crc, pa.int64()), part.column(4), part.column(5), part.column(6)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return texts.join(parts, same).select(*names, "text").mapInArrow(run, T.StructType(fields))

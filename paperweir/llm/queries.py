@@ -87,7 +87,7 @@ def tokenizer_path() -> str:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperweir.llm.pack import pack
 
-    return pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
