@@ -11,7 +11,7 @@ from paperweir.llm.common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge and is not a root; root is the smallest node that it reaches.
 
-    edges: (a, b), any direction, repeats and loops allowed. Each step is two equi-joins on small keys; nothing goes to the
+    edges: (a, b) of any orderable type, any direction, repeats and loops allowed. Each step is two equi-joins on small keys; nothing goes to the
     driver but a count and a checksum. A star's hub may have any number of edges: it is only ever the key of a sum or of
     the larger side of a join.
     """

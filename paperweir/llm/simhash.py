@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -11,14 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperweir.llm import tokens as K
-from paperweir.llm.common import cut, map_text
+from paperweir.llm.common import cut, lists, map_text
 from paperweir.llm.components import components
 
 U = np.uint64
 # Fixed values of the XXH64 function.
 P1, P2, P3, P4, P5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-#: Rows that are compared with each other at a time.
-BLOCK = 1024
+#: Rows that are compared with each other at a time, and rows of one key that a task compares itself; more are dealt out.
+BLOCK, MOST = 1024, 16_384
+#: Words of 64 bits in the fingerprints that similarity is read from; keys per text, and least shingle hashes in each.
+WIDE, KEYS, LEAST = 4, 16, 4
 #: Bits of each band; any two fingerprints that differ in at most 3 bits agree on 2 of the 5 bands whole.
 BANDS = (13, 13, 13, 13, 12)
 #: For each byte value a word whose byte b is bit b of it: sums of up to 255 words count all eight bits at once.
@@ -100,10 +103,9 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
     return xxh64(flat, s[i], e[j]), count
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
-    h, count = shingle_hashes(data, offsets, k)
-    rows = len(offsets) - 1
-    out = np.zeros(rows, U)
+def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Per row the bits that are set in over half of its hashes; zero for rows of none."""
+    out = np.zeros(len(count), U)
     full = np.flatnonzero(count)
     if not len(full):
         return out
@@ -122,6 +124,38 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def fingerprints(data: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    return majority(*shingle_hashes(data, offsets, k))
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of shingle_hashes(), in order, and their number per row."""
+    h, count = shingle_hashes(data, offsets, k)
+    rows = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((h, rows))
+    h, rows = h[order], rows[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
+    return h[first], np.bincount(rows[first], minlength=len(count))
+
+
+def sketches(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(WIDE words of fingerprint, KEYS keys, whether there is a shingle) of each row. A key is a hash of the least values that
+    LEAST functions take over the row's shingles: two rows share it with their similarity to the power LEAST."""
+    h, count = shingle_sets(data, offsets, k)
+    wide = np.stack([majority(K.mix(h + U((2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), count) for i in range(WIDE)], 1)
+    keys = np.zeros((len(count), KEYS), U)
+    full = np.flatnonzero(count)
+    if len(full):
+        lead = (np.cumsum(count) - count)[full]
+        for i in range(KEYS):
+            key = np.full(len(full), U(i + 1), U)
+            for j in range(LEAST):
+                key = K.mix(key * U(0xC2B2AE3D27D4EB4F) + np.minimum.reduceat(K.mix(h ^ K.mix(np.array([1000 + LEAST * i + j], U))), lead))
+            keys[full, i] = key
+    return wide, keys, count > 0
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", k: int = 3, out: str = "fp") -> DataFrame:
     """docs with a 64-bit fingerprint as long; zero where there is no word."""
 
@@ -131,37 +165,118 @@ def with_fingerprint(docs: DataFrame, text: str = "text", k: int = 3, out: str =
     return map_text(docs, text, make, [T.StructField(out, T.LongType())])
 
 
-def near(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of x within the radius. Bit planes lie vertically: a word holds one bit of 64 fingerprints, two words
-    and a flag count their differences from one probe by carry-save, and a word whose 64 all exceed the radius is dropped."""
-    assert radius == 3, "the counters hold up to 3"
-    n = len(x)
-    words = -(-n // 64)
-    bits = np.zeros((64, words * 64), np.uint8)
-    bits[:, :n] = (x[None, :] >> np.arange(64, dtype=U)[:, None]) & U(1)
+def close(probes: np.ndarray, rows: np.ndarray, radius: int, later: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (probe, row) within the radius, of fingerprints of any number of 64-bit words; with `later`, of equal arrays only
+    those of words from the probe's own on. Bit planes lie vertically: a word holds one bit of 64 fingerprints. Counters, as many
+    words as the radius has bits and a flag, count the differences from one probe by carry-save, and a word whose 64 all
+    exceed the radius is dropped."""
+    n, size = len(rows), rows.shape[1] * 64
+    words, high = -(-n // 64), radius.bit_length()
+    bits = np.zeros((size, words * 64), np.uint8)
+    bits[:, :n] = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little").T
     planes = np.packbits(bits, axis=1, bitorder="little").view(U)
     ones = U(0xFFFFFFFFFFFFFFFF)
-    sign = np.where(bits[:, :n] > 0, ones, U(0))
-    probe, word = np.repeat(np.arange(n), words), np.tile(np.arange(words), n)
-    later = word >= probe // 64
-    probe, word = probe[later], word[later]
-    c0, c1, over = (np.zeros(len(probe), U) for _ in range(3))
-    for b in range(64):
-        m = planes[b][word] ^ sign[b][probe]
-        carry = c0 & m
-        c0 ^= m
-        over |= c1 & carry
-        c1 ^= carry
-        if b >= 15 and b % 8 == 7:
-            live = np.flatnonzero(over != ones)
-            probe, word, c0, c1, over = probe[live], word[live], c0[live], c1[live], over[live]
-    close = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    p, b = np.nonzero(close)
+    sign = np.where(np.unpackbits(np.ascontiguousarray(probes).view(np.uint8), axis=1, bitorder="little").T > 0, ones, U(0))
+    probe, word = np.repeat(np.arange(len(probes)), words), np.tile(np.arange(words), len(probes))
+    if later:
+        keep = word >= probe // 64
+        probe, word = probe[keep], word[keep]
+    counters, over = [np.zeros(len(probe), U) for _ in range(high)], np.zeros(len(probe), U)
+
+    def beyond():
+        """Which of each word's counts are above the radius."""
+        more, even = over.copy(), ~over
+        for i in reversed(range(high)):
+            if radius >> i & 1:
+                even &= counters[i]
+            else:
+                more |= even & counters[i]
+                even &= ~counters[i]
+        return more
+
+    for b in range(size):
+        carry = planes[b][word] ^ sign[b][probe]
+        for i in range(high):
+            counters[i], carry = counters[i] ^ carry, counters[i] & carry
+        over |= carry
+        if b > radius and b % 8 == 7:
+            live = np.flatnonzero(beyond() != ones)
+            if len(live) < 0.9 * len(probe):
+                probe, word, over, counters = probe[live], word[live], over[live], [c[live] for c in counters]
+    found = np.unpackbits((~beyond()).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    p, b = np.nonzero(found)
     i, j = probe[p], word[p] * 64 + b
-    ok = (j > i) & (j < n)
+    ok = j < n
     return i[ok], j[ok]
 
 
+def near(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of x within the radius; x has a row of 64-bit words, or one word, for each fingerprint."""
+    x = x.reshape(len(x), -1)
+    i, j = close(x, x, radius, later=True)
+    return i[j > i], j[j > i]
+
+
+def joined(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius that join the components of x, for any number of rows. Of rows up to a block they are the
+    closest ones: a spanning tree of least distance.
+
+    More are first held against a few leaders, the row closest to the majority of all and then such as no leader has taken. What
+    one leader has taken is linked to it, and so that a leader's chance does not decide, to another leader as well; rows
+    outside the largest such group are compared with all others."""
+    n = len(x)
+    if n <= BLOCK:
+        return tree(x, *near(x, radius))
+    label, found = np.full(n, -1), []
+    by_bit = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little")
+    centre = np.packbits(by_bit.mean(0) > 0.5, bitorder="little").view(U)
+    leader = int(np.bitwise_count(x ^ centre).sum(1).argmin())
+    del by_bit
+    for turn in range(4):
+        near_by = np.flatnonzero(np.bitwise_count(x ^ x[leader]).sum(1) <= radius)
+        found.append((np.full(len(near_by), leader), near_by))
+        label[near_by[label[near_by] < 0]] = leader
+        free = np.flatnonzero(label < 0)
+        if len(free):
+            leader = int(free[0])
+        elif turn == 0:  # all taken: the one farthest from the leader leads once more
+            leader = int(np.bitwise_count(x ^ x[leader]).sum(1).argmax())
+        else:
+            break
+    rest = np.flatnonzero(label != np.bincount(label[label >= 0]).argmax())
+    for lo in range(0, len(rest), BLOCK // 2):
+        probes = rest[lo : lo + BLOCK // 2]
+        for at in range(0, n, 8 * BLOCK):
+            i, j = close(x[probes], x[at : at + 8 * BLOCK], radius)
+            found.append(tree(x, probes[i], at + j))
+    i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    return i[i != j], j[i != j]
+
+
+def tree(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of x those of a spanning forest of least distance: round by round each component takes its closest pair."""
+    n = len(x)
+    order = np.argsort(np.bitwise_count(x[i] ^ x[j]).sum(1), kind="stable")
+    i, j = i[order], j[order]
+    label, left, kept = np.arange(n), np.arange(len(i)), []
+    while True:
+        a, b = label[i[left]], label[j[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        if not len(left):
+            break
+        best = np.full(n, len(i))
+        np.minimum.at(best, a, left)
+        np.minimum.at(best, b, left)
+        taken = np.unique(best[best < len(i)])
+        kept.append(taken)
+        member, least = forest(n, label[i[taken]], label[j[taken]])
+        to = np.arange(n)
+        to[member] = least
+        label = to[label]
+    kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return i[kept], j[kept]
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, least member) of the components of the pairs among n rows."""
     label = np.arange(n)
@@ -187,72 +302,176 @@ def _band_keys(fp: str) -> list:
     return [F.lit(t << 32).bitwiseOR(F.shiftleft(bands[a], 13).bitwiseOR(bands[b])) for t, (a, b) in enumerate(pairs)]
 
 
-def links(fps: DataFrame, fp: str = "fp", radius: int = 3) -> DataFrame:
-    """(a, b) links that join all distinct fingerprints within the radius; of a dense group, a spanning forest per block.
-
-    Candidates share two of five bands. Rows go to partitions by band key, lie there in key order, and are compared block by
-    block; a key with more rows than a block compares all its pairs of blocks, so no pair is lost at any size.
-    """
-    keyed = fps.select(F.explode(F.array(*_band_keys(fp))).alias("key"), F.col(fp).alias("fp"))
-    n = fps.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    keyed = keyed.repartition(int(n), "key").sortWithinPartitions("key")
-
-    def edges(x):
-        member, least = forest(len(x), *near(x, radius))
-        return x[member].view(np.int64), x[least].view(np.int64)
-
-    def grouped(batches):
-        rest_k, rest_x = np.zeros(0, np.int64), np.zeros(0, U)
-        for batch in batches:
-            k = np.concatenate((rest_k, batch.column(0).to_numpy()))
-            x = np.concatenate((rest_x, batch.column(1).to_numpy().view(U)))
-            end = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0
-            yield k[:end], x[:end]
-            rest_k, rest_x = k[end:], x[end:]
-        yield rest_k, rest_x
+def _streamed(batches, chunk: int):
+    """Whole groups of rows sorted by key: (keys, words, nodes, None), or of a key with more than `chunk` rows one chunk after
+    another, with its number. No more than a batch and a chunk is held."""
+    rest, number = None, 0
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        rest = pa.concat_tables([rest, now]).combine_chunks() if rest is not None and rest.num_rows else now
+        while rest.num_rows:
+            k = rest.column(0).to_numpy()
+            end = int(np.searchsorted(k, k[-1], "left"))
+            if end:
+                first = int(np.searchsorted(k, k[0], "right")) if number else 0
+                if number:  # the end of a key that was begun
+                    yield rest.slice(0, first), number
+                    number = 0
+                if end > first:
+                    yield rest.slice(first, end - first), None
+                rest = rest.slice(end)
+            elif rest.num_rows >= 2 * chunk or (number and rest.num_rows >= chunk):
+                yield rest.slice(0, chunk), number
+                rest, number = rest.slice(chunk), number + 1
+            else:
+                break
+    if rest is not None and rest.num_rows:
+        yield rest, number or None
+
+
+def links(keyed: DataFrame, radius: int, words: int = 1) -> DataFrame:
+    """(a, b) links that join all nodes within the radius that share a key; each is such a pair. keyed: (key long, node, f0, f1,
+    ... long).
+
+    Rows go to partitions by key, lie there in key order and are compared key by key. A key with more than MOST rows is
+    cut into chunks, and every pair of its chunks is a group of its own in a second pass: no pair is lost at any size, and no
+    task holds more than a few chunks."""
+    spark, fields = keyed.sparkSession, [f"f{i}" for i in range(words)]
+    node = keyed.schema["node"].dataType
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = T.StructType([T.StructField("a", node), T.StructField("b", node), T.StructField("key", T.LongType()), T.StructField("chunk", T.IntegerType()), *[T.StructField(f, T.LongType()) for f in fields]])
+
+    def compare(table: pa.Table):
+        k, nodes = table.column(0).to_numpy(), table.column(1).combine_chunks()
+        x = np.stack([table.column(2 + i).to_numpy() for i in range(words)], 1).view(U)
+        start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.concatenate((start, [len(k)])))
+        a, b = [], []
+        small = np.flatnonzero((size > 1) & (size <= BLOCK))
+        lo, ends = 0, np.cumsum(size[small])
+        while lo < len(small):
+            base = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
+            rows = np.concatenate([np.arange(start[g], start[g] + size[g]) for g in small[lo:hi]])
+            i, j = joined(x[rows], radius)
+            a.append(rows[i])
+            b.append(rows[j])
+            lo = hi
+        for g in np.flatnonzero(size > BLOCK):
+            i, j = joined(x[start[g] : start[g] + size[g]], radius)
+            a.append(start[g] + i)
+            b.append(start[g] + j)
+        if not a:
+            return None
+        a, b = np.concatenate(a), np.concatenate(b)
+        keep = a != b
+        return (nodes.take(pa.array(a[keep])), nodes.take(pa.array(b[keep]))) if keep.any() else None
 
     def run(batches):
-        for k, x in grouped(batches):
-            if not len(k):
-                continue
-            start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            size = np.diff(np.concatenate((start, [len(k)])))
-            found = []
-            small = np.flatnonzero((size > 1) & (size <= BLOCK))
-            lo = 0
-            ends = np.cumsum(size[small])
-            while lo < len(small):
-                base = ends[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
-                rows = np.concatenate([np.arange(start[g], start[g] + size[g]) for g in small[lo:hi]])
-                found.append(edges(np.unique(x[rows])))
-                lo = hi
-            for g in np.flatnonzero(size > BLOCK):
-                group = x[start[g] : start[g] + size[g]]
-                parts = [group[i : i + BLOCK // 2] for i in range(0, len(group), BLOCK // 2)]
-                for a in range(len(parts)):
-                    for b in range(a + 1, len(parts)):
-                        found.append(edges(np.concatenate((parts[a], parts[b]))))
-            found = [f for f in found if len(f[0])]
-            if found:
-                a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return keyed.mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
+        for table, chunk in _streamed(batches, MOST):
+            if chunk is None:
+                pair = compare(table)
+                if pair is not None:
+                    none = pa.nulls(len(pair[0]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*pair, none, none.cast(pa.int32()), *[none] * words], names=first.names)
+            else:
+                t = table.combine_chunks()
+                columns = [c.combine_chunks() for c in t.columns]
+                yield pa.RecordBatch.from_arrays([columns[1], columns[1], columns[0], pa.array(np.full(t.num_rows, chunk, np.int32)), *columns[2:]], names=first.names)
+
+    def again(batches):
+        for table, _ in _streamed(batches, 1 << 40):
+            pair = compare(table)
+            if pair is not None:
+                yield pa.RecordBatch.from_arrays(list(pair), names=["a", "b"])
+
+    found = cut(keyed.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, first))
+    done = found.where("key is null").select("a", "b")
+    held = found.where("key is not null")
+    if held.limit(1).count() == 0:
+        return done
+    chunks = held.groupBy("key").agg((F.max("chunk") + 1).alias("n"))
+    # A chunk meets every chunk of its key once, itself among them where it stands alone with a neighbour.
+    pairs = held.join(chunks, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("n = 1 or other <> chunk")
+    group = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    rows = pairs.select(group.alias("key"), F.col("a").alias("node"), *fields)
+    more = rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(again, T.StructType(first.fields[:2]))
+    return done.union(more)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id, text_hash): component_id is the smallest doc_id reachable over links of at most 3 differing bits.
 
-    Equal fingerprints are one node, so copies are never paired. Texts without words share the fingerprint zero and link like
-    any other. Null texts are empty; a null doc_id takes part, but is nobody's smallest unless no other is there; repeated
-    rows stay repeated. Other columns are not looked at.
+    Candidates share two of five bands, which any two fingerprints within the radius do. Equal fingerprints are one node, so
+    copies are never paired. Texts without words share the fingerprint zero and link like any other. Null texts are empty; a
+    null doc_id takes part, but is nobody's smallest unless no other is there; repeated rows stay repeated; texts of any length
+    are read whole; an empty table gives no rows. Other columns are not looked at.
     """
+    if radius > 3:
+        raise ValueError("two of five bands are sure to agree up to 3 differing bits")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
     marked = cut(with_fingerprint(rows, "text", k).select("doc_id", "fp", "text_hash"))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(nodes))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    keyed = nodes.select(F.explode(F.array(*_band_keys("fp"))).alias("key"), F.col("fp").alias("node"), F.col("fp").alias("f0"))
+    named = _named(nodes.withColumnRenamed("fp", "node"), links(keyed, radius)).withColumnRenamed("node", "fp")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id", "text_hash")
+
+
+def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root, component_id) of nodes (node, low): the smallest `low` of each component."""
+    roots = components(edges).withColumnRenamed("node", "own")
+    rooted = nodes.join(roots, F.col("node") == F.col("own"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rooted.join(least, "root").select("node", "root", "component_id")
+
+
+def radius_of(similarity: float) -> int:
+    """Differing bits in WIDE words that all but one in 700 pairs of sets of this similarity (of all elements the shared ones)
+    stay within: three standard deviations above the expected number."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * WIDE * p + 3 * math.sqrt(64 * WIDE * p * (1 - p)))
+
+
+def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, node, root, component_id): texts whose sets of k-word shingles are alike to `similarity` or more have one root,
+    a text of the group, and one component_id, the smallest doc_id reachable.
+
+    Candidates share one of KEYS keys of least shingle hashes (at a similarity of 0.8 all but one in 5,000 do) and differ in at
+    most radius_of(similarity) bits of 256. Of these a spanning forest of least distance is verified on the shingles themselves.
+    node is a 128-bit hash of the text: equal texts are one node. Null texts and texts without words are like nothing but
+    their equals, with a component of their own text. Repeated rows stay repeated; a null doc_id takes part, but is nobody's
+    smallest unless no other is there; texts of any length are read whole; an empty table gives no rows; other columns are not
+    looked at.
+    """
+    marked = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
+
+    def sketch():
+        def apply(data, offsets):
+            wide, keys, some = sketches(data, offsets, k)
+            return [pa.array(wide[:, i].view(np.int64)) for i in range(WIDE)] + [lists(pa.array(keys[some].ravel().view(np.int64)), np.where(some, KEYS, 0))]
+
+        return apply
+
+    def shingles():
+        def apply(data, offsets):
+            h, count = shingle_sets(data, offsets, k)
+            return [lists(pa.array(h.view(np.int64)), count)]
+
+        return apply
+
+    longs = [T.StructField(f"f{i}", T.LongType()) for i in range(WIDE)]
+    sketched = map_text(marked, "text", sketch, [*longs, T.StructField("keys", T.ArrayType(T.LongType()))])
+    sketched = cut(sketched.select("doc_id", "node", *[f.name for f in longs], "keys"))
+    nodes = cut(sketched.groupBy("node").agg(F.min("doc_id").alias("low")))
+    keyed = sketched.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", *[f.name for f in longs])
+    found = cut(links(keyed, radius_of(similarity), WIDE).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = found.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    # Shingles of the texts that have a candidate, compared row by row in the JVM: no batch holds many long sets.
+    own = marked.select("node", "text").join(ends, F.col("node") == F.col("end"), "left_semi")
+    sets = map_text(own, "text", shingles, [T.StructField("s", T.ArrayType(T.LongType()))]).select("node", "s").dropDuplicates(["node"])
+    sets = cut(sets)
+    pairs = found.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = pairs.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    named = _named(nodes, alike)
+    return sketched.select("doc_id", "node").join(named, "node").select("doc_id", "node", "root", "component_id")
