@@ -92,18 +92,96 @@ def test_classifiers_catch_planted_rows_and_take_any_text(spark, docs):
         assert operator.classify(docs.limit(0), labels).count() == 0
 
 
+def letters(word):
+    return np.frombuffer(word.encode(), np.uint8) - 96
+
+
+def test_toxicity_kernel_equals_brute_force():
+    from itertools import combinations
+
+    def spectrum(w):
+        out = Counter()
+        for c in combinations(range(len(w)), 3):
+            out[tuple(w[i] for i in c)] += toxicity.DECAY ** (c[2] - c[0] + 1)
+        return out
+
+    def value(a, b):
+        x, y = spectrum(a), spectrum(b)
+        norm = lambda v: sum(q * q for q in v.values()) ** 0.5
+        return (sum(q * y[c] for c, q in x.items()) / (norm(x) * norm(y))) ** 2 if x and y else 0.0
+
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["aaaa", "abab"]
+    marks = ["abca", "ddcba", "aabb"]
+    kernel = toxicity.Kernel([letters(z) for z in marks])
+    ends = np.cumsum([len(w) for w in words])
+    flat, a = np.concatenate([letters(w) for w in words]), ends - [len(w) for w in words]
+    got = kernel.of(flat, a, ends)
+    assert np.allclose(got, [[value(w, z) for z in marks] for w in words], atol=1e-5)
+    # The landmarks' own maps give back their kernel, up to the scaling to length 1.
+    own = np.array([[value(y, z) for z in marks] for y in marks])
+    mapped = kernel.mapped(*toxicity._joined([letters(z) for z in marks]))
+    assert np.allclose(mapped @ mapped.T, own, atol=0.01)
+
+
 def test_toxicity_takes_gaps():
-    model = {"landmarks": [np.frombuffer(b"blockhead", np.uint8) - 96]}
-    kernel = toxicity.Kernel(model["landmarks"])
+    kernel = toxicity.Kernel([letters("blockhead")])
 
     def value(text):
         data = np.frombuffer(text.encode(), np.uint8)
-        return float(kernel.sentences(data, np.array([0, len(data)]))[0].max())
+        flat, a, b, *_ = toxicity.split(data, np.array([0, len(data)]))
+        return float(kernel.of(flat, a, b).max())
 
     assert value("the b l o c k h e a d of") == pytest.approx(1) and value("b.l.o.c.k.h.e.a.d") == pytest.approx(1)
     assert value("blockxhead") > 0.3 and value("blockhead of") > value("blockxhead") > value("river")
 
 
+def test_fit_takes_bounded_rows_and_whole_texts(spark):
+    from paperweir.llm.svm import labelled_sample
+
+    long = "x " * 200_000
+    docs = spark.createDataFrame([(1, long), (1, long), (3, "a"), (3, "b"), (5, None), (None, "c"), (7, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (5, 1), (7, None), (None, 1), (3, 1)], "doc_id long, toxic int")
+    rows, sizes = labelled_sample(docs, labels, "toxic", 100)
+    assert sorted((r.d, r.text, r.y) for r in rows.collect()) == [(1, long, 1), (3, "a", 1), (3, "b", 1)] and sizes == {1: sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in (1, 3, 5))}
+    assert {r.d for r in labelled_sample(docs, labels, "toxic", 100, fit_bytes=1000)[0].collect()} <= {3}
+
+
+def test_hinge_equals_brute_force():
+    from paperweir.llm.svm import fit_hinge
+
+    g = np.random.default_rng(5)
+    x, c = g.normal(size=(40, 3)), 0.7
+    y = np.where(x[:, 0] + 0.3 * g.normal(size=40) > 0, 1.0, -1.0)
+    w = fit_hinge(np.arange(41) * 3, np.tile(np.arange(3), 40), x.ravel(), y, 3, np.full(40, c), rounds=2000)
+    loss = lambda v: v @ v / 2 + c * np.maximum(0, 1 - y * (x @ v[:3] + v[3])).sum()
+    best, at = loss(w), w
+    for scale in (1.0, 0.1, 0.01, 0.001):
+        for _ in range(3000):
+            v = at + scale * g.normal(size=4)
+            if loss(v) < loss(at):
+                at = v
+    assert best <= loss(at) * 1.002
+
+
+def test_quality_weights_are_log_count_ratios(spark):
+    rows = [(i, f"good plain prose {w}") for i, w in enumerate("one two three four".split() * 20)] + [(200 + i, f"BUY!!! NOW {w}") for i, w in enumerate("one two three four".split() * 20)]
+    labels = spark.createDataFrame([(i, int(i < 200)) for i, _ in rows], "doc_id long, quality int")
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    data = [t.encode() for _, t in rows]
+    code = lambda t: set(quality.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tolist())
+    kept = [i for i, (d, _) in enumerate(rows) if zlib.crc32(str(d).encode()) % 4 != 2]
+    sets = [code(data[i]) for i in kept]
+    y = [rows[i][0] < 200 for i in kept]
+    p = Counter(c for s, q in zip(sets, y) if q for c in s)
+    n = Counter(c for s, q in zip(sets, y) if not q for c in s)
+    size = 1 << quality.BITS
+    ratio = {c: np.log(((p[c] + 1) / (sum(p.values()) + size)) / ((n[c] + 1) / (sum(n.values()) + size))) for c in p.keys() | n.keys()}
+    # A weight is a ratio times the machine's weight of an indicator scaled by it, so it has the sign of the ratio for codes of one class.
+    one = [c for c in ratio if (p[c] == 0) != (n[c] == 0)]
+    assert one and all(np.sign(model["w"][c]) == np.sign(ratio[c]) for c in one if model["w"][c])
+    assert np.count_nonzero(model["w"]) <= len(ratio)
+
+
 def test_packing(spark, docs):
     out = pack.pack(docs, tokenizer_path(), 64).collect()
     from tokenizers import Tokenizer
@@ -171,6 +249,27 @@ def test_sharding(spark, docs):
     assert shard.assign_shards(rows.limit(0), 4).count() == 0
 
 
+def test_sharding_is_a_function_of_its_rows(spark):
+    rows = spark.createDataFrame([(i, i % 7) for i in range(3000)] + [(9, 9)] * 2000, "doc_id long, size long")
+    outs = [sorted(map(tuple, shard.assign_shards(rows.repartition(n), 4, buckets=10).collect())) for n in (1, 3, 7)]
+    assert outs[0] == outs[1] == outs[2]
+    alike = [slot * 4 + s for d, _, s, slot in outs[0] if d == 9]
+    assert len(alike) == 2001 and max(alike) - min(alike) > 4500  # rows equal in full spread over all buckets
+    assert [t[:1] for t in sorted(outs[0], key=lambda t: (t[3], t[2]))[:50]] != [(i,) for i in range(50)]
+
+
+def test_fisher_yates_equals_the_loop(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(g, list(range(n))) for g, n in ((0, 0), (1, 1), (2, 2), (3, 9), (4, 40))], "g long, a array<int>")
+    draw = df.select("g", "a", shard.fisher_yates(F.col("a"), 17, F.col("g")).alias("b"), F.transform("a", lambda i: F.pmod(F.xxhash64(F.lit(17), "g", i), i + 1)).alias("j"))
+    for r in draw.collect():
+        want = list(r.a)
+        for i in range(len(want) - 1, 0, -1):
+            want[i], want[r.j[i]] = want[r.j[i]], want[i]
+        assert r.b == want
+
+
 def test_suffix_order_equals_sorting():
     for _ in range(150):
         k = rng.choice([1, 2, 3, 20])
@@ -185,6 +284,9 @@ def test_suffix_order_equals_sorting():
 @pytest.mark.parametrize("hot", [256, 2])
 def test_repeated_spans(spark, docs, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "LEAST", hot)  # anchors of more rows are dealt over several keys
+    monkeypatch.setattr(suffix, "REMEMBERED", hot)
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 3000 * (hot == 2) + 1)  # several shards
     out = suffix.repeated_spans(docs, kept="kept").select("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept").collect()
     seen = Counter(t[i : i + 200] for t in (raw(r[1]) for r in ROWS) for i in range(len(t) - 199))
     assert len(out) == len(ROWS)
@@ -212,6 +314,22 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in language.identify(docs, language.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_of_words_in_switched_text():
+    fr, de = "le chat est dans la maison et il mange une pomme verte avec nous".split(), "der hund ist in dem haus und frisst einen roten apfel mit uns".split()
+    texts = [" ".join(rng.choice(fr if i % 2 else de) for _ in range(40)).encode() for i in range(120)]
+    o = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    low, s, e, row = language.words(np.frombuffer(b"".join(texts), np.uint8), o)
+    model = language.fit_crf(low, s, e, row, np.arange(120) % 2, 2, 120) | {"names": ["de", "fr"]}
+    assert model["move"][0, 0] > model["move"][0, 1] and model["move"][1, 1] > model["move"][1, 0]
+    want, words = [], []
+    for i in range(60):  # one text far longer than a training sequence: labels flow across it
+        words += (own := [rng.choice((fr, de)[i % 2]) for _ in range(rng.randint(2, 9))])
+        want += [1 - i % 2] * len(own)
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    gamma = language.Tagger(model).tag(data, np.array([0, len(data)]))[0]
+    assert np.mean(gamma.argmax(1) == want) > 0.97
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 
@@ -284,9 +402,99 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_bit_sliced_distances_and_large_groups(monkeypatch):
+def test_bit_sliced_distances():
     g = np.random.default_rng(2)
     x = np.unique(np.concatenate([g.integers(0, 1 << 63, 400).astype(np.uint64), np.uint64(99) ^ (np.uint64(1) << g.integers(0, 60, 60).astype(np.uint64))]))
     i, j = simhash.near(x, 3)
     want = [(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if (int(x[a]) ^ int(x[b])).bit_count() <= 3]
     assert sorted(zip(i.tolist(), j.tolist())) == want
+    wide = g.integers(0, 1 << 63, (150, 4)).astype(np.uint64)
+    wide[50:] = wide[g.integers(0, 50, 100)] ^ (np.uint64(1) << g.integers(0, 63, (100, 4)).astype(np.uint64)) ^ (np.uint64(1) << g.integers(0, 63, (100, 4)).astype(np.uint64))
+    for radius in (1, 5, 12, 40):
+        i, j = simhash.near(wide, radius)
+        assert sorted(zip(i.tolist(), j.tolist())) == [(a, b) for a in range(150) for b in range(a + 1, 150) if np.bitwise_count(wide[a] ^ wide[b]).sum() <= radius]
+
+
+def test_large_groups_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "MOST", 40)
+    g = np.random.default_rng(8)
+    x = [0]
+    for _ in range(299):  # a chain of near fingerprints, in one key
+        x.append(x[int(g.integers(max(0, len(x) - 30), len(x)))] ^ (1 << int(g.integers(0, 50))) ^ (1 << int(g.integers(0, 50))))
+    x = sorted(set(x))
+    want = list(range(len(x)))
+    for a in range(len(x)):
+        for b in range(a):
+            if (x[a] ^ x[b]).bit_count() <= 3 and want[a] != want[b]:
+                want = [want[b] if w == want[a] else w for w in want]
+    found = simhash.links(spark.createDataFrame([(7, v, v) for v in x], "key long, node long, f0 long"), 3).collect()
+    got = {v: v for v in x}
+    for r in found:
+        assert (r.a ^ r.b).bit_count() <= 3
+        if got[r.a] != got[r.b]:
+            old, new = got[r.a], got[r.b]
+            got = {k: new if v == old else v for k, v in got.items()}
+    assert len(set(got.values())) == len(set(want))
+    assert all((got[x[a]] == got[x[b]]) == (want[a] == want[b]) for a in range(len(x)) for b in range(a))
+
+
+def test_similar_texts(spark):
+    base = [sentence(120).split() for _ in range(40)]
+    rows = []
+    for i, w in enumerate(base):
+        rows.append((i, " ".join(w)))
+        for n in (1, 4, 12):  # words changed
+            own = list(w)
+            for p in rng.sample(range(len(own)), n):
+                own[p] = f"w{rng.random()}"
+            rows.append((100 * n + i, " ".join(own)))
+    rows += [(5000, ""), (5001, None), (5002, "  "), (5003, ""), (None, rows[0][1])]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").translate(LOWER).split()) else frozenset((r,)) for r, (_, t) in enumerate(rows)]
+    alike = {(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    out = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    group = {r.doc_id: r.root for r in out}
+    assert len(alike) > 40 and all(group[rows[a][0]] == group[rows[b][0]] for a, b in alike)
+    linked = list(range(len(rows)))
+    for a, b in alike:
+        linked = [linked[b] if w == linked[a] else w for w in linked]
+    for a in range(len(rows)):
+        for b in range(a):
+            if rows[a][1] and rows[b][1] and linked[a] != linked[b]:
+                assert group[rows[a][0]] != group[rows[b][0]]
+    assert simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
+
+
+def test_places_are_held_per_pattern():
+    places = pack.Places({600: 10**6, 1024: 10**9, 400: 7}, 1024)
+    assert sum(len(v) for v in places.ranges.values()) < 10
+    rank = np.array([0, 1, 6, 7, 8, 999_999])
+    (which, start, length, seq, at), is_cut = places.of(600, rank)
+    assert is_cut.tolist() == [True] * 6 or is_cut[3:].all()
+    for r in range(6):
+        mine = sorted((s, n) for w, s, n in zip(which, start, length) if w == r)
+        assert sum(n for _, n in mine) == 600 and all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:]))
+    # A thousand pieces of one length, all placed, in sequences without a gap or padding.
+    (which, start, length, seq, at), _ = pack.Places({600: 1000}, 1024).of(600, np.arange(1000))
+    by = {}
+    for s, o, n in zip(seq.tolist(), at.tolist(), length.tolist()):
+        by.setdefault(s, []).append((o, n))
+    for own in by.values():
+        end = 0
+        for o, n in sorted(own):
+            assert o == end
+            end += n
+        assert end <= 1024 and end & (end - 1) == 0
+    assert int(length.sum()) == 600_000
+
+
+def test_scratch_is_of_one_call(spark, docs):
+    from paperweir.llm import common
+
+    pending = simhash.near_duplicates(docs)
+    with common.scratch(spark) as own:
+        simhash.near_duplicates(docs).count()
+    assert own.paths
+    own.release()
+    assert not own.paths and pending.count() == len(ROWS)
