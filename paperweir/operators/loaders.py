@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,32 +91,97 @@ def readings(a: DataFrame, b: DataFrame) -> DataFrame:
     return s.groupBy("document").agg(F.min("similarity").alias("similarity"), (F.coalesce(F.min(F.when(differ, F.col("moved").cast("int"))), F.lit(0)) == 1).alias("reordered"))
 
 
-def summary(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """Totals per loader: documents, pages, characters and identifiers. pages: (loader, document, page, text)."""
-    p = pages.groupBy("loader").agg(F.countDistinct("document").alias("documents"), F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("characters"))
-    f = found.groupBy("loader").agg(F.count(F.lit(1)).alias("identifiers"))
-    return p.join(f, "loader", "left").fillna(0, ["identifiers"])
+def summary(pages: DataFrame, found: DataFrame, metadata: DataFrame | None = None, scores: DataFrame | None = None, costs: DataFrame | None = None, facts: DataFrame | None = None, runs: DataFrame | None = None, paths: DataFrame | None = None, baseline: str | None = None) -> DataFrame:
+    """A row per loader with its totals, in the columns of the loaders table and a few more. What was not given is null, not 0.
+
+    pages: (loader, document, page, text); found: (loader, ...) matches in text; metadata: (loader, key, ...) matches in it;
+    scores: (loader, document, readiness_score, global_score); costs: (loader, usd); facts: evaluate_facts(); paths: (loader,
+    document) with absolute paths; runs: (loader, tags, seconds, network_allowed, network_attempts, error, failed_files,
+    cached_files, metadata_keys, parser_usd_per_1000)."""
+    g = pages.groupBy("loader").agg(F.countDistinct("document").alias("documents"), F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("characters"))
+
+    def add(g, rows, *aggs):
+        names = [n for n, _ in aggs]
+        if rows is None:
+            return g.withColumns({n: F.lit(None).cast("double" if "score" in n or "usd" in n else "long") for n in names})
+        own = rows.groupBy("loader").agg(*[c.alias(n) for n, c in aggs])
+        return g.join(own, "loader", "left").fillna(0, [n for n in names if "score" not in n and "usd" not in n])
+
+    n = F.count(F.lit(1))
+    g = add(g, found, ("identifiers_in_text", n))
+    g = add(g, metadata, ("identifiers_in_metadata", n))
+    g = add(g, paths, ("documents_with_paths", F.countDistinct("document")))
+    g = add(g, scores, ("readiness_score", F.bround(F.avg("readiness_score"), 1)), ("global_score", F.bround(F.avg("global_score"), 1)))
+    g = add(g, costs, ("text_path_usd", F.bround(F.sum("usd"), 9)))
+    g = add(g, facts, ("facts_found", F.count("found")))
+    extra = {"tags": "string", "seconds": "double", "network_allowed": "boolean", "network_attempts": "long", "error": "string", "failed_files": "long", "cached_files": "long", "metadata_keys": "long", "parser_usd_per_1000": "double"}
+    if runs is None:
+        g = g.withColumns({c: F.lit(None).cast(t) for c, t in extra.items()})
+    else:
+        g = g.join(runs.select("loader", *[F.col(c) if c in runs.columns else F.lit(None).cast(t).alias(c) for c, t in extra.items()]), "loader", "left")
+    g = g.withColumn("parser_usd", F.bround(F.col("pages") * F.col("parser_usd_per_1000") / 1000, 4)).drop("parser_usd_per_1000")
+    return g.withColumn("baseline", F.col("loader") == F.lit(baseline) if baseline else F.lit(None).cast("boolean"))
+
+
+def compare_loaders(pages: DataFrame, baseline: str, categories=None, facts: list | None = None, threshold: float = 0.9, runs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What loaders make of the same documents. pages: (loader, document, page, text). Tables: loaders (summary), differences
+    (identifiers that not every loader that has the document found), documents (that some lack), readings (per document and
+    other loader its similarity to the baseline's) and, if facts are given, facts. Under two loaders is a ValueError."""
+    names = [r["loader"] for r in pages.select("loader").distinct().orderBy("loader").collect()]
+    if len(names) < 2 or baseline not in names:
+        raise ValueError(f"a comparison takes two loaders and one of them as baseline; there are {', '.join(names) or 'none'}")
+    found = I.scan(pages, ["loader", "document", "page"], categories)
+    placed = found.select("loader", "document", F.lit("text").alias("location"), "category", "severity", "evidence", "masked")
+    have = pages.select("loader", "document").distinct()
+    ours = pages.where(F.col("loader") == baseline)
+    read = [readings(ours, pages.where(F.col("loader") == other)).withColumn("loader", F.lit(other)) for other in names if other != baseline]
+    checked = None
+    if facts:
+        from paperweir.operators.retrieval import evaluate_facts
+
+        checked = evaluate_facts(pages, facts, threshold)
+    out = {"loaders": summary(pages, found, facts=checked, runs=runs, baseline=baseline), "differences": identifier_differences(placed, have), "documents": uneven_documents(have, len(names))}
+    out["readings"] = reduce(lambda a, b: a.unionByName(b), read)
+    return out | ({"facts": checked} if checked is not None else {})
+
+
+def shares(sizes: dict[str, int], limit: int) -> dict[str, int]:
+    """Places of each group: its whole share, then one at a time where most of a share is left over; where there are as many
+    places as groups, one for each group without any, taken one at a time from the group that then has most. Ties go to the
+    group that comes first."""
+    total = sum(sizes.values())
+    claim = {k: n * limit / total for k, n in sizes.items()}
+    places = {k: min(sizes[k], math.floor(c)) for k, c in claim.items()}
+    while (free := limit - sum(places.values())) > 0 and (open_ := [k for k in places if places[k] < sizes[k]]):
+        for k in sorted(open_, key=lambda k: places[k] - claim[k])[:free]:
+            places[k] += 1
+    if limit >= len(sizes):
+        for k in sorted((k for k in places if not places[k]), key=claim.get):
+            giver = max(places, key=places.get)
+            if places[giver] > 1:
+                places[giver], places[k] = places[giver] - 1, 1
+    return places
 
 
 def sample(files: DataFrame, limit: int) -> DataFrame:
     """(ext, ord, path) of `limit` files: in proportion to the files of each extension, at least one of each if the limit allows,
-    evenly spaced within an extension. files: (ord, path, ext)."""
-    g = files.groupBy("ext").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
-    everyone = Window.partitionBy()  # over extensions, which are few
-    g = g.withColumns({"all": F.sum("n").over(everyone), "groups": F.count(F.lit(1)).over(everyone)})
-    claim = F.col("n") * limit / F.col("all")
-    g = g.withColumns({"base": F.floor(claim), "rest": claim - F.floor(claim)})
-    g = g.withColumns({"spare": F.lit(limit) - F.sum("base").over(everyone), "turn": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rest"), "first"))})
-    g = g.withColumn("take", F.col("base") + (F.col("turn") <= F.col("spare")).cast("int"))
-    # Every extension gets one where the limit allows it; those with the most give.
-    g = g.withColumn("need", (F.col("take") == 0) & (F.col("groups") <= limit))
-    g = g.withColumns({"lack": F.sum(F.col("need").cast("int")).over(everyone), "rank": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("take"), "first"))})
-    g = g.withColumn("take", F.when(F.col("need"), 1).otherwise(F.col("take") - F.when((F.col("rank") == 1) & (F.col("lack") > 0), F.col("lack")).otherwise(0)))
-    g = g.withColumn("take", F.least("take", "n"))
-    places = g.where("take > 0").select("ext", "n", F.explode(F.sequence(F.lit(0), (F.col("take") - 1).cast("int"))).alias("i"), "take")
-    places = places.select("ext", (F.floor(F.col("i") * F.col("n") / F.col("take")) + 1).cast("int").alias("place"))
-    own = files.withColumn("place", F.row_number().over(Window.partitionBy("ext").orderBy("ord")))
-    return own.join(places, ["ext", "place"]).select("ext", "ord", "path")
+    evenly spaced within an extension; all if the limit is none or as large as their number. files: (ord, path, ext). The driver
+    holds a count per extension; an extension is ranked block by block of ord."""
+    rows = files.select("ext", "ord", "path")
+    groups = rows.groupBy("ext").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")).orderBy("first", "ext").collect()
+    sizes = {r["ext"]: r["n"] for r in groups}
+    if limit <= 0 or limit >= sum(sizes.values()):
+        return rows
+    taken = rows.sparkSession.createDataFrame([(k, sizes[k], n) for k, n in shares(sizes, limit).items() if n], "own string, n long, take long")
+    own = rows.withColumn("block", F.floor(F.col("ord") / 65536))
+    before = F.sum("m").over(Window.partitionBy("ext").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    bases = own.groupBy("ext", "block").agg(F.count(F.lit(1)).alias("m")).select("ext", "block", F.coalesce(before, F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("ext", "block").orderBy("ord", "path")) - 1
+    placed = own.withColumn("rank", rank).join(bases, ["ext", "block"]).withColumn("place", F.col("base") + F.col("rank"))
+    placed = placed.join(F.broadcast(taken), F.col("ext").eqNullSafe(F.col("own")))  # a row per extension
+    # Place p is one of floor(i n / take), i below take, if the next i after p take / n gives p back.
+    i = F.ceil(F.col("place") * F.col("take") / F.col("n"))
+    return placed.where((i < F.col("take")) & (F.floor(i * F.col("n") / F.col("take")) == F.col("place"))).select("ext", "ord", "path")
 
 
 def strip_paths(items: DataFrame) -> DataFrame:

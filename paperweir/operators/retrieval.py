@@ -6,6 +6,7 @@ import difflib
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,9 +14,9 @@ from pyspark.sql import types as T
 
 from paperweir.functions import text as X
 
-K1, B, FUZZY, MAX_WORDS = 1.5, 0.75, 0.9, 6000
-#: Facts of one or two words that are looked for at most.
-SHORT_FACTS = 10_000
+K1, B, FUZZY = 1.5, 0.75, 0.9
+#: Facts that one pass over the pages looks for; more take several passes.
+FACTS = 50_000
 _KEY = ["document", "idx"]
 
 
@@ -47,24 +48,6 @@ def plain(text):
     return X.casefold(X.squeeze(joined))
 
 
-def exact_facts(pages: DataFrame, facts: DataFrame) -> DataFrame:
-    """(fact, document, page): the first page of each document that holds the fact word for word. Facts meet pages on their
-    longest inner word, an equi-join; the containment is then tested."""
-    p = pages.select("document", "page", plain(F.col("text")).alias("t"))
-    f = facts.select("fact", plain(F.col("fact")).alias("f")).where("f <> ''").distinct()
-    inner = F.slice(F.split("f", " "), 2, F.greatest(F.size(F.split("f", " ")) - 2, F.lit(0)))
-    f = f.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    keys = p.select("document", "page", F.explode(F.array_distinct(F.split("t", " "))).alias("key"))
-    keys = keys.join(f.where("key is not null"), "key").select("document", "page", "fact", "f")
-    hit = keys.join(p, ["document", "page"]).where(F.contains("t", F.col("f"))).select("fact", "document", "page")
-    # Facts of one or two words have no inner word: every page is tested for them. They are few, or the join is refused.
-    short = f.where("key is null").select("fact", "f")
-    if short.limit(SHORT_FACTS + 1).count() > SHORT_FACTS:
-        raise ValueError(f"more than {SHORT_FACTS} facts of one or two words")
-    few = p.join(F.broadcast(short), F.contains(F.col("t"), F.col("f"))).select("fact", "document", "page")  # SHORT_FACTS rows at most
-    return hit.union(few).groupBy("fact", "document").agg(F.min("page").alias("page"))
-
-
 _INVISIBLE = re.compile("[\U000e0000-\U000e007f​‌‍⁠﻿᠎‪-‮⁦-⁩]")
 
 
@@ -73,51 +56,158 @@ def normalise(text: str) -> str:
     return " ".join(re.sub(r"(\w)-[ \t]*\n[ \t]*(\w)", r"\1\2", text).split()).casefold()
 
 
-def closest(words: list[str], target: str, least: float = 0.0) -> float:
-    """The best ratio of matching characters of any window of about the target's words; exactly what difflib says."""
-    size = len(target.split())
+def exact_facts(pages: DataFrame, facts: DataFrame) -> DataFrame:
+    """(fact, document, page): the first page of each document that holds the fact word for word, both normalised. One pass with
+    an automaton of all facts, or one for each FACTS of them; blank facts are nowhere, repeated ones are one."""
+    own = facts.select("fact").where("fact is not null").distinct()
+    passes = max(1, -(-own.count() // FACTS))
+    schema = T.StructType([T.StructField("fact", T.StringType()), pages.schema["document"], pages.schema["page"]])
+    out = None
+    for i in range(passes):
+        part = own if passes == 1 else own.where(F.pmod(F.xxhash64("fact"), F.lit(passes)) == i)
+        by_target: dict[str, list[str]] = {}
+        for r in part.collect():  # about FACTS short strings
+            if target := normalise(r["fact"]):
+                by_target.setdefault(target, []).append(r["fact"])
+
+        def run(batches, by_target=by_target):
+            import ahocorasick
+
+            found = ahocorasick.Automaton()
+            for target, names in by_target.items():
+                found.add_word(target, names)
+            if by_target:
+                found.make_automaton()
+            for batch in batches:
+                at, names = [], []
+                for row, text in enumerate(batch.column(2).to_pylist() if by_target else ()):
+                    hits = {n for _, each in found.iter(normalise(text or "")) for n in each}
+                    at += [row] * len(hits)
+                    names += sorted(hits)
+                if at:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=schema.names)
+
+        hit = pages.select("document", "page", "text").mapInArrow(run, schema)
+        out = hit if out is None else out.unionByName(hit)
+    return out.groupBy("fact", "document").agg(F.min("page").alias("page"))
+
+
+class Passage:
+    """A page's words, and where they stand among its characters."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        self.codes = np.frombuffer(" ".join(words).encode("utf-32-le"), np.int32).astype(np.int64)
+        size = np.array([len(w) for w in words] or [0])
+        self.ends = np.cumsum(size + 1) - 1
+        self.starts = self.ends - size
+
+
+def closest(page: Passage, target: str, least: float = 0.0) -> float:
+    """The best ratio of matching characters of any window of about the target's words; exactly what difflib says.
+
+    With T characters in both and M of them matching on either side, the ratio is 2 M / T. M is at most the letters that both
+    have, in any order. As at least one unmatched character parts two runs of matches, there are at most T - 2 M + 1 runs, and
+    M - (q - 1) runs of the window's q-grams stand in the target, so that M is at most (those + (q - 1)(T + 1)) / (2 q - 1).
+    Windows are measured in the order of the least of these bounds, until none can be better than what was found."""
+    words, size = page.words, len(target.split())
     m = difflib.SequenceMatcher(autojunk=False)
     m.set_seq2(target)
-    best = least
+    own = np.frombuffer(target.encode("utf-32-le"), np.int32).astype(np.int64)
+    spans = []
     for width in sorted({max(1, size - 1), size, size + 1}):
-        for at in range(max(1, len(words) - width + 1)):
-            m.set_seq1(" ".join(words[at : at + width]))
-            if m.real_quick_ratio() > best and m.quick_ratio() > best:
-                best = max(best, m.ratio())
+        n = max(1, len(words) - width + 1)
+        first = np.arange(n)
+        spans.append((page.starts[first], page.ends[np.minimum(first + width, max(len(words), 1)) - 1], first, np.full(n, width)))
+    a, b, first, width = (np.concatenate(c) for c in zip(*spans))
+    both = (b - a + len(own)).astype(float)
+    most = np.zeros(len(a))
+    for letter, n in zip(*np.unique(own, return_counts=True)):
+        seen = np.concatenate(([0], np.cumsum(page.codes == letter)))
+        most += np.minimum(seen[b] - seen[a], n)
+    for q in (2, 3, 4):
+        if len(own) < q or len(page.codes) < q:
+            continue
+        x, y = (sum(v[i : len(v) - q + 1 + i] << 16 * i for i in range(q)) for v in (page.codes & 0xFFFF, own & 0xFFFF))
+        seen = np.concatenate(([0], np.cumsum(np.isin(x, y)), np.zeros(q, np.int64)))
+        shared = np.where(b - a >= q, seen[np.maximum(b - q + 1, 0)] - seen[a], 0)
+        most = np.minimum(most, (np.minimum(shared, len(own) - q + 1) + (q - 1) * (both + 1)) / (2 * q - 1))
+    bound = 2 * most / np.maximum(both, 1)
+    best = least
+    for i in np.argsort(-bound, kind="stable").tolist():
+        if bound[i] <= best:
+            break
+        m.set_seq1(" ".join(words[first[i] : first[i] + width[i]]))
+        best = max(best, m.ratio())
     return best
 
 
-def fuzzy_facts(pages: DataFrame, facts: list[str], threshold: float = FUZZY) -> DataFrame:
-    """(fact, document, page, kind, score) of exact and fuzzy finds, the best page of each document. facts are a given list; a
-    page is compared only if enough of a fact's words stand on it for the ratio to be reached."""
+def fuzzy_facts(pages: DataFrame, facts: list[str], threshold: float = FUZZY, max_words: int | None = None) -> DataFrame:
+    """(fact, document, page, kind, score) of exact and fuzzy finds, the best page of each document. facts are a given list.
+    max_words limits the search of near finds to a page's first words; by default whole pages are searched."""
     targets = [(f, normalise(f)) for f in facts if normalise(f)]
+    schema = T.StructType([T.StructField("fact", T.StringType()), pages.schema["document"], T.StructField("page", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            out = []
-            for doc, page, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            at, out = [], []
+            for row, text in enumerate(batch.column(2).to_pylist()):
                 hay = normalise(text or "")
-                words = hay.split()[:MAX_WORDS]
-                letters = set(words)
+                page = Passage(hay.split()[:max_words])
                 for fact, target in targets:
-                    if target in hay:
-                        out.append((fact, doc, page, "exact", 1.0))
-                        continue
-                    # Ratio = 2 M / T: words without any counterpart cost at least their letters but those shared by chance.
-                    own = target.split()
-                    if sum(w in letters for w in own) * 3 < len(own):
-                        continue
-                    score = round(closest(words, target, threshold - 1e-9), 4)
-                    if score >= threshold:
-                        out.append((fact, doc, page, "fuzzy", score))
+                    least = threshold - 1e-9
+                    best = 1.0 if target in hay else closest(page, target, least) if threshold < 1 else least
+                    score = round(best, 4)
+                    if best > least:
+                        at.append(row)
+                        out.append((fact, "exact" if target in hay else "fuzzy", score))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out)], names=["fact", "document", "page", "kind", "score"])
+                fact, kind, score = (pa.array(list(c)) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([fact, batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), kind, score], names=schema.names)
 
-    found = pages.select("document", F.col("page").cast("long").alias("page"), "text").mapInArrow(run, "fact string, document string, page long, kind string, score double")
+    found = pages.select("document", F.col("page").cast("long").alias("page"), "text").mapInArrow(run, schema)
     w = Window.partitionBy("fact", "document").orderBy(F.desc("score"), F.col("kind"), "page")
     return found.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def as_facts(facts: list) -> list[tuple[str, str | None]]:
+    """(text, document or None) of texts and pairs; a blank text is a ValueError, anything else a TypeError."""
+    out = []
+    for fact in facts:
+        pair = (fact, None) if isinstance(fact, str) else fact
+        if not (isinstance(pair, tuple) and len(pair) == 2 and isinstance(pair[0], str) and isinstance(pair[1], str | None)):
+            raise TypeError(f"a fact is a text or a pair of text and document, not {fact!r}")
+        if not pair[0].strip():
+            raise ValueError("a fact cannot be blank")
+        out.append(pair)
+    return out
+
+
+def evaluate_facts(pages: DataFrame, facts: list, threshold: float = FUZZY, max_words: int | None = None, least: float | None = None) -> DataFrame:
+    """(fact, document, loader, found, score, page, matched_document): each fact against each loader's pages (loader, document,
+    page, text). A fact for one document is looked for in documents of this path or file name. found is exact, fuzzy or null.
+    Closest passages are scored down to `least` (by default the threshold: with 0 every page is searched to the end for the
+    best of its unlike passages); what scores less has score 0."""
+    pairs = as_facts(facts)
+    spark = pages.sparkSession
+    names = spark.createDataFrame([(t, d) for t, d in dict.fromkeys(pairs)], "fact string, wanted string")  # the caller's list
+    rows = pages.select(F.struct("loader", "document").alias("document"), "page", "text")
+    hits = fuzzy_facts(rows, list(dict.fromkeys(t for t, _ in pairs)), threshold if least is None else least, max_words)
+    hits = hits.select("fact", "document.loader", F.col("document.document").alias("own"), "page", F.col("kind").alias("how"), "score")
+    fits = F.col("wanted").isNull() | (F.col("wanted") == F.col("own")) | (F.col("wanted") == F.substring_index("own", "/", -1))
+    best = Window.partitionBy("fact", "wanted", "loader").orderBy(F.desc("score"), "how", "own", "page")
+    top = hits.join(F.broadcast(names), "fact").where(fits).withColumn("n", F.row_number().over(best)).where("n = 1")
+    loaders = pages.select("loader").distinct()
+    every = loaders.crossJoin(F.broadcast(names))  # a row per loader and fact
+    same = every["fact"].eqNullSafe(top["fact"]) & every["wanted"].eqNullSafe(top["wanted"]) & (every["loader"] == top["loader"])
+    got = (F.col("how") == "exact") | (F.col("score") >= threshold)
+    joined = every.join(top, same, "left").select(
+        every["fact"], every["wanted"].alias("document"), every["loader"], F.when(got, F.col("how")).alias("found"), F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.when(got, F.col("page")).alias("page"), F.when(got, F.col("own")).alias("matched_document"),
+    )
+    return joined
+
+
 def check_questions(chunks: DataFrame, docs: DataFrame, questions: DataFrame, top_k: int = 5) -> DataFrame:
     """(question, fact, status, rank): retrieved (a chunk with the fact is among the first top_k), ranked_low, split (only a
     whole document holds it) or missing. questions: (question, fact)."""
@@ -137,29 +227,40 @@ def hit_rate(results: DataFrame) -> DataFrame:
     return results.agg(F.bround(F.avg(got.cast("double")), 4).alias("hit_rate"), F.bround(F.avg(F.when(got, 1 / F.col("rank")).otherwise(0.0)), 4).alias("mean_reciprocal_rank"))
 
 
-def similarity(a: str, b: str) -> float:
+def similarity(a: str, b: str, max_words: int | None = None) -> float:
     """Ratio of matching words of two readings: 1 if equal, 0 if one is empty."""
     if a == b:
         return 1.0
-    x, y = a.split()[:MAX_WORDS], b.split()[:MAX_WORDS]
+    x, y = a.split()[:max_words], b.split()[:max_words]
+    if x == y:
+        return 1.0
     if not x or not y:
         return 0.0
     return round(difflib.SequenceMatcher(None, x, y, autojunk=False).ratio(), 4)
 
 
-def reading_similarity(pairs: DataFrame) -> DataFrame:
-    """pairs (…, a, b) with similarity."""
+def reading_similarity(pairs: DataFrame, max_words: int | None = None) -> DataFrame:
+    """pairs (…, a, b) with similarity. Whole texts are compared; max_words limits that to their first words."""
     kept = [f.name for f in pairs.schema.fields]
 
     def run(batches):
         for batch in batches:
             a, b = batch.column(batch.schema.get_field_index("a")).to_pylist(), batch.column(batch.schema.get_field_index("b")).to_pylist()
-            score = pa.array([similarity(x or "", y or "") for x, y in zip(a, b)], pa.float64())
+            score = pa.array([similarity(x or "", y or "", max_words) for x, y in zip(a, b)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*kept, "similarity"])
 
     return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("similarity", T.DoubleType())]))
 
 
+def disagreement(readings: DataFrame) -> DataFrame:
+    """(document, why) of readings (document, characters, other_characters, similarity, reordered) by two readers: one of them
+    read nothing, lengths differ by over a tenth, or what similarity below 0.95 means; null where they agree."""
+    more, less = F.greatest("characters", "other_characters"), F.least("characters", "other_characters")
+    why = F.when((less == 0) & (more > 0), "nothing read").when(more - less > 0.1 * more, "different length")
+    why = why.when(F.col("similarity") < 0.95, F.when(F.col("reordered"), "reordered").otherwise("different words"))
+    return readings.select("document", why.alias("why"))
+
+
 def segments(pairs: DataFrame) -> DataFrame:
     """(key, ord, kind, text) of pairs (key, a, b): runs of words that are the same, missing from b, or added in b."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from paperweir.functions.validators import VALIDATORS
@@ -49,8 +51,18 @@ _FOUND = f"""p AS ({SQL_PAGES}), c AS ({' UNION ALL '.join(_hits(c) for c in THR
  CASE category WHEN 'email_address' THEN 'pattern' ELSE 'confirmed' END AS evidence FROM k)"""
 
 
-def three(spark, sf_dir):
-    return I.scan(pages(spark, sf_dir), PAGE, THREE)
+def found(spark, sf_dir, categories=None):
+    """Matches of all categories, or of some."""
+    return I.scan(pages(spark, sf_dir), PAGE, categories)
+
+
+def with_three(names, queries, oracles):
+    """Queries over all categories have no SQL that is short enough to be read; each is also registered over three categories,
+    and its SQL checks that one."""
+    for name in names:
+        queries[name + "_three"] = partial(queries[name], categories=THREE)
+        if name in oracles:
+            oracles[name + "_three"] = oracles.pop(name)
 
 
 def _one(category):
@@ -64,14 +76,14 @@ def _one(category):
 
 
 def _grouped(*by):
-    def query(spark, sf_dir):
-        return I.counts(three(spark, sf_dir), *by)
+    def query(spark, sf_dir, categories=None):
+        return I.counts(found(spark, sf_dir, categories), *by)
 
     return query, f"WITH {_FOUND} SELECT {', '.join(by)}, count(*) AS matches FROM f GROUP BY ALL"
 
 
-def id_locate(spark, sf_dir):
-    return three(spark, sf_dir).select("document", "category", "line", "column", "length")
+def id_locate(spark, sf_dir, categories=None):
+    return found(spark, sf_dir, categories).select("document", "category", "line", "column", "length")
 
 
 def id_scan_all(spark, sf_dir):
@@ -87,14 +99,14 @@ def id_unreadable(spark, sf_dir):
     return I.unreadable(pages(spark, sf_dir), PAGE)
 
 
-def id_repeated(spark, sf_dir):
-    return I.repeated(three(spark, sf_dir), "document")
+def id_repeated(spark, sf_dir, categories=None):
+    return I.repeated(found(spark, sf_dir, categories), "document")
 
 
-def mask_text(spark, sf_dir):
+def mask_text(spark, sf_dir, categories=None):
     """Texts of pages that hold a match, masked."""
     p = pages(spark, sf_dir)
-    return I.mask_matches(p, three(spark, sf_dir), PAGE).where("replaced > 0")
+    return I.mask_matches(p, found(spark, sf_dir, categories), PAGE).where("replaced > 0")
 
 
 # Published examples and one-digit corruptions of each rule's numbers.
@@ -138,3 +150,4 @@ ORACLES["id_unreadable"] = f"SELECT document, page FROM ({SQL_PAGES}) WHERE text
 ORACLES["id_repeated"] = f"""WITH {_FOUND} SELECT * FROM (SELECT CASE category WHEN 'card_number' THEN 'Payment card number' WHEN 'email_address' THEN 'Email address' ELSE 'International phone number' END AS label,
  {_MASK} AS masked, count(DISTINCT document) AS units FROM f GROUP BY ALL) WHERE units > 1"""
 ORACLES["validators_all"] = values(CASES, "validator, value, valid").replace("True", "true").replace("False", "false")
+with_three(["id_counts_by_category", "id_counts_by_severity", "id_evidence", "id_locate", "id_repeated", "mask_text"], QUERIES, ORACLES)

@@ -12,11 +12,12 @@ from paperweir.operators import hidden as H
 from paperweir.operators import identifiers as I
 from paperweir.operators import loaders as L
 from paperweir.operators import report as R
+from paperweir.operators import retrieval as E
 from paperweir.operators import signals as S
 from paperweir.plans import signal_queries
-from paperweir.plans.chunk_queries import _SMUGGLED
+from paperweir.plans.chunk_queries import _SMUGGLED, _plain
 from paperweir.plans.extra import SQL_PAGES, pages
-from paperweir.plans.identifier_queries import _FOUND, _MASK, THREE, three
+from paperweir.plans.identifier_queries import _FOUND, _MASK, THREE, found, with_three
 from paperweir.plans.signal_queries import _ALL, _POINTS, _WEIGHT, overall_readiness, rated_signals, readiness_score
 from paperweir.sources import files
 from paperweir.sources.tables import PAGE, document_pages
@@ -56,8 +57,7 @@ def _two(spark, sf_dir) -> DataFrame:
 
 
 def _two_found(spark, sf_dir) -> DataFrame:
-    found = I.scan(_two(spark, sf_dir), ["loader", *PAGE], THREE)
-    return found.select("loader", "document", F.lit("text").alias("location"), "category", "severity", "masked")
+    return I.scan(_two(spark, sf_dir), ["loader", *PAGE], THREE).select("loader", "document", F.lit("text").alias("location"), "category", "severity", "masked")
 
 
 def loader_identifier_diff(spark, sf_dir):
@@ -75,11 +75,19 @@ def loader_uneven_keys(spark, sf_dir):
 
 
 def loader_summary(spark, sf_dir):
-    return L.summary(_two(spark, sf_dir), _two_found(spark, sf_dir))
+    t = L.summary(_two(spark, sf_dir), _two_found(spark, sf_dir))
+    return t.select("loader", "documents", "pages", "characters", F.col("identifiers_in_text").alias("identifiers"))
+
+
+def loader_facts(spark, sf_dir):
+    """Ten benchmark passages, of which some are for one document only, in what two loaders read."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(10).collect()  # the facts are a given list
+    facts = [r["text"] for r in b] + [("Card 4111 1111 1111 1111", "x_ids"), ("Card 4111 1111 1111 1111", "x_cid")]
+    return E.evaluate_facts(_two(spark, sf_dir), facts, threshold=1.0).select("fact", "document", "loader", "found", "matched_document")
 
 
 def loader_readings(spark, sf_dir):
-    p = pages(spark, sf_dir).where(F.length("text") < 4000)
+    p = pages(spark, sf_dir)
     return L.readings(p, p.withColumn("text", F.regexp_replace("text", "\\bthe\\b", "")))
 
 
@@ -88,16 +96,15 @@ def sample_files(spark, sf_dir):
     return L.sample(d.select(F.col("doc_id").alias("ord"), F.concat(F.lit("f"), F.col("doc_id")).alias("path"), F.col("lang").alias("ext")), 37)
 
 
-def _subjects(spark, sf_dir, part) -> DataFrame:
+def _subjects(spark, sf_dir, part, categories) -> DataFrame:
     p = pages(spark, sf_dir)
-    found = three(spark, sf_dir).where(part)
-    rows = found.select("document", F.concat_ws(" ", "category", "masked").alias("subject"))
+    rows = found(spark, sf_dir, categories).where(part).select("document", F.concat_ws(" ", "category", "masked").alias("subject"))
     return rows.unionByName(p.select("document", F.lit(None).cast("string").alias("subject")))
 
 
-def report_diff(spark, sf_dir):
+def report_diff(spark, sf_dir, categories=None):
     """The report without e-mail addresses against the one without card numbers."""
-    return R.changes(_subjects(spark, sf_dir, "category <> 'email_address'"), _subjects(spark, sf_dir, "category <> 'card_number'"))
+    return R.changes(_subjects(spark, sf_dir, "category <> 'email_address'", categories), _subjects(spark, sf_dir, "category <> 'card_number'", categories))
 
 
 def report_documents_diff(spark, sf_dir):
@@ -105,9 +112,9 @@ def report_documents_diff(spark, sf_dir):
     return R.document_changes(p.where("document <> 'x_ids'"), p.where("document <> 'x_cid'"))
 
 
-def quick_wins(spark, sf_dir):
+def quick_wins(spark, sf_dir, categories=None):
     p = pages(spark, sf_dir)
-    return R.quick_wins(p, three(spark, sf_dir), hidden=H.findings(p)).select("id", "documents")
+    return R.quick_wins(p, found(spark, sf_dir, categories), hidden=H.findings(p)).select("id", "documents")
 
 
 def limitations(spark, sf_dir):
@@ -115,9 +122,9 @@ def limitations(spark, sf_dir):
     return R.limitations(p, I.unscanned(p, ["document"]), S.rated(S.text_signals(p)))
 
 
-def tables_documents(spark, sf_dir):
+def tables_documents(spark, sf_dir, categories=None):
     p = pages(spark, sf_dir)
-    t = R.documents_table(p, three(spark, sf_dir), readiness_score(spark, sf_dir), overall_readiness(spark, sf_dir))
+    t = R.documents_table(p, found(spark, sf_dir, categories), readiness_score(spark, sf_dir), overall_readiness(spark, sf_dir, categories))
     return t.select("document", "pages", "readiness_score", "readiness_label", "global_score", "identifiers")
 
 
@@ -125,16 +132,16 @@ def tables_pages(spark, sf_dir):
     return R.pages_table(pages(spark, sf_dir)).select("document", "page", "source", "characters", "truncated", F.md5("text").alias("text_md5"))
 
 
-def tables_identifiers(spark, sf_dir):
-    return R.identifiers_table(three(spark, sf_dir)).select("document", "page", "line", "category", "severity", "evidence", "value")
+def tables_identifiers(spark, sf_dir, categories=None):
+    return R.identifiers_table(found(spark, sf_dir, categories)).select("document", "page", "line", "category", "severity", "evidence", "value")
 
 
 def tables_signals(spark, sf_dir):
     return R.table(rated_signals(spark, sf_dir), "signals").select("document", "signal", "status", "value", "rating", "weight")
 
 
-def report_aggregate(spark, sf_dir):
-    return R.aggregate(pages(spark, sf_dir), three(spark, sf_dir), readiness_score(spark, sf_dir))
+def report_aggregate(spark, sf_dir, categories=None):
+    return R.aggregate(pages(spark, sf_dir), found(spark, sf_dir, categories), readiness_score(spark, sf_dir))
 
 
 def _html(spark, sf_dir):
@@ -166,7 +173,7 @@ def stream_scan(spark, sf_dir):
 
 
 _FUNCS = (
-    loader_grouping, metadata_scan, path_exposure, steps_strip_paths, loader_identifier_diff, loader_uneven_docs, loader_uneven_keys, loader_summary, loader_readings, sample_files, report_diff, report_documents_diff,
+    loader_grouping, metadata_scan, path_exposure, steps_strip_paths, loader_identifier_diff, loader_uneven_docs, loader_uneven_keys, loader_summary, loader_facts, loader_readings, sample_files, report_diff, report_documents_diff,
     quick_wins, limitations, tables_documents, tables_pages, tables_identifiers, tables_signals, report_aggregate, html_text, html_comments, html_hidden, html_table_count, stream_scan,
 )
 QUERIES = {f.__name__: f for f in _FUNCS}
@@ -181,7 +188,7 @@ ORACLES = {
     "loader_identifier_diff": f"""SELECT document, 'text' AS location, category, severity, masked, string_agg(DISTINCT l, ',') AS found_by, CASE WHEN min(l) = 'a' THEN 'b' ELSE 'a' END AS missed_by
  FROM (SELECT *, 'a' AS l FROM {_IN_A} UNION ALL SELECT *, 'b' FROM {_IN_B}) WHERE len(document) % 5 <> 0 GROUP BY document, category, severity, masked HAVING count(DISTINCT l) = 1""",
     "tables_documents": f"""SELECT o.document, 1::BIGINT AS pages, r.score AS readiness_score, r.label AS readiness_label, o.global_score, coalesce(i.n, 0) AS identifiers
- FROM ({_SQL['overall_readiness']}) o JOIN ({_SQL['readiness_score']}) r USING (document) LEFT JOIN (SELECT document, count(*) AS n FROM {_IN_A} GROUP BY 1) i USING (document)""",
+ FROM ({_SQL['overall_readiness_three']}) o JOIN ({_SQL['readiness_score']}) r USING (document) LEFT JOIN (SELECT document, count(*) AS n FROM {_IN_A} GROUP BY 1) i USING (document)""",
     "tables_pages": f"SELECT document, page, text_source AS source, len(text)::INT AS characters, len(text) > 20000 AS truncated, md5(substr(text, 1, 20000)) AS text_md5 FROM ({SQL_PAGES})",
     "tables_signals": f"""WITH {_ALL} SELECT document, signal, CASE WHEN value IS NULL THEN 'not_applicable' ELSE 'measured' END AS status, value, CASE WHEN value IS NULL THEN NULL WHEN {_POINTS} = 1 THEN 'good' WHEN {_POINTS} = 0.5 THEN 'fair' ELSE 'poor' END AS rating, {_WEIGHT} AS weight FROM s""",
     "report_aggregate": f"""SELECT (SELECT count(DISTINCT document) FROM ({SQL_PAGES})) AS documents, (SELECT count(*) FROM ({SQL_PAGES})) AS pages, (SELECT count(*) FROM ({SQL_PAGES}) WHERE text_source = 'none') AS blank_pages,
@@ -189,6 +196,15 @@ ORACLES = {
     "quick_wins": f"""WITH {_SMUGGLED} SELECT * FROM (SELECT 'ocr_blank_pages' AS id, count(DISTINCT document) AS documents FROM p WHERE text_source = 'none'
  UNION ALL SELECT 'high_severity', count(DISTINCT document) FROM {_IN_A} WHERE severity = 'high' UNION ALL SELECT 'hidden_instructions', count(DISTINCT document) FROM sm WHERE kind = 'tag_characters'
  UNION ALL SELECT 'hidden_text', count(DISTINCT document) FROM sm WHERE kind <> 'tag_characters') WHERE documents > 0""",
+    "loader_facts": f"""WITH q AS (SELECT text AS fact, NULL::VARCHAR AS document FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 10) UNION SELECT 'Card 4111 1111 1111 1111', unnest(['x_ids', 'x_cid'])),
+ l AS (SELECT 'a' AS loader, document AS own, text FROM ({SQL_PAGES}) UNION ALL SELECT 'b', document, text FROM ({_B_PAGES})),
+ h AS (SELECT q.fact, q.document, loader, min(own) AS own FROM q JOIN l ON (q.document IS NULL OR q.document = own) AND contains({_plain('l.text')}, {_plain('q.fact')}) GROUP BY ALL)
+ SELECT q.fact, q.document, x.loader, CASE WHEN own IS NOT NULL THEN 'exact' END AS found, own AS matched_document FROM q CROSS JOIN (VALUES ('a'), ('b')) x(loader)
+ LEFT JOIN h ON h.fact = q.fact AND h.document IS NOT DISTINCT FROM q.document AND h.loader = x.loader""",
+    "sample_files": """WITH g AS (SELECT lang AS ext, count(*) AS n, min(doc_id) AS first, count(*) * 37.0::DOUBLE / (SELECT count(*) FROM documents) AS claim FROM documents GROUP BY 1),
+ t AS (SELECT *, floor(claim)::BIGINT + (row_number() OVER (ORDER BY claim - floor(claim) DESC, first) <= 37 - sum(floor(claim)) OVER ())::BIGINT AS take FROM g),
+ i AS (SELECT ext, (unnest(range(0, take)) * n / take)::DOUBLE AS place FROM t)
+ SELECT lang AS ext, doc_id AS ord, 'f' || doc_id AS path FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place FROM documents) d JOIN (SELECT ext, floor(place)::BIGINT AS place FROM i) i ON d.lang = i.ext AND d.place = i.place""",
     "loader_grouping": "SELECT 'conv_' || conv_id AS document, (turn + 1)::INT AS page, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text_md5, true AS page_count_known FROM conversations GROUP BY conv_id, turn",
     "metadata_scan": f"""SELECT DISTINCT 'conv_' || conv_id AS document, 'Author' AS key, 'email_address' AS category, 'medium' AS severity, 'pattern' AS evidence, {_MASK} AS masked, true AS significant
  FROM (SELECT conv_id, 'user' || conv_id || '@example.org' AS v FROM conversations WHERE conv_id % 5 = 0)""",
@@ -204,3 +220,4 @@ ORACLES = {
     "html_table_count": "SELECT page_id, 0 AS tables FROM pages WHERE NOT contains(html, '<table')",
     "stream_scan": r"SELECT 'email_address' AS category, sum(len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')))::BIGINT AS matches FROM documents",
 }
+with_three(["report_diff", "quick_wins", "tables_documents", "tables_identifiers", "report_aggregate"], QUERIES, ORACLES)

@@ -8,7 +8,7 @@ from paperweir.operators import cost as C
 from paperweir.operators import signals as S
 from paperweir.functions.fixed import MODELS, PRESETS
 from paperweir.plans.extra import SQL_PAGES, pages, values
-from paperweir.plans.identifier_queries import _FOUND, three
+from paperweir.plans.identifier_queries import _FOUND, found, with_three
 from paperweir.sources.tables import conversation_pages
 
 _GARBLED = r"""CASE WHEN len(text) >= 200 THEN round_even((len(regexp_extract_all(text, '[\x{FFFD}\x{FB00}-\x{FB06}]'))
@@ -65,13 +65,13 @@ def readiness_bands(spark, sf_dir):
     return S.distribution(readiness_score(spark, sf_dir))
 
 
-def exposure_score(spark, sf_dir):
-    return S.exposure(pages(spark, sf_dir), three(spark, sf_dir))
+def exposure_score(spark, sf_dir, categories=None):
+    return S.exposure(pages(spark, sf_dir), found(spark, sf_dir, categories))
 
 
-def overall_readiness(spark, sf_dir):
+def overall_readiness(spark, sf_dir, categories=None):
     p = pages(spark, sf_dir)
-    return S.overall(readiness_score(spark, sf_dir), S.cost_factor(p), exposure_score(spark, sf_dir))
+    return S.overall(readiness_score(spark, sf_dir), S.cost_factor(p), exposure_score(spark, sf_dir, categories))
 
 
 def cost_text(spark, sf_dir):
@@ -139,3 +139,4 @@ ORACLES |= {
  WHEN formula = 'tiled' THEN 85 + 170 * ceil(greatest(1, round_even(w * k, 0)) / 512) * ceil(greatest(1, round_even(h * k, 0)) / 512)
  WHEN w <= 384 AND h <= 384 THEN 258 ELSE ceil(w / 384) * ceil(h / 384) * 258 END::BIGINT AS tokens FROM e""",
 }
+with_three(["exposure_score", "overall_readiness"], QUERIES, ORACLES)
