@@ -473,5 +473,5 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     pairs = found.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     alike = pairs.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    named = _named(nodes, alike)
+    named = cut(_named(nodes, alike))
     return sketched.select("doc_id", "node").join(named, "node").select("doc_id", "node", "root", "component_id")
