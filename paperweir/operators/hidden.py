@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperweir.functions import text as X
 from paperweir.functions.fixed import INSTRUCTIONS
@@ -32,17 +34,15 @@ def smuggled(pages: DataFrame, zero_width: int = ZERO_WIDTH_RUN) -> DataFrame:
 
 
 def instructions(pages: DataFrame) -> DataFrame:
-    """(document, page, start, end, labels, parts): instruction-like matches in the text without invisible characters, those of
+    """(document, page, start, end, labels, parts, sentence): instruction-like matches in the text without invisible characters, those of
     one sentence together. Sentences end after . ! ? and at line feeds; long ones are cut to a window around the match."""
     compiled = [(label, re.compile(rx, re.IGNORECASE | re.MULTILINE)) for _, label, regexes in INSTRUCTIONS for rx in regexes]
-    invisible = re.compile("[\U000e0000-\U000e007f​‌‍⁠﻿᠎‪-‮⁦-⁩]")
-
-    def sentence(text, s, e):
-        left = 0
-        for m in _BOUNDARY.finditer(text, 0, s):
-            left = m.end()
-        after = _BOUNDARY.search(text, e)
-        right = after.start() if after else len(text)
+
+    def sentence(text, edges, s, e):
+        at = bisect_right(edges, s, key=lambda m: m[1])
+        left = edges[at - 1][1] if at else 0
+        after = bisect_left(edges, e, key=lambda m: m[0])
+        right = edges[after][0] if after < len(edges) else len(text)
         if right - left > _EXCERPT:
             left = max(left, s - 80)
             right = min(right, max(e, left + _EXCERPT))
@@ -50,23 +50,30 @@ def instructions(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for doc, page, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                text = invisible.sub("", text or "")
+            at, out = [], []
+            for row, text in enumerate(batch.column(2).to_pylist()):
                 hits = sorted((m.start(), m.end(), label) for label, rx in compiled for m in rx.finditer(text))
+                if not hits:
+                    continue
+                edges = [m.span() for m in _BOUNDARY.finditer(text)]
                 groups: dict = {}
                 for s, e, label in hits:
-                    labels, parts = groups.setdefault(sentence(text, s, e), ([], []))
+                    labels, parts = groups.setdefault(sentence(text, edges, s, e), ([], []))
                     if label not in labels:
                         labels.append(label)
                     parts.append(text[s:e])
-                out += [(doc, page, a, b, labels, parts) for (a, b), (labels, parts) in sorted(groups.items())]
+                at += [row] * len(groups)
+                out += [(a, b, labels, parts, text[a:b]) for (a, b), (labels, parts) in sorted(groups.items())]
             if out:
-                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=["document", "page", "start", "end", "labels", "parts"])
+                kinds = (pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
+                own = [batch.column(i).take(pa.array(at)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(own + [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=schema.names)
 
-    rows = pages.select("document", F.col("page").cast("long").alias("page"), "text")
-    return rows.mapInArrow(run, "document string, page long, start int, end int, labels array<string>, parts array<string>")
+    # A text without any match, as most are, does not leave the JVM. Only what stands before a boundary of this kind differs.
+    any_rule = "(?imU)" + "|".join(f"(?:{rx})" for _, _, regexes in INSTRUCTIONS for rx in regexes)
+    rows = pages.select("document", F.col("page").cast("long").alias("page"), X.strip_invisible(F.col("text")).alias("text")).where(F.rlike("text", F.lit(any_rule)))
+    schema = T.StructType([rows.schema["document"], *T._parse_datatype_string("page long, start int, end int, labels array<string>, parts array<string>, sentence string").fields])
+    return rows.mapInArrow(run, schema)
 
 
 def instruction_counts(pages: DataFrame) -> DataFrame:
@@ -89,27 +96,28 @@ def severity(visibility: Column, instruction: Column) -> Column:
 
 
 def findings(pages: DataFrame, hidden_runs: DataFrame | None = None, checked: bool = True) -> DataFrame:
-    """(document, page, visibility, instruction, severity, hidden_reasons, instruction_reasons, characters).
+    """(document, page, visibility, instruction, severity, hidden_reasons, instruction_reasons, characters, excerpt).
 
     hidden_runs: (document, page, text, visibility, reason, only_if_instruction) from files. A visible match whose parts all
     stand in a hidden run is not listed again; runs that count only with an instruction and have none are dropped."""
     seen = instructions(pages)
     s = smuggled(pages).select(
         "document", F.col("page").cast("long").alias("page"), F.lit("confirmed").alias("visibility"), F.when(F.col("kind") == "tag_characters", "confirmed").otherwise("none").alias("instruction"),
-        F.array("kind").alias("hidden_reasons"), F.array().cast("array<string>").alias("instruction_reasons"), F.col("length").alias("characters"),
+        F.array("kind").alias("hidden_reasons"), F.array().cast("array<string>").alias("instruction_reasons"), F.col("length").alias("characters"), F.col("decoded").alias("excerpt"),
     )
     if hidden_runs is not None:
-        named = hidden_runs.withColumn("document2", F.col("document")).select(F.concat_ws("\u0000", "document", F.col("page").cast("string"), F.monotonically_increasing_id().cast("string")).alias("document"), F.lit(1).alias("page"), "text", F.col("document2"), F.col("page").alias("page2"), "visibility", "reason", "only_if_instruction")
-        hits = instructions(named.select("document", "page", "text")).groupBy("document").agg(F.array_distinct(F.flatten(F.collect_list("labels"))).alias("labels"))
-        runs = named.join(hits, "document", "left").select(F.col("document2").alias("document"), F.col("page2").cast("long").alias("page"), "text", "visibility", "reason", "only_if_instruction", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
+        # Instructions are a property of a run's text: equal texts are looked at once and joined by their hash.
+        named = hidden_runs.select("document", F.col("page").cast("long").alias("page"), "text", "visibility", "reason", "only_if_instruction", F.sha2("text", 256).alias("run"))
+        hits = instructions(named.select(F.col("run").alias("document"), F.lit(1).alias("page"), "text").distinct()).groupBy("document").agg(F.array_distinct(F.flatten(F.collect_list("labels"))).alias("labels"))
+        runs = named.join(hits.withColumnRenamed("document", "run"), "run", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>"))).drop("run")
         runs = runs.where(~F.col("only_if_instruction") | (F.size("labels") > 0))
         compact = F.collect_list(X.casefold(F.regexp_replace(X.strip_invisible(F.col("text")), "(?U)\\s+", "")))
         texts = runs.groupBy("document", "page").agg(compact.alias("hid"))
         seen = seen.join(texts, ["document", "page"], "left")
         inside = F.forall("parts", lambda p: F.exists("hid", lambda h: F.contains(h, X.casefold(F.regexp_replace(p, "(?U)\\s+", "")))))
         seen = seen.where(F.col("hid").isNull() | ~inside)
-        s = s.unionByName(runs.select("document", "page", "visibility", F.when(F.size("labels") > 0, "pattern").otherwise("none").alias("instruction"), F.array("reason").alias("hidden_reasons"), F.col("labels").alias("instruction_reasons"), F.length("text").alias("characters")))
-    v = seen.select("document", "page", F.lit("visible" if checked else "not_measured").alias("visibility"), F.lit("pattern").alias("instruction"), F.array().cast("array<string>").alias("hidden_reasons"), F.col("labels").alias("instruction_reasons"), (F.col("end") - F.col("start")).alias("characters"))
+        s = s.unionByName(runs.select("document", "page", "visibility", F.when(F.size("labels") > 0, "pattern").otherwise("none").alias("instruction"), F.array("reason").alias("hidden_reasons"), F.col("labels").alias("instruction_reasons"), F.length("text").alias("characters"), F.col("text").alias("excerpt")))
+    v = seen.select("document", "page", F.lit("visible" if checked else "not_measured").alias("visibility"), F.lit("pattern").alias("instruction"), F.array().cast("array<string>").alias("hidden_reasons"), F.col("labels").alias("instruction_reasons"), (F.col("end") - F.col("start")).alias("characters"), F.col("sentence").alias("excerpt"))
     return s.unionByName(v).withColumn("severity", severity(F.col("visibility"), F.col("instruction")))
 
 

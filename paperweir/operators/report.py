@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperweir.functions import text as X
+
 # The eleven tables of a report and their columns.
 TABLES = {
-    "documents": "document, format, pages, page_count_known, readiness_score, readiness_label, global_score, identifiers, hidden_passages, hidden_high, visibility_checked, load_warnings, seconds",
-    "pages": "document, page, source, characters, truncated, text",
-    "identifiers": "document, page, line, category, label, severity, evidence, value, confidence",
-    "signals": "document, signal, name, status, value, display, rating, weight, reason",
-    "hidden": "document, page, visibility, instruction, severity, hidden_reasons, instruction_reasons, excerpt, score, in_loader_output",
-    "metadata": "document, key, category, label, severity, evidence, value, significant",
-    "limitations": "area, severity, statement, affected",
-    "quick_wins": "id, title, actor, documents, effect, saving_usd_per_1000",
-    "loaders": "loader, tags, baseline, documents, pages, characters, seconds, network_allowed, network_attempts, error, metadata_keys, identifiers_in_text, identifiers_in_metadata, readiness_score, global_score, failed_files, cached_files, facts_found, parser_usd",
-    "differences": "document, category, severity, evidence, location, keys, value, found_by, missed_by",
-    "facts": "fact, document, loader, found, score, page, matched_document",
+    "documents": ["document", "format", "pages", "page_count_known", "readiness_score", "readiness_label", "global_score", "identifiers", "hidden_passages", "hidden_high", "visibility_checked", "load_warnings", "seconds"],
+    "pages": ["document", "page", "source", "characters", "truncated", "text"],
+    "identifiers": ["document", "page", "line", "category", "label", "severity", "evidence", "value", "confidence"],
+    "signals": ["document", "signal", "name", "status", "value", "display", "rating", "weight", "reason"],
+    "hidden": ["document", "page", "visibility", "instruction", "severity", "hidden_reasons", "instruction_reasons", "excerpt", "score", "in_loader_output"],
+    "metadata": ["document", "key", "category", "label", "severity", "evidence", "value", "significant"],
+    "limitations": ["area", "severity", "statement", "affected"],
+    "quick_wins": ["id", "title", "actor", "documents", "effect", "saving_usd_per_1000"],
+    "loaders": ["loader", "tags", "baseline", "documents", "pages", "characters", "seconds", "network_allowed", "network_attempts", "error", "metadata_keys", "identifiers_in_text", "identifiers_in_metadata", "readiness_score", "global_score", "failed_files", "cached_files", "facts_found", "parser_usd"],
+    "differences": ["document", "category", "severity", "evidence", "location", "keys", "value", "found_by", "missed_by"],
+    "facts": ["fact", "document", "loader", "found", "score", "page", "matched_document"],
 }
+#: Characters of a page that a report keeps; the column truncated says where there were more. Operators read whole pages.
 PAGE_CHARACTERS = 20_000
 
 
@@ -26,7 +31,7 @@ def table(rows: DataFrame, name: str) -> DataFrame:
     """rows in the columns of a report table; what rows do not have is null. An unknown name is a ValueError."""
     if name not in TABLES:
         raise ValueError(f"no table {name!r}; there are {', '.join(TABLES)}")
-    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in TABLES[name].split(", ")])
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in TABLES[name]])
 
 
 def documents_table(pages: DataFrame, matches: DataFrame, scored: DataFrame, overall: DataFrame) -> DataFrame:
@@ -76,33 +81,166 @@ def aggregate(pages: DataFrame, matches: DataFrame, scored: DataFrame) -> DataFr
     return p.crossJoin(m).crossJoin(s)  # one row each
 
 
-def quick_wins(pages: DataFrame, matches: DataFrame, metadata: DataFrame | None = None, hidden: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
-    """(id, title, documents) of what would help most documents first."""
-    parts = [
-        pages.where("text_source = 'none'").select("document", F.lit("ocr_blank_pages").alias("id"), F.lit("Recognise the text of blank pages").alias("title")),
-        matches.where("severity = 'high'").select("document", F.lit("high_severity").alias("id"), F.lit("Mask identifiers of high severity").alias("title")),
-    ]
+# Recommended actions, whose turn each is, and what it would change.
+WINS = {
+    "hidden_instructions": ("Remove hidden instructions before these reach a model", "you", "a model no longer receives instructions a reviewer cannot see"),
+    "hidden_text": ("Review the text a reader does not see", "you", "what a model reads is what a reviewer sees"),
+    "ocr_blank_pages": ("Read the pages nothing came off", "tool", "they would move onto the text path"),
+    "supply_password": ("Supply a password for the encrypted files", "you", "they would be audited"),
+    "unsupported_types": ("Decide what to do with the files that are not documents", "you", "they were not looked at, so nothing here describes them"),
+    "unreadable_files": ("Replace the files that could not be opened", "you", "they are missing from every figure"),
+    "route_reader": ("Read these with a different library", "you", "the text reaches a model in the order it was written"),
+    "reader_disputed": ("Check what the readers disagreed about", "you", "the text may not be what the page says"),
+    "high_severity": ("Deal with the confirmed high-severity identifiers", "you", "the strongest findings by evidence and severity"),
+    "rescan_pages": ("Rescan these at a higher resolution", "you", "what a model reads would match what is on the page"),
+    "strip_metadata": ("Strip identifying metadata before indexing", "you", "identifiers and paths are no longer stored with every chunk"),
+}
+_SKIPPED = {"supply_password": "password", "unsupported_types": "unsupported"}
+
+
+def _none(*columns: str) -> str:
+    return " and ".join(f"not contains(lower({c[0]}), '{c[1]}')" for c in (("reason", v) for v in columns))
+
+
+def quick_wins(pages: DataFrame, matches: DataFrame, metadata: DataFrame | None = None, hidden: DataFrame | None = None, skipped: DataFrame | None = None, disagreements: DataFrame | None = None, signals: DataFrame | None = None, paths: DataFrame | None = None, saving_usd_per_1000: float | None = None) -> DataFrame:
+    """(id, title, actor, documents, effect, saving_usd_per_1000) of what would help, by those rules whose tables are given; an
+    action that applies to no document is not listed. disagreements: retrieval.disagreement(); paths: documents with absolute
+    paths in their metadata; the saving is of a document that moves from images to text."""
+    parts = {"ocr_blank_pages": pages.where("text_source = 'none'"), "high_severity": matches.where("severity = 'high' and evidence = 'confirmed'")}
     if metadata is not None:
-        parts.append(metadata.where("significant").select("document", F.lit("strip_metadata").alias("id"), F.lit("Strip identifying metadata").alias("title")))
+        parts["strip_metadata"] = metadata.where("significant").select("document")
+        if paths is not None:
+            parts["strip_metadata"] = parts["strip_metadata"].unionByName(paths.select("document"))
+    if hidden is not None:
+        told = hidden.where("severity = 'high'").select("document").distinct()
+        parts["hidden_instructions"] = told
+        parts["hidden_text"] = hidden.where("visibility in ('suspected', 'confirmed')").join(told, "document", "left_anti")
+    if skipped is not None:
+        files = skipped.withColumn("document", F.col("path"))
+        for i, word in _SKIPPED.items():
+            parts[i] = files.where(F.contains(F.lower("reason"), F.lit(word)))
+        parts["unreadable_files"] = files.where(_none(*_SKIPPED.values()))
+    if disagreements is not None:
+        parts["route_reader"], parts["reader_disputed"] = disagreements.where("why = 'reordered'"), disagreements.where("why = 'different words'")
+    if signals is not None:
+        parts["rescan_pages"] = signals.where("signal = 'ocr_confidence' and rating = 'poor'")
+    rows = reduce(lambda a, b: a.unionByName(b), [p.select("document", F.lit(i).alias("id")) for i, p in parts.items()])
+    known = F.create_map(*[x for i, (title, actor, effect) in WINS.items() for x in (F.lit(i), F.struct(F.lit(title).alias("title"), F.lit(actor).alias("actor"), F.lit(effect).alias("effect")))])
+    g = rows.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("documents")).withColumn("w", F.element_at(known, F.col("id")))
+    if saving_usd_per_1000 is None:
+        saving = F.lit(None).cast("double")
+    else:
+        n = pages.agg(F.countDistinct("document").alias("all"))
+        g = g.crossJoin(F.broadcast(n))  # one row
+        saving = F.when(F.col("id") == "ocr_blank_pages", F.bround(F.lit(saving_usd_per_1000) * F.col("documents") / F.col("all"), 4))
+    return g.select("id", "w.title", "w.actor", "documents", "w.effect", saving.alias("saving_usd_per_1000")).orderBy(F.desc("documents"), "title")
+
+
+def limitations(pages: DataFrame, unscanned: DataFrame, signals: DataFrame, hidden: DataFrame | None = None, skipped: DataFrame | None = None, disagreements: DataFrame | None = None, differences: DataFrame | None = None, facts: DataFrame | None = None, uneven: DataFrame | None = None, tables: DataFrame | None = None, components=("cost", "readiness", "sensitive"), reveal: bool = False, sampled_from: int | None = None, monthly: int | None = None, stale: list[str] = (), unpriced: list[str] = ()) -> DataFrame:
+    """(area, severity, statement, affected): what could not be measured or must be kept in mind, by those rules whose tables are
+    given. affected counts documents (categories, facts or models where the statement is about these)."""
+    spark, rows = pages.sparkSession, []
+
+    def say(found: DataFrame, area: str, severity: str, statement, what: str = "document") -> None:
+        named = found.withColumn("statement", F.lit(statement) if isinstance(statement, str) else statement)
+        g = named.groupBy("statement").agg(F.countDistinct(what).alias("affected"))
+        rows.append(g.select(F.lit(area).alias("area"), F.lit(severity).alias("severity"), "statement", "affected"))
+
+    noted: list[tuple[str, str, str, int]] = []
+    if sampled_from is not None:
+        noted.append(("Sampling", "important", f"this run covers a sample of the {sampled_from} documents found", 0))
+    if disagreements is not None:
+        say(disagreements.where("why is not null"), "Extraction", "important", "the readers compared read documents differently")
     if hidden is not None:
-        parts.append(hidden.where("severity = 'high'").select("document", F.lit("hidden_instructions").alias("id"), F.lit("Remove hidden instructions").alias("title")))
-        parts.append(hidden.where("severity = 'medium' and visibility <> 'visible'").select("document", F.lit("hidden_text").alias("id"), F.lit("Review hidden text").alias("title")))
+        told = hidden.where("severity = 'high'").select("document").distinct()
+        say(told, "Hidden content", "important", "passages read as instructions to a model and are hidden from a reader")
+        say(hidden.where("visibility in ('suspected', 'confirmed')").join(told, "document", "left_anti"), "Hidden content", "important", "documents contain text a reader does not see")
+        say(hidden.where("visibility = 'not_measured'"), "Hidden content", "info", "hidden text was not checked in documents with instruction-like text")
+        noted.append(("Hidden content", "info", "text inside images is not checked; instruction patterns are mostly English", 0))
     if skipped is not None:
-        kinds = {"unsupported file type": ("unsupported_types", "Convert files of unsupported types"), "file could not be read": ("unreadable_files", "Repair unreadable files"), "password needed": ("supply_password", "Supply passwords")}
-        for reason, (i, title) in kinds.items():
-            parts.append(skipped.where(F.col("reason") == reason).select(F.col("path").alias("document"), F.lit(i).alias("id"), F.lit(title).alias("title")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.distinct().groupBy("id", "title").agg(F.count(F.lit(1)).alias("documents"))
-
-
-def limitations(pages: DataFrame, unscanned: DataFrame, signals: DataFrame) -> DataFrame:
-    """(area, statement, affected): what could not be measured, by reason."""
-    a = unscanned.groupBy("category").agg(F.countDistinct("document").alias("affected")).select(F.lit("sensitive").alias("area"), F.concat(F.col("category"), F.lit(" was not scanned for")).alias("statement"), "affected")
-    b = pages.where("text_source = 'none'").agg(F.countDistinct("document").alias("affected")).where("affected > 0").select(F.lit("ingest").alias("area"), F.lit("pages without text were not read").alias("statement"), "affected")
-    c = signals.where("status <> 'measured'").groupBy("signal", "reason").agg(F.countDistinct("document").alias("affected")).select(F.lit("readiness").alias("area"), F.concat("signal", F.lit(": "), "reason").alias("statement"), "affected")
-    return a.unionByName(b).unionByName(c)
+        say(skipped.withColumn("document", F.col("path")), "Files not examined", "important", F.concat(F.lit("files were not examined: "), "reason"))
+        say(skipped.withColumn("document", F.col("path")).where("contains(lower(reason), 'password')"), "Encrypted documents", "important", "documents are password protected and could not be opened")
+    say(pages.where("text_source = 'none'"), "Pages that could not be read", "important", "pages without text were not searched")
+    say(unscanned, "Categories not scanned", "important", F.concat(F.col("category"), F.lit(" was not scanned for")))
+    say(signals.where("status = 'error'"), "Signals that failed", "important", F.concat("signal", F.lit(": "), "reason"))
+    if tables is not None:
+        say(tables.where("detected_by <> 'lines'"), "Table detection", "info", "tables aligned by white space are counted, their headers and merged cells are not measured")
+    say(pages.where("format not in ('pdf', 'pptx', 'xlsx')"), "Page counts", "info", "documents have no fixed pagination, so page counts and costs per page are not measurements")
+    if differences is not None:
+        say(differences, "Loaders", "important", "identifiers turned up in the output of some loaders and not of others")
+    if facts is not None:
+        say(facts.where("found is null"), "Loaders", "important", F.concat(F.lit("expected facts were not found by "), "loader"), "fact")
+    if uneven is not None:
+        say(uneven, "Loaders", "important", "the loaders did not all return the same documents")
+    if stale:
+        noted.append(("Price provenance", "important", "prices have not been verified lately", len(stale)))
+    if unpriced:
+        noted.append(("Models not costed", "info", "models carry no price, so no cost was computed for them", len(unpriced)))
+    if "cost" in components:
+        noted += [("Token counting", "info", "token counts are a character estimate", 0), ("Cost scope", "info", "only input cost is estimated", 0), ("Currency", "info", "costs are shown in US dollars", 0)]
+    if monthly:
+        noted.append(("Volume extrapolation", "important", f"monthly figures assume that these documents are like the {monthly} of a month", 0))
+    if reveal:
+        noted.append(("Masking", "important", "this report contains unmasked values", 0))
+    for name in sorted({"cost", "readiness", "sensitive"} - set(components)):
+        noted.append(("Components not run", "important", f"nothing here says anything about {name}", 0))
+    out = reduce(lambda a, b: a.unionByName(b), rows)
+    return out.unionByName(spark.createDataFrame(noted, "area string, severity string, statement string, affected long")) if noted else out
+
+
+def hidden_table(findings: DataFrame, excerpt: int = 240) -> DataFrame:
+    """findings with their excerpts: white space single, identifiers masked, cut to `excerpt` characters with an ellipsis."""
+    from paperweir.operators import identifiers as I
+
+    clean = F.substring(X.squeeze(F.col("excerpt")), 1, 2 * excerpt)
+    own = findings.withColumn("text", clean).withColumn("key", F.sha2("text", 256))
+    texts = own.select("key", "text").where("text is not null").distinct()
+    masked = I.mask_matches(texts, I.scan(texts, ["key"]), ["key"]).select("key", F.col("text").alias("shown"))
+    cut = F.when(F.length("shown") > excerpt, F.concat(F.regexp_replace(F.substring("shown", 1, excerpt - 1), "(?U)\\s+$", ""), F.lit("…"))).otherwise(F.col("shown"))
+    rows = own.join(masked, "key", "left").withColumns({"excerpt": cut, "hidden_reasons": F.array_join("hidden_reasons", "; "), "instruction_reasons": F.array_join("instruction_reasons", "; ")})
+    return table(rows, "hidden")
+
+
+def full_audit(pages: DataFrame, items: DataFrame | None = None, categories=None, facts: list | None = None, skipped: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of a report on pages (document, page, text, text_source, format): lazily, by their names. items is loader output
+    with metadata; facts are looked for in the pages, as read by one loader named report."""
+    from paperweir.operators import hidden as H
+    from paperweir.operators import identifiers as I
+    from paperweir.operators import loaders as L
+    from paperweir.operators import retrieval as E
+    from paperweir.operators import signals as S
+
+    found = I.scan(pages, ["document", "page"], categories)
+    rated = S.rated(S.text_signals(pages))
+    scored = S.scores(rated)
+    overall = S.overall(scored, S.cost_factor(pages), S.exposure(pages, found))
+    passages = H.findings(pages)
+    own = pages.withColumn("loader", F.lit("report"))
+    metadata = L.scan_metadata(items, categories) if items is not None else None
+    checked = E.evaluate_facts(own, facts) if facts else None
+    per = passages.groupBy("document").agg(F.count(F.lit(1)).alias("hidden_passages"), F.count_if(F.col("severity") == "high").alias("hidden_high"))
+    documents = documents_table(pages, found, scored, overall).drop("hidden_passages", "hidden_high").join(per, "document", "left").fillna(0, ["hidden_passages", "hidden_high"])
+    empty = lambda name: table(pages.limit(0), name)
+    unscanned = I.unscanned(pages.select("document").distinct(), ["document"])
+    return {
+        "documents": table(documents, "documents"), "pages": pages_table(pages), "identifiers": identifiers_table(found), "signals": table(rated, "signals"), "hidden": hidden_table(passages),
+        "metadata": table(metadata.withColumn("value", F.col("masked")), "metadata") if metadata is not None else empty("metadata"),
+        "limitations": limitations(pages, unscanned, rated, passages, skipped, facts=checked), "quick_wins": quick_wins(pages, found, metadata, passages, skipped, signals=rated),
+        "loaders": table(L.summary(own, found.withColumn("loader", F.lit("report")), facts=checked, baseline="report"), "loaders"), "differences": empty("differences"),
+        "facts": table(checked, "facts") if checked is not None else empty("facts"), "unscanned": unscanned, "skipped": skipped if skipped is not None else spark_empty(pages),
+    }
+
+
+def spark_empty(pages: DataFrame) -> DataFrame:
+    return pages.sparkSession.createDataFrame([], "path string, reason string")
+
+
+def write_text(pages: DataFrame, path: str) -> None:
+    """Extracted text as files: one folder per document, its text in one file with a line before each page that has any text,
+    naming the page and where the text came from. The files hold every identifier in full."""
+    body = pages.where(F.rlike("text", F.lit("(?U)\\S"))).select("document", "page", F.concat(F.lit("--- page "), F.col("page"), F.lit(" ("), "text_source", F.lit(") ---\n"), F.regexp_replace("text", "(?U)\\s+$", ""), F.lit("\n")).alias("value"))
+    listed = body.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("page", "value"))).alias("pages"))
+    listed.select("document", F.array_join(F.transform("pages", lambda p: p["value"]), "\n").alias("value")).write.mode("overwrite").partitionBy("document").text(path)
 
 
 class ExpectationError(AssertionError):

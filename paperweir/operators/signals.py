@@ -214,3 +214,56 @@ def column_count(blocks: DataFrame) -> DataFrame:
     many = blocks.groupBy("document", "page").agg(F.count(F.lit(1)).alias("n")).where("n >= 25")
     gap = F.col("b") - F.lag("b").over(Window.partitionBy("document", "page").orderBy("b")) - 1
     return strip.join(many, ["document", "page"]).withColumn("gap", gap).groupBy("document", "page").agg((F.count_if(F.col("gap") >= 7) + 1).alias("columns"))
+
+
+def coverage(boxes: DataFrame, grid: int = 240) -> DataFrame:
+    """(document, page, share): the part of a page that its boxes (document, page, width, height, x0, y0, x1, y1) cover, on a
+    grid on which every cell that a box touches counts once. Boxes without area and pages without size cover nothing. A box
+    is cut into its rows of cells, and a row's cells are the union of its boxes', so that no cell is ever a row of data."""
+    area = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")) & (F.col("width") > 0) & (F.col("height") > 0)
+    inside = lambda c: F.greatest(F.lit(0), F.least(F.lit(grid), c)).cast("int")
+    low = lambda c, size: inside(F.col(c).cast("double") * (F.lit(float(grid)) / F.col(size)))
+    high = lambda c, size: inside(F.ceil(F.col(c).cast("double") * (F.lit(float(grid)) / F.col(size))))
+    rows = boxes.where(area).select("document", "page", low("x0", "width").alias("a"), high("x1", "width").alias("b"), low("y0", "height").alias("c"), high("y1", "height").alias("d")).where("b > a and d > c")
+    lines = rows.select("document", "page", F.struct("a", "b").alias("s"), F.explode(F.sequence(F.col("c"), F.col("d") - 1)).alias("line"))
+    spans = lines.groupBy("document", "page", "line").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+    start = F.struct(F.lit(0).alias("to"), F.lit(0).alias("n"))
+    step = lambda t, s: F.struct(F.greatest(t["to"], s["b"]).alias("to"), (t["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(t["to"], s["a"]))).alias("n"))
+    cells = spans.select("document", "page", F.aggregate("spans", start, step, lambda t: t["n"]).alias("n")).groupBy("document", "page").agg(F.sum("n").alias("n"))
+    return boxes.select("document", "page").distinct().join(cells, ["document", "page"], "left").select("document", "page", (F.coalesce("n", F.lit(0)) / float(grid * grid)).alias("share"))
+
+
+# What a page must hold for its language to be told.
+LEAST_LETTERS, LEAST_SHARE = 60, 0.5
+# Frequent words of languages.
+STOP_WORDS = {
+    "de": "der die das und ist nicht ein eine den von mit sich auf für im dem zu des wird sind auch als bei nach",
+    "en": "the of and to in is that it for was on are with as his they be at this have from or by not",
+    "es": "el la los las de y que en un una es se no por con para su al lo como más del este",
+    "fr": "le la les des et est un une dans que qui pour pas sur au avec il elle ce du par plus sont",
+    "it": "il di che è la e un una per non con sono le del della si da come più anche nel alla gli",
+    "nl": "de het een en van is dat niet op te in zijn voor met aan er maar ook als bij naar door",
+    "pt": "o a os as de e que em um uma é não para com por do da se mais como dos no ao",
+}
+
+
+def language(text: Column) -> Column:
+    """The language whose frequent words a text holds most of (of equals the first by name), or null where it has under 60
+    letters, or letters are under half of its characters, or none of these words stands in it."""
+    t = X.strip(text)
+    letters = F.length(F.regexp_replace(t, "(?U)[^\\p{L}]", ""))
+    words = F.regexp_extract_all(F.lower(t), F.lit("(?U)\\p{L}+"), F.lit(0))
+
+    def held(own: str) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(own.split())))
+
+    counts = [F.struct(held(own).alias("n"), F.lit(-i).alias("turn"), F.lit(code).alias("code")) for i, (code, own) in enumerate(sorted(STOP_WORDS.items()))]
+    best = F.array_max(F.array(*counts))
+    return F.when((letters >= LEAST_LETTERS) & (letters >= LEAST_SHARE * F.length(t)) & (best["n"] > 0), best["code"])
+
+
+def language_count(pages: DataFrame, detect=language) -> DataFrame:
+    """The signal language_count: distinct languages of a document's pages of prose. detect: text column to language column."""
+    g = pages.select("document", "format", detect(F.col("text")).alias("l")).groupBy("document", "format").agg(F.countDistinct("l").cast("double").alias("n"))
+    none = F.col("n") == 0
+    return g.select("document", "format", F.lit("language_count").alias("signal"), F.when(~none, F.col("n")).alias("value"), F.when(none, "no page carried enough prose").alias("reason"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperweir.operators import extraction as X
 from paperweir.operators import hidden as H
 from paperweir.operators import identifiers as I
 from paperweir.operators import loaders as L
@@ -15,7 +16,7 @@ from paperweir.operators import report as R
 from paperweir.operators import retrieval as E
 from paperweir.operators import signals as S
 from paperweir.plans import signal_queries
-from paperweir.plans.chunk_queries import _SMUGGLED, _plain
+from paperweir.plans.chunk_queries import _NS, _SMUGGLED, _plain, _trim
 from paperweir.plans.extra import SQL_PAGES, pages
 from paperweir.plans.identifier_queries import _FOUND, _MASK, THREE, found, with_three
 from paperweir.plans.signal_queries import _ALL, _POINTS, _WEIGHT, overall_readiness, rated_signals, readiness_score
@@ -122,6 +123,55 @@ def limitations(spark, sf_dir):
     return R.limitations(p, I.unscanned(p, ["document"]), S.rated(S.text_signals(p)))
 
 
+def tables_hidden(spark, sf_dir):
+    return R.hidden_table(H.findings(pages(spark, sf_dir))).select("document", "page", "visibility", "instruction", "severity", "excerpt")
+
+
+def tables_metadata(spark, sf_dir):
+    m = L.scan_metadata(_items(spark, sf_dir), ["email_address"])
+    return R.table(m.withColumn("value", F.col("masked")), "metadata").select("document", "key", "category", "severity", "evidence", "value", "significant")
+
+
+def tables_loaders(spark, sf_dir):
+    t = R.table(L.summary(_two(spark, sf_dir), _two_found(spark, sf_dir), baseline="a"), "loaders")
+    return t.select("loader", "baseline", "documents", "pages", "characters", "identifiers_in_text")
+
+
+def extract_split(spark, sf_dir):
+    """Parts of at most 60 tokens, unmasked."""
+    return X.extract(pages(spark, sf_dir), mask=False, max_tokens=60).select("document", "page", "part", "tokens", F.md5("text").alias("text_md5"))
+
+
+def extract_masked(spark, sf_dir, categories=None):
+    t = X.extract(pages(spark, sf_dir), categories=categories)
+    return t.select("document", "page", "masked", "masked_confirmed")
+
+
+def extract_warnings(spark, sf_dir):
+    return X.warnings(pages(spark, sf_dir)).select("kind", "document", "page")
+
+
+def extract_verdict(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return X.verdict(X.extract(p, categories=THREE), X.warnings(p))
+
+
+def page_coverage(spark, sf_dir):
+    """Boxes by the documents table's numbers: thirty documents of three pages."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    x0, y0 = F.col("doc_id") * 37 % 500, F.col("doc_id") * 53 % 700
+    boxes = d.select((F.col("doc_id") % 30).alias("document"), (F.col("doc_id") % 3).alias("page"), F.lit(600).alias("width"), F.lit(800).alias("height"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("n_chars") % 120).alias("x1"), (y0 + F.col("n_chars") % 90).alias("y1"))
+    return S.coverage(boxes).select("document", "page", F.bround(F.col("share") * 57600).cast("long").alias("cells"))
+
+
+def sig_language(spark, sf_dir):
+    return S.language_count(pages(spark, sf_dir)).select("document", "value")
+
+
+def sig_language_names(spark, sf_dir):
+    return pages(spark, sf_dir).select("document", S.language(F.col("text")).alias("language"))
+
+
 def tables_documents(spark, sf_dir, categories=None):
     p = pages(spark, sf_dir)
     t = R.documents_table(p, found(spark, sf_dir, categories), readiness_score(spark, sf_dir), overall_readiness(spark, sf_dir, categories))
@@ -153,7 +203,7 @@ def html_text(spark, sf_dir):
 
 
 def html_comments(spark, sf_dir):
-    return _html(spark, sf_dir).select("page_id", F.size(F.filter("hidden", lambda h: h["reason"] == "comment")).alias("comments"))
+    return _html(spark, sf_dir).select("page_id", F.size(F.filter("hidden", lambda h: h["reason"] == "HTML comment")).alias("comments"))
 
 
 def html_hidden(spark, sf_dir):
@@ -174,6 +224,7 @@ def stream_scan(spark, sf_dir):
 
 _FUNCS = (
     loader_grouping, metadata_scan, path_exposure, steps_strip_paths, loader_identifier_diff, loader_uneven_docs, loader_uneven_keys, loader_summary, loader_facts, loader_readings, sample_files, report_diff, report_documents_diff,
+    tables_hidden, tables_metadata, tables_loaders, extract_split, extract_masked, extract_warnings, extract_verdict, page_coverage, sig_language, sig_language_names,
     quick_wins, limitations, tables_documents, tables_pages, tables_identifiers, tables_signals, report_aggregate, html_text, html_comments, html_hidden, html_table_count, stream_scan,
 )
 QUERIES = {f.__name__: f for f in _FUNCS}
@@ -181,6 +232,9 @@ _SUBJECT = f"category || ' ' || {_MASK}"
 _B_PAGES = f"SELECT document, page, string_split(text, chr(10))[1] AS text, text_source FROM ({SQL_PAGES}) WHERE len(document) % 5 <> 0"
 _IN_A, _IN_B = (f"(WITH {_FOUND.replace(SQL_PAGES, source)} SELECT document, category, severity, {_MASK} AS masked FROM f)" for source in (SQL_PAGES, _B_PAGES))
 _SQL = signal_queries.ORACLES
+_BEST = "list_max([" + ", ".join(f"{{'n': len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in sorted(set(own.split())))}))), 'turn': {-i}, 'code': '{code}'}}" for i, (code, own) in enumerate(sorted(S.STOP_WORDS.items()))) + "])"
+_LANGUAGE = rf"""SELECT document, CASE WHEN letters >= 60 AND letters >= 0.5 * len(t) AND b.n > 0 THEN b.code END AS language FROM (SELECT *, {_BEST} AS b FROM (SELECT document, {_trim('text')} AS t,
+ len(regexp_replace({_trim('text')}, '[^\p{{L}}]', '', 'g')) AS letters, regexp_extract_all(lower({_trim('text')}), '\p{{L}}+') AS w FROM ({SQL_PAGES})))"""
 ORACLES = {
     "loader_uneven_docs": f"SELECT document, 'a' AS loaders FROM ({SQL_PAGES}) WHERE len(document) % 5 = 0",
     "loader_summary": f"""SELECT 'a' AS loader, count(DISTINCT document) AS documents, count(*) AS pages, sum(len(text))::BIGINT AS characters, (SELECT count(*) FROM {_IN_A}) AS identifiers FROM ({SQL_PAGES})
@@ -201,6 +255,27 @@ ORACLES = {
  h AS (SELECT q.fact, q.document, loader, min(own) AS own FROM q JOIN l ON (q.document IS NULL OR q.document = own) AND contains({_plain('l.text')}, {_plain('q.fact')}) GROUP BY ALL)
  SELECT q.fact, q.document, x.loader, CASE WHEN own IS NOT NULL THEN 'exact' END AS found, own AS matched_document FROM q CROSS JOIN (VALUES ('a'), ('b')) x(loader)
  LEFT JOIN h ON h.fact = q.fact AND h.document IS NOT DISTINCT FROM q.document AND h.loader = x.loader""",
+    "tables_metadata": f"""SELECT DISTINCT 'conv_' || conv_id AS document, 'Author' AS key, 'email_address' AS category, 'medium' AS severity, 'pattern' AS evidence, {_MASK} AS value, true AS significant
+ FROM (SELECT conv_id, 'user' || conv_id || '@example.org' AS v FROM conversations WHERE conv_id % 5 = 0)""",
+    "tables_loaders": f"""SELECT 'a' AS loader, true AS baseline, count(DISTINCT document) AS documents, count(*) AS pages, sum(len(text))::BIGINT AS characters, (SELECT count(*) FROM {_IN_A}) AS identifiers_in_text FROM ({SQL_PAGES})
+ UNION ALL SELECT 'b', false, count(DISTINCT document), count(*), sum(len(text))::BIGINT, (SELECT count(*) FROM {_IN_B}) FROM ({_B_PAGES})""",
+    "extract_split": rf"""WITH p AS (SELECT * FROM ({SQL_PAGES}) WHERE text_source = 'native'), g AS (SELECT *, list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '{_NS}')) AS para FROM p),
+ b AS (SELECT *, CASE WHEN len(para) > 1 THEN para ELSE list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_NS}')) END AS blocks FROM g),
+ f AS (SELECT document, page, CASE WHEN round_even(len(text) / 4.0, 0) <= 60 THEN [text] ELSE list_reduce(list_transform(blocks, lambda x: [x]), lambda a, x: CASE WHEN round_even((len(a[-1]) + 2 + len(x[1])) / 4.0, 0) > 60 THEN list_concat(a, x)
+ ELSE list_concat(a[:-2], [a[-1] || chr(10) || chr(10) || x[1]]) END) END AS parts FROM b)
+ SELECT document, page, part, round_even(len(t) / 4.0, 0)::BIGINT AS tokens, md5(t) AS text_md5 FROM (SELECT document, page, unnest(parts) AS t, generate_subscripts(parts, 1)::INT AS part FROM f)""",
+    "extract_masked": f"""SELECT document, page, coalesce(n, 0) AS masked, coalesce(c, 0) AS masked_confirmed FROM ({SQL_PAGES})
+ LEFT JOIN (SELECT document, count(*) AS n, count(*) FILTER (category <> 'email_address') AS c FROM {_IN_A} GROUP BY 1) USING (document) WHERE text_source = 'native'""",
+    "extract_warnings": f"""SELECT 'unreadable_page' AS kind, document, page FROM ({SQL_PAGES}) WHERE text_source = 'none'
+ UNION ALL SELECT unnest(['estimated_tokens', 'masking_incomplete', 'masking_incomplete', 'masking_best_effort']), NULL, NULL""",
+    "extract_verdict": f"""SELECT (SELECT count(*) FROM ({SQL_PAGES}) WHERE text_source = 'native') AS chunks, (SELECT sum(round_even(len(text) / 4.0, 0))::BIGINT FROM ({SQL_PAGES}) WHERE text_source = 'native') AS tokens,
+ (SELECT count(*) FROM {_IN_A}) AS masked, (SELECT count(*) FROM (SELECT document FROM {_IN_A} GROUP BY document HAVING bool_and(category <> 'email_address'))) AS guaranteed, false AS complete, false AS all_categories_scanned""",
+    "page_coverage": """WITH b AS (SELECT doc_id % 30 AS document, doc_id % 3 AS page, doc_id * 37 % 500 AS x0, doc_id * 53 % 700 AS y0, n_chars % 120 AS w, n_chars % 90 AS h FROM documents),
+ c AS (SELECT document, page, unnest(range(floor(x0 * 0.4::DOUBLE)::BIGINT, least(240, ceil((x0 + w) * 0.4::DOUBLE)::BIGINT))) AS x, y0, h FROM b WHERE w > 0 AND h > 0),
+ e AS (SELECT DISTINCT document, page, x, unnest(range(floor(y0 * 0.3::DOUBLE)::BIGINT, ceil((y0 + h) * 0.3::DOUBLE)::BIGINT)) AS y FROM c)
+ SELECT b.document, b.page, coalesce(n, 0) AS cells FROM (SELECT DISTINCT document, page FROM b) b LEFT JOIN (SELECT document, page, count(*) AS n FROM e GROUP BY ALL) USING (document, page)""",
+    "sig_language": f"SELECT document, CASE WHEN language IS NOT NULL THEN 1.0::DOUBLE END AS value FROM ({_LANGUAGE})",
+    "sig_language_names": _LANGUAGE,
     "sample_files": """WITH g AS (SELECT lang AS ext, count(*) AS n, min(doc_id) AS first, count(*) * 37.0::DOUBLE / (SELECT count(*) FROM documents) AS claim FROM documents GROUP BY 1),
  t AS (SELECT *, floor(claim)::BIGINT + (row_number() OVER (ORDER BY claim - floor(claim) DESC, first) <= 37 - sum(floor(claim)) OVER ())::BIGINT AS take FROM g),
  i AS (SELECT ext, (unnest(range(0, take)) * n / take)::DOUBLE AS place FROM t)
@@ -220,4 +295,4 @@ ORACLES = {
     "html_table_count": "SELECT page_id, 0 AS tables FROM pages WHERE NOT contains(html, '<table')",
     "stream_scan": r"SELECT 'email_address' AS category, sum(len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')))::BIGINT AS matches FROM documents",
 }
-with_three(["report_diff", "quick_wins", "tables_documents", "tables_identifiers", "report_aggregate"], QUERIES, ORACLES)
+with_three(["extract_masked", "report_diff", "quick_wins", "tables_documents", "tables_identifiers", "report_aggregate"], QUERIES, ORACLES)

@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperweir.sources.styles import hiding, rules_of, style_of
+
 # Extensions by format; files that are never documents; HTML tags that break lines, and that hold no text.
 FORMATS = {".txt": "text", ".md": "markdown", ".markdown": "markdown", ".html": "html", ".htm": "html", ".eml": "email", ".docx": "docx", ".xlsx": "xlsx", ".pptx": "pptx", ".pdf": "pdf", ".png": "image", ".jpg": "image", ".jpeg": "image", ".tif": "image", ".tiff": "image", ".bmp": "image"}
 IGNORED = [".DS_Store", "Thumbs.db", "desktop.ini"]
-BLOCKS = set("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tr ul".split())
+BLOCKS = set("address article aside blockquote br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table title tr ul".split())
 SILENT = {"script", "style", "template", "noscript"}
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -68,13 +70,16 @@ def decode(data: bytes) -> tuple[str, str | None]:
 class _Page(HTMLParser):
     """Collects text, tables, comments and what a reader would not see."""
 
-    def __init__(self):
+    def __init__(self, rules):
         super().__init__(convert_charrefs=True)
-        self.out, self.stack, self.tables, self.open_tables, self.hidden, self.scripts = [], [], [], [], [], 0
+        self.rules, self.out, self.stack, self.tables, self.open_tables, self.hidden, self.scripts = rules, [], [], [], [], [], 0
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
-        reason = _hides(a)
+        style = style_of(tag, a, self.rules)
+        outer = self.stack[-1][2] if self.stack else False
+        shaded = outer or "bgcolor" in a or any(k in style for k in ("background", "background-color", "background-image"))
+        why = None if tag in SILENT else hiding(a, style, shaded)
         if tag == "script":
             self.scripts += 1
         if tag in BLOCKS:
@@ -90,9 +95,12 @@ class _Page(HTMLParser):
             self.open_tables[-1]["rows"][-1].append((tag, spans[0]))
             self.open_tables[-1]["merged"] += spans[0] * spans[1] - 1
         if tag not in VOID:
-            self.stack.append((tag, reason, len(self.hidden)))
-            if reason and not any(r for _, r, _ in self.stack[:-1]):
-                self.hidden.append([reason, []])
+            # What a hidden element holds is one run, in the entry that the element opened.
+            entry = self.stack[-1][1] if self.stack else None
+            if why and entry is None:
+                entry = len(self.hidden)
+                self.hidden.append((why[1], [], why[0]))
+            self.stack.append((tag, entry, shaded))
 
     def handle_endtag(self, tag):
         if tag in BLOCKS and tag != "br":
@@ -118,45 +126,25 @@ class _Page(HTMLParser):
             self.out.append(data)
         else:
             self.out.append(re.sub(r"\s+", " ", data))
-        if any(r for _, r, _ in self.stack) and self.hidden:
-            self.hidden[-1][1].append(data)
+        if self.stack and self.stack[-1][1] is not None:
+            self.hidden[self.stack[-1][1]][1].append(data)
 
     def handle_comment(self, data):
-        self.hidden.append(["comment", [data]])
-
-
-def _hides(a: dict) -> str | None:
-    """Why an element does not show, by its attributes."""
-    style = {k.strip().lower(): v.strip().lower() for k, _, v in (d.partition(":") for d in a.get("style", "").split(";"))}
-    if "hidden" in a:
-        return "hidden attribute"
-    if style.get("display") == "none":
-        return "display none"
-    if style.get("visibility") in ("hidden", "collapse"):
-        return "visibility hidden"
-    try:
-        if float(style.get("opacity", "1")) <= 0.01:
-            return "transparent"
-    except ValueError:
-        pass
-    if style.get("color") in ("transparent", "white", "#fff", "#ffffff") and not any(k.startswith("background") for k in style):
-        return "white or transparent text"
-    size = re.match(r"([\d.]+)(px|pt)?$", style.get("font-size", ""))
-    if size and float(size[1]) * (0.75 if size[2] != "pt" else 1) < 1:
-        return "tiny text"
-    if any(re.match(r"-\d{3,}", style.get(k, "")) for k in ("left", "top", "text-indent", "margin-left")):
-        return "off the page"
-    return None
+        # A comment inside a hidden element goes with it; one in a script or style is that element's text.
+        if (not self.stack or self.stack[-1][1] is None) and not any(t in SILENT for t, _, _ in self.stack):
+            self.hidden.append((["HTML comment"], [data], "confirmed"))
 
 
 def parse_html(text: str) -> dict:
-    """text, tables, hidden [(reason, text)] and number of scripts of an HTML text."""
-    p = _Page()
+    """text, tables, runs [(reasons, text, visibility)] that do not show, the same as hidden [(reasons, text)], and the number of
+    scripts of an HTML text. Style elements count wherever they stand."""
+    p = _Page(rules_of(text))
     p.feed(text)
     p.close()
     lines = (re.sub(r" ?\t ?", "\t", line).strip() for line in "".join(p.out).split("\n"))
-    hidden = [(r, re.sub(r"\s+", " ", "".join(t)).strip()) for r, t in p.hidden]
-    return {"text": "\n".join(x for x in lines if x), "tables": p.tables, "hidden": [h for h in hidden if sum(c.isalnum() for c in h[1]) >= 4], "scripts": p.scripts}
+    runs = [(r, re.sub(r"\s+", " ", "".join(t)).strip(), kind) for r, t, kind in p.hidden]
+    runs = [r for r in runs if sum(c.isalnum() for c in r[1]) >= 4]
+    return {"text": "\n".join(x for x in lines if x), "tables": p.tables, "runs": runs, "hidden": [("; ".join(r), t) for r, t, _ in runs], "scripts": p.scripts}
 
 
 def markdown_tables(text: str) -> list[dict]:
@@ -193,6 +181,15 @@ def read_docx(data: bytes) -> list[str]:
     return ["\n".join(x for x in out if x.strip())]
 
 
+def cell_value(c, shared: list[str]) -> str:
+    v = c.find(f"{_S}v")
+    if c.get("t") == "inlineStr":
+        return "".join(t.text or "" for t in c.iter(f"{_S}t"))
+    if v is None:
+        return ""
+    return shared[int(v.text)] if c.get("t") == "s" else v.text or ""
+
+
 def read_xlsx(data: bytes) -> list[str]:
     z = zipfile.ZipFile(io.BytesIO(data))
     names = z.namelist()
@@ -203,8 +200,7 @@ def read_xlsx(data: bytes) -> list[str]:
         for row in _part(z, name).iter(f"{_S}row"):
             cells = []
             for c in row.iter(f"{_S}c"):
-                v = c.find(f"{_S}v")
-                value = shared[int(v.text)] if c.get("t") == "s" and v is not None else "".join(t.text or "" for t in c.iter(f"{_S}t")) if c.get("t") == "inlineStr" else v.text if v is not None else ""
+                value = cell_value(c, shared)
                 if value:
                     cells.append(value)
             if cells:
@@ -213,15 +209,20 @@ def read_xlsx(data: bytes) -> list[str]:
     return pages
 
 
-def read_pptx(data: bytes) -> list[str]:
-    z = zipfile.ZipFile(io.BytesIO(data))
+def slide_order(z: zipfile.ZipFile) -> list[str]:
+    """The slides' parts as the presentation lists them, or else by number."""
     names = z.namelist()
     slides = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
-    order = slides
     if "ppt/presentation.xml" in names and "ppt/_rels/presentation.xml.rels" in names:
         target = {r.get("Id"): "ppt/" + r.get("Target").removeprefix("/ppt/") for r in _part(z, "ppt/_rels/presentation.xml.rels")}
         ids = [v for e in _part(z, "ppt/presentation.xml").iter() if e.tag.endswith("}sldId") for k, v in e.attrib.items() if k.endswith("}id")]
-        order = [target[i] for i in ids if target.get(i) in names] or slides
+        return [target[i] for i in ids if target.get(i) in names] or slides
+    return slides
+
+
+def read_pptx(data: bytes) -> list[str]:
+    z = zipfile.ZipFile(io.BytesIO(data))
+    names, order = z.namelist(), slide_order(z)
     pages = []
     for name in order:
         root = _part(z, name)
@@ -292,6 +293,29 @@ def read_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.where("reason is null").drop("reason"), out.where("reason is not null").select(F.col("document").alias("path"), "reason")
 
 
+def hidden_runs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, unchecked) of binary files (path, content, format): (document, page, text, visibility, reason,
+    only_if_instruction), as hidden.findings() takes them, and (document, note) of files that were not checked."""
+    schema = "document string, page int, text string, visibility string, reason string, only_if_instruction boolean, note string"
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
+    names = [s.split()[0] for s in schema.split(", ")]
+
+    def run(batches):
+        from paperweir.sources.visibility import file_runs
+
+        for batch in batches:
+            rows = []
+            for path, content, kind in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found, note = file_runs(kind, content)
+                rows += [(path, r.page or 1, r.text, r.visibility, "; ".join(r.reasons), r.only_if_instruction, None) for r in found]
+                if note:
+                    rows.append((path, None, None, None, None, None, note))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    out = files.select("path", "content", "format").mapInArrow(run, schema)
+    return out.where("note is null").drop("note"), out.where("note is not null").select("document", "note")
+
+
 def html_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, text, tables, hidden) of HTML texts."""
     t = "array<struct<rows:int,cols:int,header_depth:int,merged_cells:int>>"

@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the smallest tables; the others run."""
+"""Every query with SQL against DuckDB on the smallest tables. The operators of the others are held to brute force elsewhere."""
 
 import math
 import os
@@ -35,8 +35,3 @@ def test_oracle(spark, name):
     want = c.sql(catalogue.ORACLES[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
-
-
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() >= 0

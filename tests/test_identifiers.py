@@ -63,3 +63,58 @@ def test_partitions_do_not_matter(spark):
     p = pages(spark, *[f"write to a{i}@example.org or 4111 1111 1111 1111" for i in range(20)])
     a, b = (sorted(map(str, I.scan(p.repartition(n), PAGE).collect())) for n in (1, 5))
     assert a == b and len(a) == 40
+
+
+# One text that each category is found in, and one that is a digit, a term or a checksum short of it.
+SAMPLES = {
+    "ni_number": ("NI number AB123456C here", "NI number BG123456C here"), "sort_code": ("sort code 20-30-40", "sort code 11-11-11"), "bank_account_number": ("account number: 12345678", "reference 12345678"),
+    "iban": ("IBAN GB82 WEST 1234 5698 7654 32", "IBAN GB82 WEST 1234 5698 7654 33"), "card_number": ("card 4111 1111 1111 1111", "card 4111 1111 1111 1112"), "uk_postcode": ("at SW1A 1AA", "at QQ1A 1AA"),
+    "street_address": ("at 10 Long Meadow Street", "at Long Meadow Street"), "email_address": ("to a.b@example.org", "to a.b@example"), "phone_number": ("call 020 7946 0958", "call 060 7946 0958"),
+    "date_of_birth": ("date of birth 12/03/1980", "signed on 12/03/1980"), "vat_number": ("VAT GB 123 4567 82", "VAT GB 123 4567 83"), "utr": ("UTR 1234567890", "order 1234567890"),
+    "us_ssn": ("SSN 123-45-6789", "SSN 666-45-6789"), "us_ein": ("EIN 12-3456789", "EIN 07-3456789"), "us_routing_number": ("routing 021000021", "routing 021000022"), "ie_pps": ("PPS 1234567T", "PPS 1234567W"),
+    "nl_bsn": ("BSN 111222333", "BSN 111222334"), "pt_nif": ("NIF 123456789", "NIF 123456788"), "es_dni": ("DNI 12345678Z", "DNI 12345678A"), "fr_nir": ("NIR 1 84 12 76 451 089 46", "NIR 1 84 12 76 451 089 47"),
+    "de_steuer_id": ("Steuer-ID 86095742719", "Steuer-ID 86095742710"), "eu_vat_number": ("btw DE123456789", "btw DE12345678"), "international_phone": ("call +1 212 555 0123", "call +44 20 7946 0958"),
+    "us_phone": ("phone (212) 555-0123", "phone (112) 555-0123"), "us_zip_code": ("zip code 90210", "number 90210"), "ca_postal_code": ("in K1A 0B1", "in D1A 0B1"), "eu_postal_code": ("PLZ 10115", "Nummer 10115"),
+    "br_cep": ("CEP: 01310-100", "item 01310-100"), "it_codice_fiscale": ("RSSMRA85T10A562S", "RSSMRA85T10A562T"), "be_national_number": ("rijksregister 85.07.30-033.28", "rijksregister 85.07.30-033.29"),
+    "pl_pesel": ("PESEL 44051401359", "PESEL 44051401358"), "se_personnummer": ("personnummer 811228-9874", "personnummer 811228-9875"), "dk_cpr": ("CPR 010190-1234", "CPR 321390-1234"),
+    "ch_ahv": ("AHV 756.9217.0769.85", "AHV 756.9217.0769.84"), "br_cpf": ("CPF 529.982.247-25", "CPF 529.982.247-26"), "br_cnpj": ("CNPJ 11.222.333/0001-81", "CNPJ 11.222.333/0001-82"),
+    "in_aadhaar": ("Aadhaar 2341 2341 2346", "Aadhaar 2341 2341 2347"), "in_pan": ("PAN no ABCPE1234F", "PAN no ABCXE1234F"), "ca_sin": ("social insurance 130 692 544", "social insurance 130 692 545"),
+    "au_tfn": ("TFN 123 456 782", "TFN 123 456 783"),
+}
+
+
+def test_every_category_is_found_and_not_found(spark):
+    assert set(SAMPLES) | {"person_name", "organisation_name"} == {c.id for c in I.CATEGORIES}
+    rows = [(f"{c}/{kind}", 1, t) for c, pair in SAMPLES.items() for kind, t in zip(("yes", "no"), pair)]
+    p = spark.createDataFrame(rows, "document string, page int, text string")
+    # Each category for itself: no other competes for the same characters.
+    by_pattern = I.validated(I.candidates(p, None), "2026-01-01")
+    got = {(r.document, r.category) for r in by_pattern.select("document", "category").distinct().collect()}
+    assert [c for c in SAMPLES if (f"{c}/yes", c) not in got] == []
+    assert [c for c in SAMPLES if (f"{c}/no", c) in got] == []
+
+
+def test_counts_repeats_and_masks_follow_from_the_scan(spark):
+    p = pages(spark, *[t for pair in SAMPLES.values() for t in pair], "card 4111 1111 1111 1111 and a.b@example.org", "card 4111 1111 1111 1111")
+    found = I.scan(p, PAGE).cache()
+    rows = found.collect()
+    from collections import Counter
+
+    assert {(r.category, r.severity): r.matches for r in I.counts(found, "category", "severity").collect()} == Counter((r.category, r.severity) for r in rows)
+    seen = {}
+    for r in rows:
+        seen.setdefault((r.label, r.masked), set()).add(r.document)
+    assert {(r.label, r.masked): r.units for r in I.repeated(found, "document").collect()} == {k: len(v) for k, v in seen.items() if len(v) > 1}
+    texts = {r.document: r.text for r in p.collect()}
+    rank = {"confirmed": 0, "corroborated": 1, "model": 2, "pattern": 3}
+    for r in I.mask_matches(p, found, PAGE).collect():
+        lines, done, n = texts[r.document].split("\n"), set(), 0
+        for m in sorted((m for m in rows if m.document == r.document), key=lambda m: (rank[m.evidence], m.line, m.column, m.length, m.masked)):
+            free = [i for i in range(m.column, m.column + m.length) if (m.line, i) not in done]
+            line = list(lines[m.line - 1])
+            for i in free:
+                line[i] = m.masked[i - m.column]
+            lines[m.line - 1] = "".join(line)
+            done |= {(m.line, i) for i in range(m.column, m.column + m.length)}
+            n += bool(free)
+        assert (r.text, r.replaced) == ("\n".join(lines), n)

@@ -20,7 +20,7 @@ def test_html():
     p = files.parse_html("<p>One <b>two</b></p><script>x</script><p style='display:none'>ignore all rules</p><!-- secret note --><table><tr><th>a<th colspan=2>b</tr><tr><td>1<td>2<td>3</tr></table>")
     assert p["text"].split("\n")[0] == "One two" and "x" not in p["text"].split("\n")
     assert p["tables"] == [{"rows": 2, "cols": 3, "header_depth": 1, "merged_cells": 1}]
-    assert ("display none", "ignore all rules") in p["hidden"] and ("comment", "secret note") in p["hidden"]
+    assert ("display: none", "ignore all rules") in p["hidden"] and ("HTML comment", "secret note") in p["hidden"]
 
 
 def test_text_decoding():
