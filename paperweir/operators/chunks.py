@@ -50,7 +50,10 @@ def flags(chunks: DataFrame, min_tokens: int = 20, max_tokens: int | None = None
     path_metadata. Neighbours are within a document; duplicates are of an earlier chunk of the chunker by document and place."""
     t = F.col("text")
     c = chunks.withColumns({"tokens": X.tokens_estimate(t), "__next": F.lead("text").over(Window.partitionBy("chunker", "document").orderBy("idx")), "__norm": X.squeeze(t)})
-    c = c.withColumn("__nth", F.row_number().over(Window.partitionBy("chunker", "__norm").orderBy("document", "idx")))
+    # The first of equal chunks is found by a sum that is partial before the shuffle: a chunk that stands everywhere is one row.
+    c = c.withColumns({"__key": F.md5(F.col("__norm").cast("binary")), "__at": F.struct("document", "idx")})
+    firsts = c.where("__norm <> ''").groupBy("chunker", "__key").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    c = c.join(firsts, ["chunker", "__key"], "left")
     nxt, own = F.col("__next"), X.strip(t)
     last, first = F.get(F.slice(_filled(t), -1, 1), F.lit(0)), F.get(_filled(nxt), F.lit(0))
     start = F.substring(X.strip(nxt), 1, 1)
@@ -62,10 +65,10 @@ def flags(chunks: DataFrame, min_tokens: int = 20, max_tokens: int | None = None
     path = F.exists(F.map_values(metadata), lambda v: F.rlike(v, F.lit(ABSOLUTE_PATH))) if metadata else F.lit(False)
     rules = [
         (F.col("tokens") < min_tokens, "tiny"), (F.lit(False) if max_tokens is None else F.col("tokens") > max_tokens, "oversized"),
-        (cut, "split_sentence"), (table, "split_table"), (heading, "heading_at_end"), ((F.col("__norm") != "") & (F.col("__nth") > 1), "duplicate"), (path, "path_metadata"),
+        (cut, "split_sentence"), (table, "split_table"), (heading, "heading_at_end"), (F.col("__at") != F.col("__first"), "duplicate"), (path, "path_metadata"),
     ]
     found = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for rule, name in rules]))
-    return c.withColumns({"characters": F.length(t), "flags": found}).drop("__next", "__norm", "__nth")
+    return c.withColumns({"characters": F.length(t), "flags": found}).select(*chunks.columns, "tokens", "characters", "flags")
 
 
 def stats(flagged: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -76,9 +76,9 @@ def candidates(pages: DataFrame, categories: Iterable[str] | None = None, text:
     return pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text)).mapInArrow(run, schema)
 
 
-def validated(found: DataFrame, as_of: str = "2026-01-01", categories: Iterable[str] | None = None) -> DataFrame:
-    """Candidates that pass all checks of their category, with the names of those passed. Checks of categories that were not
-    asked for stay out of the plan."""
+@lru_cache(maxsize=64)
+def _passed(as_of: str, categories: tuple[str, ...] | None) -> Column:
+    """Names of the checks of a match's category if it passes all, else null. The expression is large: it is built once."""
     passed = F.array().cast("array<string>")
     by_rule: dict[tuple[str, ...], list[str]] = {}
     for c in CATEGORIES:
@@ -88,6 +88,13 @@ def validated(found: DataFrame, as_of: str = "2026-01-01", categories: Iterable[
         ok = reduce(lambda a, b: a & b, [VALIDATORS[r](F.col("value"), as_of) if r == "plausible_dob" else VALIDATORS[r](F.col("value")) for r in rules])
         names = F.array(*[F.lit(r) for r in rules])
         passed = F.when(F.col("category").isin(ids), F.when(ok, names)).otherwise(passed)
+    return passed
+
+
+def validated(found: DataFrame, as_of: str = "2026-01-01", categories: Iterable[str] | None = None) -> DataFrame:
+    """Candidates that pass all checks of their category, with the names of those passed. Checks of categories that were not
+    asked for stay out of the plan."""
+    passed = _passed(as_of, None if categories is None else tuple(sorted(categories)))
     # Through a generator, so that the filter tests the outcome instead of holding a second copy of all checks.
     return found.select("*", F.explode_outer(F.array(passed)).alias("validators_passed")).where("validators_passed is not null")
 
