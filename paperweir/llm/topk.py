@@ -7,8 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperweir.llm.common import cut
+
 #: Vectors of a leaf and of a shard, queries broadcast at a time, and vectors whose scores give the first bounds.
 LEAF, SHARD, BLOCK, SAMPLE = 64, 8192, 20_000, 4096
+#: The score of a place that is not taken.
+NONE = np.iinfo(np.int64).min
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -19,7 +23,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def whole(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """floor(256 x) of the vectors, by their length: [(rows, matrix)]. Sums are exact while they stay below 2**53."""
+    """floor(256 x) of the vectors, by their length: [(rows, matrix)]. Each is a whole number, held exactly."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     size = np.diff(column.offsets.to_numpy())
@@ -28,74 +32,90 @@ def whole(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(i, flat[start[i][:, None] + np.arange(d)]) for d in np.unique(size).tolist() for i in (np.flatnonzero(size == d),)]
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Integer inner products. Floating point serves while no sum can reach 2**53; beyond that Python's integers do, and what is
+    beyond 64 bits becomes the nearest number that is not."""
+    most = np.abs(q).max(initial=0.0) * np.abs(x).max(initial=0.0) * max(q.shape[1], 1)
+    if most < 2.0**53:
+        return (q @ x.T).astype(np.int64)
+    whole_numbers = np.vectorize(int, otypes=[object])
+    exact = whole_numbers(q) @ whole_numbers(x).T if q.size and x.size else np.zeros((len(q), len(x)), object)
+    return np.clip(exact, NONE + 1, -(NONE + 1)).astype(np.int64)
+
+
 class BallTree:
-    """Nodes are ranges of `order`; children split at the median of the widest component."""
+    """Nodes are ranges of `order`, each with a centre and a radius; children split at the median of the widest component."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[by_id], x[by_id]
-        order = np.arange(len(ids))
-        nodes, todo = [], [(0, len(ids), -1)]
+        self.order = np.arange(len(ids))
+        self.nodes: list[tuple[int, int, np.ndarray, float, list[int]]] = []
+        todo = [(0, len(ids), -1)]
         while todo:
             lo, hi, parent = todo.pop()
-            own = self.x[order[lo:hi]]
+            own = self.x[self.order[lo:hi]]
             centre = own.mean(0)
-            radius = np.sqrt(((own - centre) ** 2).sum(1).max()) if len(own) else 0.0
-            nodes.append((lo, hi, parent, centre, radius, hi - lo <= LEAF))
+            radius = float(np.sqrt(((own - centre) ** 2).sum(1).max())) if len(own) else 0.0
+            k = len(self.nodes)
+            self.nodes.append((lo, hi, centre, radius, []))
+            if parent >= 0:
+                self.nodes[parent][4].append(k)
             if hi - lo > LEAF:
-                spread = own.max(0) - own.min(0)
-                j, mid = int(spread.argmax()), (hi - lo) // 2
-                order[lo:hi] = order[lo:hi][np.argpartition(own[:, j], mid)]
-                k = len(nodes) - 1
+                j, mid = int((own.max(0) - own.min(0)).argmax()), (hi - lo) // 2
+                self.order[lo:hi] = self.order[lo:hi][np.argpartition(own[:, j], mid)]
                 todo += [(lo, lo + mid, k), (lo + mid, hi, k)]
-        self.order = order
-        self.lo, self.hi, self.parent = (np.array([n[i] for n in nodes]) for i in range(3))
-        self.centre, self.radius = np.array([n[3] for n in nodes]), np.array([n[4] for n in nodes])
-        self.leaf = np.array([n[5] for n in nodes])
 
     def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, scores: np.ndarray, found: np.ndarray) -> None:
-        """Lowers nothing that is already in scores and found (rows sorted by score, then id): merges this shard's into them."""
+        """Merges this shard's vectors into scores and found (rows sorted by score, then id) by branch and bound.
+
+        A node's upper bound is q . centre + |q| radius, with room for rounding. A query goes down only where that reaches its
+        kth score, the child of the higher bound first; what it finds there is its bar for the other child."""
         length = np.sqrt((q**2).sum(1))
-        # Upper bound of a node: q . centre + |q| radius, with room for rounding; a child's is at most its parent's.
-        bound = q @ self.centre.T + length[:, None] * self.radius[None, :]
-        bound += 1e-6 * (1 + np.abs(bound))
-        for n in range(1, len(self.parent)):
-            np.minimum(bound[:, n], bound[:, self.parent[n]], out=bound[:, n])
-        leaves = np.flatnonzero(self.leaf)
-        rank = np.argsort(-bound[:, leaves], axis=1, kind="stable")
-        live = np.arange(len(q))
-        for step in range(len(leaves)):
-            node = leaves[rank[live, step]]
-            # Leaves come in falling order of their bounds: a query is done once the next cannot reach its kth score.
-            go = bound[live, node] >= scores[live, k - 1]
-            live, node = live[go], node[go]
-            if not len(live):
-                break
-            order = np.argsort(node, kind="stable")
-            cuts = np.flatnonzero(np.diff(node[order])) + 1
-            for rows in np.split(order, cuts):
-                members = np.sort(self.order[self.lo[node[rows[0]]] : self.hi[node[rows[0]]]])
-                who = live[rows]
-                s = q[who] @ self.x[members].T
-                s[q_ids[who][:, None] == self.ids[members][None, :]] = -np.inf
-                better = (s >= scores[who, k - 1][:, None]).any(1)
-                if not better.any():
-                    continue
-                who, s = who[better], s[better]
+
+        def reach(node: int, who: np.ndarray) -> np.ndarray:
+            _, _, centre, radius, _ = self.nodes[node]
+            bound = q[who] @ centre + length[who] * radius
+            return bound + 1e-6 * (1 + np.abs(bound) + length[who] * (radius + np.sqrt((centre**2).sum())))
+
+        def visit(node: int, who: np.ndarray, bound: np.ndarray) -> None:
+            who = who[bound >= scores[who, k - 1]]
+            if not len(who):
+                return
+            lo, hi, _, _, children = self.nodes[node]
+            if children:
+                a, b = (reach(c, who) for c in children)
+                for side, first, second in ((a >= b, 0, 1), (a < b, 1, 0)):
+                    if side.any():
+                        visit(children[first], who[side], (a, b)[first][side])
+                        visit(children[second], who[side], (a, b)[second][side])
+                return
+            members = np.sort(self.order[lo:hi])
+            s = products(q[who], self.x[members])
+            s[q_ids[who][:, None] == self.ids[members][None, :]] = NONE
+            better = (s >= scores[who, k - 1][:, None]).any(1)
+            who, s = who[better], s[better]
+            if len(who):
                 all_s = np.concatenate((scores[who], s), 1)
                 all_i = np.concatenate((found[who], np.broadcast_to(self.ids[members], s.shape)), 1)
-                best = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+                best = np.lexsort((all_i, ~all_s), axis=1)[:, :k]
                 scores[who] = np.take_along_axis(all_s, best, 1)
                 found[who] = np.take_along_axis(all_i, best, 1)
 
+        if len(self.ids):
+            everyone = np.arange(len(q))
+            visit(0, everyone, reach(0, everyone))
+
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of floor(256 x), ties to the smaller id.
 
     Every batch of a partition is a shard with a tree of its own; a task carries each query's kth score from shard to shard,
-    and starts from the kth scores over a bounded sample. Queries are broadcast in blocks of about BLOCK. A query's own id
-    is no candidate; only vectors of the query's length are; vectors that are null or hold null or non-finite components
-    take no part; of a query id's repeated rows the smallest vector asks; repeated candidates each count.
+    and starts from the kth scores over a bounded sample. Queries are broadcast in blocks of about BLOCK; of several, each is
+    stored before the next one's is sent, and its broadcast goes. A query's own id is no candidate; only vectors of the
+    query's length are; vectors that are null or hold null or non-finite components take no part; of a query id's repeated
+    rows the smallest vector asks; repeated candidates each count; scores are exact, and beyond 64 bits stand as the nearest
+    number within; an empty table on either side gives no rows. Other columns are not looked at.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding)
@@ -110,14 +130,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
         sample_ids, q_ids = sample.column("id").to_numpy(), block.column("id").to_numpy()
         seeds = {m.shape[1]: (sample_ids[i], m) for i, m in whole(sample.column("v"))}
         for i, m in whole(block.column("v")):
-            scores, found = np.full((len(i), k), -np.inf), np.full((len(i), k), np.iinfo(np.int64).max)
+            scores, found = np.full((len(i), k), NONE), np.full((len(i), k), np.iinfo(np.int64).max)
             if m.shape[1] in seeds:
                 BallTree(*seeds[m.shape[1]]).search(q_ids[i], m, k, scores, found)
             sets.append((q_ids[i], m.astype(np.float64), scores[:, k - 1].copy()))
         shared = spark.sparkContext.broadcast(sets)
 
         def run(batches, shared=shared):
-            state = {m.shape[1]: (ids, m, np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max), floor) for ids, m, floor in shared.value}
+            state = {m.shape[1]: (ids, m, np.full((len(ids), k), NONE), np.full((len(ids), k), np.iinfo(np.int64).max), floor) for ids, m, floor in shared.value}
             for batch in batches:
                 ids = batch.column(0).to_numpy()
                 for i, m in whole(batch.column(1)):
@@ -129,17 +149,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
                         for lo in range(0, len(q), 2048):
                             hi = min(lo + 2048, len(q))
                             # The bound known from the sample stands in while fewer than k are found here.
-                            held = np.where(np.isinf(scores[lo:hi]), floor[lo:hi][:, None], scores[lo:hi])
+                            held = np.where(scores[lo:hi] == NONE, floor[lo:hi][:, None], scores[lo:hi])
                             f = found[lo:hi]
                             tree.search(q_ids[lo:hi], q[lo:hi], k, held, f)
-                            scores[lo:hi] = np.where(f == np.iinfo(np.int64).max, -np.inf, held)
+                            scores[lo:hi] = np.where(f == np.iinfo(np.int64).max, NONE, held)
             for q_ids, _, scores, found, _ in state.values():
-                r, c = np.nonzero(scores > -np.inf)
+                r, c = np.nonzero(scores > NONE)
                 if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(found[r, c]), pa.array(scores[r, c].astype(np.int64))], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(found[r, c]), pa.array(scores[r, c])], names=["query_id", "vec_id", "score"])
 
         part = rows.mapInArrow(run, "query_id long, vec_id long, score long")
+        if blocks > 1:
+            part = cut(part)
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

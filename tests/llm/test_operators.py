@@ -346,7 +346,10 @@ def test_forward_backward_equals_enumeration():
         assert np.allclose(got[f : f + n], sums / total)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("block", [20_000, 5])
+def test_top_k(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "LEAF", 8)
     g = np.random.default_rng(1)
     vectors = [(i, (g.normal(size=8) * (1 + i % 3)).tolist()) for i in range(400)] + [(i, [0.5] * 8) for i in range(400, 460)]
     vectors += [(900, None), (950, [1.0] * 7 + [float("nan")]), (1000, [1.0] * 7 + [None]), (1050, [float("inf")] * 8), (1100, [1.0, 2.0]), (1150, []), (None, [1.0] * 8), (7, vectors[7][1])]
@@ -362,6 +365,14 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_products_are_exact_beyond_floating_point():
+    g = np.random.default_rng(4)
+    for scale in (1.0, 2.0**20, 2.0**33):
+        q, x = (np.floor(g.normal(size=(n, 5)) * scale * 256) for n in (7, 9))
+        want = [[max(-(2**63) + 1, min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(u, v)))) for v in x] for u in q]
+        assert topk.products(q, x).tolist() == want
+
+
 def test_url_filters(spark):
     urls = ["https://a.org/x", "HTTP://Sub.Example.ORG/es/1?q#f", "https://example.org/en/17", "https://b.com/fr/1", "https://b.com/de/1", "https://good.net/", "https://bad.net/1", "https://c.net", None, "no scheme", "http://", "https://other.net/a#b/c"]
     html = ['<a href="https://good.net/1">', '<a href="//bad.net/">', "", '<a href="https://good.net/2">', '<a href="https://bad.net/">', "", '<a href="https://b.com/de/2"><a href="http://example.org/en/1">', "<a href='/local'>", None, "", "", ""]
