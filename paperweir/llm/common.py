@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +20,9 @@ from pyspark.sql import types as T
 #: Bytes of text that one vectorised step handles; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
 
+#: Rows that a batch between the JVM and Python holds while a table is written: texts may be long.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _current: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 _own_dirs: dict[str, str] = {}
@@ -46,12 +51,15 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         """Write df as Parquet and read it back: the lineage ends, and its shuffle files go at once, not when garbage is collected."""
         path = f"{shared_dir(self.spark)}/paperweir-{uuid.uuid4().hex}"
-        was = self.spark.conf.get(_CLEANUP)
-        self.spark.conf.set(_CLEANUP, "true")
+        conf = self.spark.conf
+        was = {k: conf.get(k) for k in (_CLEANUP, _BATCH)}
+        conf.set(_CLEANUP, "true")
+        conf.set(_BATCH, str(min(BATCH_ROWS, int(was[_BATCH])) if int(was[_BATCH]) > 0 else BATCH_ROWS))
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(_CLEANUP, was)
+            for k, v in was.items():
+                conf.set(k, v)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -79,6 +87,24 @@ def cut(df: DataFrame) -> DataFrame:
     return (_current.get() or Scratch(df.sparkSession)).cut(df)
 
 
+_libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
+
+
+def trim() -> None:
+    """Gives free memory back to the system. A Python worker lives on after its task, and what it keeps counts against the next."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches, with trim() after each and at the end."""
+    for batch in batches:
+        yield batch
+        del batch
+        trim()
+
+
 def held_out(doc_id: str | Column) -> Column:
     """Rows whose crc32 of the id's text leaves 2 on division by 4 are never learned from. A null id is not held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -123,7 +149,7 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable], fields: lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
-        for batch in batches:
+        for batch in trimmed(batches):
             data, offsets = text_bytes(batch.column(batch.schema.get_field_index(source)))
             for lo, hi in steps(offsets, most):
                 o = offsets[lo : hi + 1]

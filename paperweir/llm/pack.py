@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperweir.llm.common import cut, steps, text_bytes
+from paperweir.llm.common import cut, steps, text_bytes, trimmed
 
 #: Rows of a stored file that are ranked together: a length, however frequent, is ranked block by block.
 BLOCK = 1 << 16
@@ -26,7 +26,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, doc_id: str = "doc_id",
         from paperweir.llm.pretoken import Encoder
 
         encode = Encoder(tokenizer)
-        for batch in batches:
+        for batch in trimmed(batches):
             data, offsets = text_bytes(batch.column(1))
             for lo, hi in steps(offsets):
                 o = offsets[lo : hi + 1]
@@ -177,7 +177,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, doc_id: str = "doc
     fields = [stored.schema["doc_id"], T.StructField("text_hash", T.LongType()), *[T.StructField(f, T.LongType()) for f in (*FIELDS, "sequence_id", "offset", "whole_start")]]
 
     def place(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             if not batch.num_rows:
                 continue
             start, length, rank = (batch.column(c).to_numpy() for c in (2, 3, 6))
@@ -212,7 +212,7 @@ def _checksums(docs: DataFrame, tokenizer: str, parts: DataFrame, doc_id: str, t
         from paperweir.llm.pretoken import Encoder
 
         encode = Encoder(tokenizer)
-        for batch in batches:
+        for batch in trimmed(batches):
             data, offsets = text_bytes(batch.column(7))
             start, length = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for lo, hi in steps(offsets):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperweir.llm import tokens as K
-from paperweir.llm.common import cut, lists, map_text
+from paperweir.llm.common import cut, lists, map_text, trimmed
 from paperweir.llm.components import components
 
 U = np.uint64
@@ -306,7 +306,7 @@ def _streamed(batches, chunk: int):
     """Whole groups of rows sorted by key: (keys, words, nodes, None), or of a key with more than `chunk` rows one chunk after
     another, with its number. No more than a batch and a chunk is held."""
     rest, number = None, 0
-    for batch in batches:
+    for batch in trimmed(batches):
         now = pa.Table.from_batches([batch])
         rest = pa.concat_tables([rest, now]).combine_chunks() if rest is not None and rest.num_rows else now
         while rest.num_rows:

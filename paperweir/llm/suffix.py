@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperweir.llm import tokens as K
-from paperweir.llm.common import Scratch, cut, lists, steps, text_bytes
+from paperweir.llm.common import Scratch, cut, lists, steps, text_bytes, trimmed
 from paperweir.llm.induced import suffix_order
 
 U = K.U
@@ -71,7 +71,7 @@ def _anchor_rows(texts: DataFrame, width: int) -> DataFrame:
     """(h, t, u, p) per run, of texts (t, u, text); p packs first window, windows and the anchor's place."""
 
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             data, offsets = text_bytes(batch.column(2))
             t, u = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi in steps(offsets):
@@ -124,7 +124,7 @@ def _context_rows(found: DataFrame, width: int) -> DataFrame:
     def run(batches):
         known_texts: set[tuple[int, int]] = set()
         sent: dict[int, int] = {}
-        for batch in batches:
+        for batch in trimmed(batches):
             data, offsets = text_bytes(batch.column(2))
             own = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             runs, at = batch.column(3), batch.column(3).offsets.to_numpy()
@@ -237,7 +237,7 @@ def _repeats(contexts: DataFrame, width: int) -> DataFrame:
             values = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32())], ["a", "b"])
             return pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], lists(values, np.array(n))], names=["k", "c", "d", "ranges"])
 
-        for batch in batches:
+        for batch in trimmed(batches):
             out = []
             for k, c, d, t, u, s, w, ctx in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 if k != key:
@@ -262,7 +262,7 @@ def _removed(texts: DataFrame, width: int, carry: bool) -> DataFrame:
     names = ["t", "u", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * carry
 
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             data, offsets = text_bytes(batch.column(2))
             out = []
             for i, (t, u, runs) in enumerate(zip(*(batch.column(j).to_pylist() for j in (0, 1, 3)))):

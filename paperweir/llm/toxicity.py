@@ -101,7 +101,7 @@ def _spectrum(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Kernel:
     """Kernel values of words against the landmarks, and the maps of words and texts."""
 
-    KEEP = 400_000
+    KEEP = 150_000
 
     def __init__(self, landmarks: list[np.ndarray]):
         self.m = len(landmarks)
