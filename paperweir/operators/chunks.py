@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperweir.functions import text as X
 
@@ -92,3 +94,35 @@ def compare(flagged: DataFrame) -> DataFrame:
     """One row per chunker: statistics and the number of chunks with any flag."""
     some = flagged.groupBy("chunker").agg(F.count_if(F.size("flags") > 0).alias("flagged"))
     return stats(flagged).join(some, "chunker")
+
+
+def by_function(docs: DataFrame, split, chunker: str = "own") -> DataFrame:
+    """Chunks of a splitter of one's own: a function of a text to a list of texts, run in Arrow batches."""
+
+    def run(batches):
+        for batch in batches:
+            at, idx, parts = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                own = split(text) if text else []
+                at += [row] * len(own)
+                idx += range(len(own))
+                parts += own
+            yield pa.RecordBatch.from_arrays([pa.array([chunker] * len(at), pa.string()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(idx, pa.int32()), pa.array(parts, pa.string())], names=["chunker", "document", "idx", "text"])
+
+    schema = T.StructType([T.StructField("chunker", T.StringType()), docs.schema["document"], T.StructField("idx", T.IntegerType()), T.StructField("text", T.StringType())])
+    return docs.select("document", "text").mapInArrow(run, schema)
+
+
+def inspected(chunks: DataFrame, categories=None, preview: int = 160) -> DataFrame:
+    """chunks with identifiers (their number), hidden (findings of hidden content) and a preview: masked, white space single, cut
+    to `preview` characters with an ellipsis."""
+    from paperweir.operators import hidden as H
+    from paperweir.operators import identifiers as I
+
+    key = ["chunker", "document", "idx"]
+    found = I.scan(chunks, key, categories)
+    masked = I.mask_matches(chunks, found, key).select(*key, F.col("replaced").alias("identifiers"), X.squeeze(F.col("text")).alias("__shown"))
+    own = chunks.select(F.struct(*key).alias("document"), F.lit(1).alias("page"), "text")
+    passages = H.findings(own).groupBy("document").agg(F.count(F.lit(1)).alias("hidden")).select(*[F.col(f"document.{k}").alias(k) for k in key], "hidden")
+    shown = F.when(F.length("__shown") > preview, F.concat(F.substring("__shown", 1, preview - 1), F.lit("…"))).otherwise(F.col("__shown"))
+    return chunks.join(masked, key).join(passages, key, "left").fillna(0, ["hidden"]).withColumn("preview", shown).drop("__shown")

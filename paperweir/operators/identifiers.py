@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache, reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,44 @@ def _find(patterns: list[tuple[int, str, list[str] | None]]):
     return find
 
 
+class Detector(NamedTuple):
+    """A finder of one's own for a category: find(texts) gives for each text the (start, end, confidence) of what it takes for one.
+
+    An entity model is one; `make` is called once per task, so that models load where they run."""
+
+    category: str
+    make: Callable[[], Callable[[list[str]], list[list[tuple[int, int, float]]]]]
+    label: str = ""
+    severity: str = "medium"
+
+
+def detected(pages: DataFrame, detectors: list[Detector], text: str = "text") -> DataFrame:
+    """Candidates, in the columns of candidates(), that detectors find. They rank behind all patterns."""
+    kept = [f for f in pages.schema.fields if f.name != text]
+    schema = T.StructType([*kept, *T._parse_datatype_string(_MATCH).fields])
+
+    def run(batches):
+        finders = [(d.category, d.make()) for d in detectors]
+        for batch in batches:
+            texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
+            at, rows = [], []
+            for n, (category, find) in enumerate(finders):
+                for i, spans in enumerate(find(texts)):
+                    for s, e, confidence in spans:
+                        t = texts[i]
+                        at.append(i)
+                        rows.append((1000 + n, category, s, t[s:e], None, float(confidence), t.count("\n", 0, s) + 1, s - (t.rfind("\n", 0, s) + 1)))
+            if rows:
+                own = [batch.column(i).take(pa.array(at)) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays(own + [pa.array(list(c), k) for c, k in zip(zip(*rows), _KINDS)], names=schema.names)
+
+    return pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text)).mapInArrow(run, schema)
+
+
+_MATCH = "ord int, category string, start int, value string, term string, confidence double, line int, column int"
+_KINDS = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
+
+
 def candidates(pages: DataFrame, categories: Iterable[str] | None = None, text: str = "text") -> DataFrame:
     """One row per match of any pattern: columns of pages but the text, ord, category, start, value, term, confidence, line
     and column. ord numbers the patterns in the order of categories, plain before context patterns. One pass in Arrow
@@ -58,8 +97,7 @@ def candidates(pages: DataFrame, categories: Iterable[str] | None = None, text:
                 patterns.append((len(names), rx, terms))
                 names.append(c.id)
     kept = [f for f in pages.schema.fields if f.name != text]
-    schema = T.StructType([*kept, *T._parse_datatype_string("ord int, category string, start int, value string, term string, confidence double, line int, column int").fields])
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
+    schema = T.StructType([*kept, *T._parse_datatype_string(_MATCH).fields])
 
     def run(batches):
         find = _find(patterns)
@@ -71,7 +109,7 @@ def candidates(pages: DataFrame, categories: Iterable[str] | None = None, text:
                     rows.append((n, names[n], *hit))
             if rows:
                 own = [batch.column(i).take(pa.array(at)) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays(own + [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=schema.names)
+                yield pa.RecordBatch.from_arrays(own + [pa.array(list(c), k) for c, k in zip(zip(*rows), _KINDS)], names=schema.names)
 
     return pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text)).mapInArrow(run, schema)
 
@@ -124,23 +162,26 @@ def evidence(validators: Column, term: Column, model: Column | None = None) -> C
     return (tier.when(model, "model") if model is not None else tier).otherwise("pattern")
 
 
-def _lookup(field: str) -> Column:
-    pairs = [F.lit(x) for c in CATEGORIES for x in (c.id, getattr(c, field))]
-    return F.element_at(F.create_map(*pairs), F.col("category"))
+def _lookup(field: str, detectors=()) -> Column:
+    known = {c.id: getattr(c, field) for c in CATEGORIES} | {d.category: getattr(d, field) or d.category for d in detectors if d.category not in MODEL_CATEGORIES}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.col("category"))
 
 
-def scan(pages: DataFrame, page: list[str], categories: Iterable[str] | None = None, text: str = "text", reveal: bool = False, min_confidence: float = 0.0, as_of: str = "2026-01-01", tail: int = 4) -> DataFrame:
+def scan(pages: DataFrame, page: list[str], categories: Iterable[str] | None = None, text: str = "text", reveal: bool = False, min_confidence: float = 0.0, as_of: str = "2026-01-01", tail: int = 4, detectors: list[Detector] = ()) -> DataFrame:
     """Matches of pages keyed by `page` columns: category, label, severity, line, column, length, masked, revealed, evidence,
-    confidence, validators_passed and term. Pages with a null or blank text have none (see unreadable)."""
+    confidence, validators_passed and term. Pages with a null or blank text have none (see unreadable). detectors find what no
+    pattern can; their evidence is `model`, and their categories need not be known."""
     # The keys travel as one struct, so that none of their names can clash with those of matches.
     rows = pages.select(F.struct(*page).alias("__page"), F.col(text).alias("text")).where(F.rlike(F.col("text"), F.lit("(?U)\\S")))
     categories = None if categories is None else list(categories)
     found = validated(candidates(rows, categories, "text"), as_of, categories)
+    if detectors:
+        found = found.unionByName(detected(rows, list(detectors), "text").withColumn("validators_passed", F.array().cast("array<string>")))
     found = resolved(found.where((F.col("confidence").isNull()) | (F.col("confidence") >= min_confidence)), ["__page"])
     shown = F.when(F.lit(reveal) & ~F.col("category").isin(NEVER_REVEAL), X.squeeze(F.col("value")))
     return found.select(
-        "__page.*", "category", _lookup("label").alias("label"), _lookup("severity").alias("severity"), "line", "column", F.length("value").alias("length"),
-        X.mask(F.col("value"), tail).alias("masked"), shown.alias("revealed"), evidence(F.col("validators_passed"), F.col("term")).alias("evidence"),
+        "__page.*", "category", _lookup("label", detectors).alias("label"), _lookup("severity", detectors).alias("severity"), "line", "column", F.length("value").alias("length"),
+        X.mask(F.col("value"), tail).alias("masked"), shown.alias("revealed"), evidence(F.col("validators_passed"), F.col("term"), F.col("ord") >= 1000).alias("evidence"),
         "confidence", "validators_passed", F.col("term").alias("context_term"),
     )
 
@@ -150,9 +191,9 @@ def unreadable(pages: DataFrame, page: list[str], text: str = "text") -> DataFra
     return pages.where(F.col(text).isNull() | ~F.rlike(F.col(text), F.lit("(?U)\\S"))).select(*page)
 
 
-def unscanned(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per document and category that only an entity model could find: not scanned is not zero."""
-    kinds = F.array(*[F.lit(c) for c in MODEL_CATEGORIES])
+def unscanned(docs: DataFrame, keys: list[str], detectors: list[Detector] = ()) -> DataFrame:
+    """One row per document and category that only an entity model could find and no detector does: not scanned is not zero."""
+    kinds = F.array(*[F.lit(c) for c in MODEL_CATEGORIES if c not in {d.category for d in detectors}]).cast("array<string>")
     return docs.select(*keys, F.explode(kinds).alias("category"), F.lit("no entity model is available").alias("reason"))
 
 
@@ -209,4 +250,4 @@ def repeated(found: DataFrame, unit: str) -> DataFrame:
     return seen.where("units > 1")
 
 
-__all__ = ["candidates", "counts", "evidence", "mask_matches", "ranked", "repeated", "resolved", "scan", "unreadable", "unscanned", "validated"]
+__all__ = ["Detector", "candidates", "counts", "detected", "evidence", "mask_matches", "ranked", "repeated", "resolved", "scan", "unreadable", "unscanned", "validated"]

@@ -308,3 +308,25 @@ def load_json(spark: SparkSession, path: str, name: str, schema: str) -> DataFra
     if bad:
         raise ValueError(f"cannot read schema version {bad[0]['schema_version']}")
     return rows.drop("schema_version")
+
+
+def write_html(tables: dict[str, DataFrame], path: str, title: str = "Document readiness", rows: int = 200) -> None:
+    """A page of its own, without scripts or outside resources: the folder's figures, and each table's number of rows and first
+    `rows` of them (the tables themselves are written by write_json or any writer)."""
+    from html import escape
+
+    def grid(columns: list[str], body) -> str:
+        head = "".join(f"<th>{escape(c)}</th>" for c in columns)
+        lines = "".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in body)
+        return f"<table><thead><tr>{head}</tr></thead><tbody>{lines}</tbody></table>"
+
+    parts = [f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title><style>body{{font:14px sans-serif}}td,th{{border:1px solid #ccc;padding:2px 6px;text-align:left}}table{{border-collapse:collapse}}</style></head><body><h1>{escape(title)}</h1>"]
+    if "identifiers" in tables:
+        by = tables["identifiers"].groupBy("category", "severity").agg(F.count(F.lit(1)).alias("matches")).orderBy(F.desc("matches"), "category").collect()
+        parts.append("<h2>Identifiers by category</h2>" + grid(["category", "severity", "matches"], by))
+    for name in [n for n in TABLES if n in tables]:
+        found, n = tables[name].limit(rows).collect(), tables[name].count()
+        more = f" (first {len(found)} of {n})" if n > len(found) else f" ({n})"
+        parts.append(f"<h2>{escape(name)}{more}</h2>" + grid(tables[name].columns, found))
+    page = tables[next(iter(tables))].sparkSession.createDataFrame([("".join(parts) + "</body></html>",)], "value string")
+    page.coalesce(1).write.mode("overwrite").text(path)

@@ -267,3 +267,19 @@ def language_count(pages: DataFrame, detect=language) -> DataFrame:
     g = pages.select("document", "format", detect(F.col("text")).alias("l")).groupBy("document", "format").agg(F.countDistinct("l").cast("double").alias("n"))
     none = F.col("n") == 0
     return g.select("document", "format", F.lit("language_count").alias("signal"), F.when(~none, F.col("n")).alias("value"), F.when(none, "no page carried enough prose").alias("reason"))
+
+
+def folder_readiness(scored: DataFrame) -> DataFrame:
+    """One row for a folder from overall(): the mean global score and its band, the mean of each factor, and documents scored and
+    in all. A folder without any score has nulls."""
+    g = scored.agg(*[F.bround(F.avg(c), 1).alias(c) for c in ("global_score", "content", "cost", "exposure")], F.count("global_score").alias("scored"), F.count(F.lit(1)).alias("documents"))
+    return g.withColumn("label", F.when(F.col("global_score").isNotNull(), band(F.col("global_score"))))
+
+
+def encrypted(files: DataFrame) -> DataFrame:
+    """The signal encrypted of binary files (document, format, content): a PDF whose trailer names an encryption dictionary, or an
+    Office file in the container that password protection puts it in."""
+    head = F.hex(F.substring("content", 1, 8))
+    pdf = F.contains(F.decode("content", "ISO-8859-1"), F.lit("/Encrypt"))
+    held = F.when(F.col("format") == "pdf", pdf).when(F.col("format").isin("docx", "xlsx", "pptx"), head == "D0CF11E0A1B11AE1")
+    return files.select("document", "format", F.lit("encrypted").alias("signal"), held.cast("double").alias("value"), F.when(held.isNull(), "the format has no encryption").alias("reason"))
