@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperweir.llm import tokens as K
-from paperweir.llm.common import lists, map_text
+from paperweir.llm.common import cut, lists, map_text
 
-#: Windows that one broadcast set holds. A larger benchmark is scanned in several sets, one after another in the same pass.
+#: Windows that one broadcast set holds. A larger benchmark is scanned set by set, each stored before the next is sent.
 MAX_WINDOWS = 200_000
 _BITS = 22
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -130,7 +130,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     clean names a column for the text without the spans; to drop documents, filter on n_hit. A hash match is verified on
     the words themselves. Null or empty texts have no words, items without words have no window, and items with a null
     id count as hits but are not listed. Repeated rows are judged row by row; columns of docs that have the names of added
-    ones are replaced. A benchmark of more than MAX_WINDOWS windows is scanned in several sets, united per document.
+    ones are replaced; texts of any length are scanned whole; an empty table on either side gives no rows or no hits. A
+    benchmark of more than MAX_WINDOWS windows is scanned in several sets, united per document.
     """
     spark = docs.sparkSession
     found = benchmark_windows(benchmark, item_id, item_text, n)
@@ -154,18 +155,23 @@ def _scan(docs, found, spark, text, clean):
 
 
 def _in_passes(docs, found, passes, text, clean):
-    """One scan per set of windows, chained over the rows; the sets' spans are united at the end."""
-    spark, names = docs.sparkSession, []
-    out = docs
+    """One scan per set of windows, of which one is out at a time; what a row's sets find is united at the end. Rows are told
+    apart by their place in a stored copy."""
+    spark = docs.sparkSession
+    stored, found = cut(docs), cut(found)
+    rows = stored.select("*", F.struct("_metadata.file_name", "_metadata.row_index").alias("__row"))
+    hits = None
     for i in range(passes):
-        part = found.where(F.pmod(F.xxhash64("words"), F.lit(passes)) == i)
-        out = _scan(out.drop("n_words", "n_hit", "items", "spans"), part, spark, text, None)
-        out = out.withColumnsRenamed({"items": f"__items{i}", "spans": f"__spans{i}"}).drop("n_hit")
-        names.append(i)
+        shared = spark.sparkContext.broadcast(_table(found.where(F.pmod(F.xxhash64("words"), F.lit(passes)) == i)))
+        scanned = map_text(rows.select("__row", F.col(f"`{text}`").alias("__t")), "__t", _scanner(shared, False), FIELDS)
+        own = cut(scanned.where("n_hit > 0").select("__row", "items", "spans"))
+        shared.destroy()
+        hits = own if hits is None else hits.unionByName(own)
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    per = hits.groupBy("__row").agg(items.alias("items"), F.flatten(F.collect_list("spans")).alias("__all"))  # at most `passes` rows each
     kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"__items{i}") for i in names]))))
-    spans = F.flatten(F.array(*[F.col(f"__spans{i}") for i in names]))
-    out = out.select(*[F.col(f"`{c}`") for c in kept], items.alias("items"), spans.alias("__all"), F.col(f"`{text}`").alias("__t"))
+    out = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__t"), "__row").join(per, "__row", "left")
+    out = out.select(*[F.col(f"`{c}`") for c in kept], F.coalesce("items", F.array().cast("array<string>")).alias("items"), "__all", "__t")
 
     schema = T.StructType([docs.schema[c] for c in kept if c != clean] + FIELDS + ([T.StructField(clean, T.StringType())] if clean else []))
 

@@ -27,6 +27,9 @@ def host_path(url: str | Column) -> tuple[Column, Column]:
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest rule (ties: the earlier) that fits, and its verdict. A rule is (allow or block, host + path)."""
+    for what, text in rules:
+        if "/" not in text or what not in ("allow", "block"):
+            raise ValueError(f"a rule is allow or block, and a host with a path from its / on, not {what!r} and {text!r}")
     order = sorted(rules, key=lambda r: -len(r[1]))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for what, text in reversed(order):
@@ -95,7 +98,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url",
 
     A rule decides where one fits. Elsewhere a host is blocked if its distrust exceeds its trust (both rounded to 12 places,
     so that the order of sums does not decide); a host that neither reaches, or an empty one, is allowed. Null urls have an
-    empty host and path. Columns of pages with these names are replaced.
+    empty host and path, null html no links. Repeated rows are judged alike, and their links count once each; html of any
+    length is searched whole; of rules of one length the earlier wins; an empty table gives no rows. Columns of pages with
+    these names are replaced.
     """
     host, path = host_path(url)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "trust", "distrust")]
