@@ -217,7 +217,11 @@ def html_table_count(spark, sf_dir):
 def stream_scan(spark, sf_dir):
     """The identifier scan as a stream over all files that are there."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="paperweir-")
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="paperweir-")
     out = f"{place.rstrip('/')}/stream-{uuid.uuid4().hex}"
     return scan_available(spark, f"{sf_dir}/documents.parquet*", d.schema, ["email_address"], out + "/out", out + "/state").groupBy("category").agg(F.count(F.lit(1)).alias("matches"))
 

@@ -249,7 +249,9 @@ def read_eml(data: bytes) -> tuple[str, list[str]]:
 
 
 def read_one(kind: str, data: bytes) -> tuple[list[str], list[str]]:
-    """(pages, warnings) of a file, or ValueError."""
+    """(pages, warnings) of a file, or ValueError. A reader in READERS comes before the built-in one of its format."""
+    if kind in READERS:
+        return READERS[kind](data), []
     if kind in ("text", "markdown", "html"):
         text, warning = decode(data)
         warnings = [warning] if warning else []
@@ -262,12 +264,10 @@ def read_one(kind: str, data: bytes) -> tuple[list[str], list[str]]:
     if kind == "email":
         text, warnings = read_eml(data)
         return [text], warnings
-    if kind in READERS:
-        return READERS[kind](data), []
     raise ValueError("no reader for this format is installed")
 
 
-#: Formats with a reader of bytes -> pages; add one for PDF or images where a library for them is there.
+#: Formats with a reader of bytes -> pages; add one for PDF or images where a library for them is there, or one of your own.
 READERS = {"docx": read_docx, "xlsx": read_xlsx, "pptx": read_pptx}
 
 

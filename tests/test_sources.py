@@ -57,3 +57,10 @@ def test_files(spark, tmp_path):
     raw = spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("path", "content").join(good.select("path", "format"), "path").select("path", "content", "format")
     pages, bad = files.read_files(raw)
     assert sorted(r.text for r in pages.collect()) == ["hello", "hi"] and bad.count() == 1
+
+
+def test_own_readers_come_first(monkeypatch):
+    monkeypatch.setitem(files.READERS, "html", lambda data: ["own"])
+    assert files.read_one("html", b"<p>x") == (["own"], []) and files.read_one("text", b"x") == (["x"], [])
+    with pytest.raises(ValueError):
+        files.read_one("pdf", b"%PDF")
