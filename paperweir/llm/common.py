@@ -52,7 +52,7 @@ class Scratch:
         """Write df as Parquet and read it back: the lineage ends, and its shuffle files go at once, not when garbage is collected."""
         path = f"{shared_dir(self.spark)}/paperweir-{uuid.uuid4().hex}"
         conf = self.spark.conf
-        was = {k: conf.get(k) for k in (_CLEANUP, _BATCH)}
+        was = {_CLEANUP: conf.get(_CLEANUP, "false"), _BATCH: conf.get(_BATCH, "10000")}
         conf.set(_CLEANUP, "true")
         conf.set(_BATCH, str(min(BATCH_ROWS, int(was[_BATCH])) if int(was[_BATCH]) > 0 else BATCH_ROWS))
         try:
