@@ -8,14 +8,19 @@ import tempfile
 import numpy as np
 
 
+def place_type(n: int) -> type:
+    """The type of positions in n characters: half as wide where that is enough."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 class BucketQueue:
     """A monotone priority queue of suffix positions. Its keys are first characters; within a key, what is pushed first is
     smaller (or larger, on the way down), because suffixes are pushed in the order of their successors. Beyond `memory`
     bytes, what a key holds goes to its file in a folder of this process, removed on close."""
 
-    def __init__(self, keys: int, memory: int):
+    def __init__(self, keys: int, memory: int, kind: type = np.int64):
         self.parts: list[list[np.ndarray]] = [[] for _ in range(keys)]
-        self.memory, self.held, self.folder = memory, 0, None
+        self.memory, self.held, self.folder, self.kind = memory, 0, None, kind
 
     def push(self, key: int, items: np.ndarray) -> None:
         self.parts[key].append(items)
@@ -29,7 +34,7 @@ class BucketQueue:
             if parts:
                 with open(os.path.join(self.folder.name, str(key)), "ab") as f:
                     for p in parts:
-                        p.astype(np.int64).tofile(f)
+                        p.astype(self.kind).tofile(f)
                 parts.clear()
         self.held = 0
 
@@ -39,9 +44,9 @@ class BucketQueue:
         if self.folder:
             path = os.path.join(self.folder.name, str(key))
             if os.path.exists(path):
-                parts.insert(0, np.fromfile(path, np.int64))
+                parts.insert(0, np.fromfile(path, self.kind))
                 os.remove(path)
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return np.concatenate(parts) if parts else np.zeros(0, self.kind)
 
     def close(self) -> None:
         if self.folder:
@@ -54,7 +59,7 @@ def _push(queue: BucketQueue, text: np.ndarray, at: np.ndarray, own: int) -> np.
     order = np.argsort(ch, kind="stable")
     at, ch = at[order], ch[order]
     cuts = np.flatnonzero(np.diff(ch)) + 1
-    mine = np.zeros(0, np.int64)
+    mine = np.zeros(0, at.dtype)
     for part in np.split(at, cuts):
         if len(part):
             key = int(text[part[0]])
@@ -70,7 +75,8 @@ def induce(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray, memory: int) -
     keys = int(text.max()) + 1
     star_char = text[stars]
     first = np.searchsorted(star_char, np.arange(keys + 1))
-    up, down = BucketQueue(keys, memory), BucketQueue(keys, memory)
+    kind = place_type(len(text))
+    up, down = BucketQueue(keys, memory, kind), BucketQueue(keys, memory, kind)
     falling: list[np.ndarray] = []
     try:
         for c in range(keys):
@@ -85,7 +91,7 @@ def induce(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray, memory: int) -
             before = s - 1
             before = before[before >= 0]
             _push(up, text, before[~is_s[before]], -1)
-            falling.append(np.concatenate(done) if done else np.zeros(0, np.int64))
+            falling.append(np.concatenate(done) if done else np.zeros(0, kind))
         out: list[np.ndarray] = []
         for c in range(keys - 1, 0, -1):
             done = []
@@ -99,8 +105,8 @@ def induce(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray, memory: int) -
             before = low[::-1] - 1
             before = before[before >= 0]
             _push(down, text, before[is_s[before] & (text[before] > 0)], -1)
-            falling[c] = np.zeros(0, np.int64)
-            out.append(np.concatenate(done)[::-1] if done else np.zeros(0, np.int64))
+            falling[c] = np.zeros(0, kind)
+            out.append(np.concatenate(done)[::-1] if done else np.zeros(0, kind))
             out.append(low)
         out.append(stars[first[0] : first[1]])
         return np.concatenate(out[::-1])
@@ -112,19 +118,16 @@ def induce(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray, memory: int) -
 def kinds(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next (S). A 0 is always S."""
     n = len(text)
-    differs = np.flatnonzero(text[1:] != text[:-1])
-    rises = text[differs + 1] > text[differs]
-    at = np.searchsorted(differs, np.arange(n))
-    is_s = np.ones(n, bool)
-    inner = at < len(differs)
-    is_s[inner] = rises[at[inner]]
+    differs = np.flatnonzero(text[1:] != text[:-1]).astype(place_type(n))
+    rises = np.append(text[differs + 1] > text[differs], True)
+    is_s = np.repeat(rises, np.diff(differs, prepend=-1, append=n - 1))
     is_s[text == 0] = True
     return is_s
 
 
 def order_names(names: np.ndarray) -> np.ndarray:
     """Ranks of the suffixes of a string of names in which the last of each part is unique: ranks are refined by doubling."""
-    rank = names.astype(np.int64)
+    rank = names.astype(place_type(len(names)))
     step, todo = 1, None
     while True:
         order = np.argsort(rank, kind="stable") if todo is None else None
@@ -132,8 +135,9 @@ def order_names(names: np.ndarray) -> np.ndarray:
             r = rank[order]
             start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
             size = np.diff(np.concatenate((start, [len(r)])))
-            rank[order] = np.repeat(start, size)
-            todo = np.sort(order[np.repeat(size > 1, size)])
+            rank[order] = np.repeat(start.astype(rank.dtype), size)
+            todo = np.sort(order[np.repeat(size > 1, size)]).astype(rank.dtype)
+            del order, r
         if not len(todo):
             return rank
         key = rank[np.minimum(todo + step, len(rank) - 1)]
@@ -162,31 +166,30 @@ def suffix_order(text: np.ndarray, memory: int = 256 << 20) -> np.ndarray:
     star[1:] &= ~is_s[:-1]
     star[0] = False
     star[text == 0] = True
-    stars = np.flatnonzero(star)
+    stars = np.flatnonzero(star).astype(place_type(len(text)))
     by_char = stars[np.argsort(text[stars], kind="stable")]
     order = induce(text, is_s, by_char, memory)
     sorted_stars = order[star[order]]
+    del order, by_char, star
     # Names: two neighbours share one if their substrings, up to and including the next S*, are equal.
-    nxt = np.concatenate((stars, [len(text)]))
-    end = np.zeros(len(text), np.int64)
-    end[stars] = np.minimum(nxt[1:], len(text) - 1) + 1
-    length = end[sorted_stars] - sorted_stars
+    which = np.searchsorted(stars, sorted_stars).astype(stars.dtype)
+    length = (np.minimum(np.append(stars[1:], len(text)), len(text) - 1) + 1 - stars)[which]
     same = np.zeros(len(sorted_stars), bool)
     a, b = sorted_stars[:-1], sorted_stars[1:]
-    close = np.flatnonzero((length[1:] == length[:-1]) & (text[a] > 0) & (text[b] > 0))
-    left = length[close].copy()
+    live = np.flatnonzero((length[1:] == length[:-1]) & (text[a] > 0) & (text[b] > 0)).astype(stars.dtype)
+    # A substring that ends at a string's own 0 is followed by nothing that may be compared: it is nobody's equal but by rank.
+    same[1:][live] = True
     at = 0
-    ok = np.ones(len(close), bool)
-    live = np.arange(len(close))
     while len(live):
-        ok[live] = text[a[close[live]] + at] == text[b[close[live]] + at]
+        ok = text[a[live] + at] == text[b[live] + at]
+        same[1:][live[~ok]] = False
         at += 1
-        live = live[ok[live] & (left[live] > at)]
-    # A substring that ends at a string's own 0 is followed by nothing that may be compared: it is nobody's equal but by rank.
-    same[1:][close[ok]] = True
-    name = np.zeros(len(text), np.int64)
-    name[sorted_stars] = np.cumsum(~same)
-    names = name[stars]
+        live = live[ok & (length[1:][live] > at)]
+    names = np.zeros(len(stars), stars.dtype)
+    names[which] = np.cumsum(~same)
+    del which, length, same, a, b, live, sorted_stars
     rank = order_names(names)
+    del names
     stars_sorted = stars[np.argsort(rank, kind="stable")]
+    del rank, stars
     return induce(text, is_s, stars_sorted, memory)

@@ -22,12 +22,14 @@ from paperweir.llm.induced import suffix_order
 
 U = K.U
 #: Bytes of a gram; occurrences from which an anchor counts as hot; windows per part of a hot anchor; bytes sorted at once,
-#: and of these what bucket queues hold in memory (a position takes 8 bytes; the rest is on the task's disk).
+#: and of these what bucket queues hold in memory (a position takes 4 bytes; the rest is on the task's disk).
 GRAM, HOT, PART, SHARD_BYTES, QUEUE_BYTES = 64, 256, 4, 4 << 20, 8 << 20
 #: An anchor with more than one in SPREAD of all rows, and more than LEAST, is joined in as many parts as it exceeds that by.
 SPREAD, LEAST = 2000, 4096
 #: Entries that a task remembers in order not to send equal texts and contexts again; beyond it forgets them and sends on.
 REMEMBERED = 1_000_000
+#: Neighbours in suffix order whose common prefixes are tested at a time.
+COMPARED = 1 << 18
 _OTHER_BASE = 0xD6E8FEB86659FD93
 
 
@@ -174,19 +176,22 @@ def _sort_shard(contexts: list[bytes], windows: list[int], width: int) -> list[n
     text = raw.astype(np.int16) + 1
     text[start + size] = 0
     order = suffix_order(text, QUEUE_BYTES)
-    owner = np.repeat(np.arange(len(contexts)), size + 1)
-    left = (start + size)[owner] - np.arange(len(text))
-    is_window = (left >= width) & (np.arange(len(text)) - start[owner] < np.array(windows)[owner])
+    del text
+    ends = np.zeros(len(raw) + 1, np.int8)
+    ends[start] += 1
+    ends[start + np.clip(np.minimum(windows, size - width + 1), 0, None)] -= 1
+    is_window = np.cumsum(ends[:-1], dtype=np.int8) > 0
     order = order[is_window[order]]
     padded = np.concatenate((raw, np.zeros(8, np.uint8)))
     words = np.ndarray((len(raw),), "<u8", padded, strides=(1,))
     same = np.ones(max(len(order) - 1, 0), bool)
-    live = np.arange(len(same))
-    for at in [*range(0, width - 7, 8), width - 8]:  # neighbours' common prefix, tested up to `width`
-        eq = words[order[live] + at] == words[order[live + 1] + at]
-        same[live[~eq]] = False
-        live = live[eq]
-    hit = np.zeros(len(text), bool)
+    for lo in range(0, len(same), COMPARED):
+        live = np.arange(lo, min(lo + COMPARED, len(same)))
+        for at in [*range(0, width - 7, 8), width - 8]:  # neighbours' common prefix, tested up to `width`
+            eq = words[order[live] + at] == words[order[live + 1] + at]
+            same[live[~eq]] = False
+            live = live[eq]
+    hit = np.zeros(len(raw), bool)
     hit[order[:-1][same]] = True
     hit[order[1:][same]] = True
     return [hit[a : a + w] for a, w in zip(start.tolist(), windows)]

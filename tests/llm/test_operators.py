@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -477,6 +478,19 @@ def test_similar_texts(spark):
     assert simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
+def test_shard_sorting_stays_small():
+    """A shard is sorted within 50 bytes for each of its own."""
+    own = random.Random(5)
+    text = " ".join(f"w{own.randrange(3000)}" for _ in range(200_000)).encode()
+    contexts = [text[a : a + own.randrange(200, 330)] for a in (own.randrange(len(text) - 400) for _ in range(4000))]
+    tracemalloc.start()
+    try:
+        suffix._sort_shard(contexts, [len(c) - 199 for c in contexts], 200)
+        assert tracemalloc.get_traced_memory()[1] < 50 * sum(map(len, contexts))
+    finally:
+        tracemalloc.stop()
+
+
 def test_places_are_held_per_pattern():
     places = pack.Places({600: 10**6, 1024: 10**9, 400: 7}, 1024)
     assert sum(len(v) for v in places.ranges.values()) < 10
