@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,10 @@ P1, P2, P3, P4, P5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x1
 BLOCK, MOST = 1024, 16_384
 #: Words of 64 bits in the fingerprints that similarity is read from; keys per text, and least shingle hashes in each.
 WIDE, KEYS, LEAST = 4, 16, 4
+#: Words of 64 bits in the marks that bound how far two shingle sets differ; texts that shingles are counted in, and most counts.
+MARKS, SAMPLE, COUNTED = 16, 10_000, 50_000
+#: Rows of one part of a key, and pairs that are held against each other at a time.
+PART, PAIRS = 8192, 100_000
 #: Bits of each band; any two fingerprints that differ in at most 3 bits agree on 2 of the 5 bands whole.
 BANDS = (13, 13, 13, 13, 12)
 #: For each byte value a word whose byte b is bit b of it: sums of up to 255 words count all eight bits at once.
@@ -139,10 +143,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return h[first], np.bincount(rows[first], minlength=len(count))
 
 
-def sketches(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(WIDE words of fingerprint, KEYS keys, whether there is a shingle) of each row. A key is a hash of the least values that
+def sketches(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(WIDE words of fingerprint, KEYS keys, whether there is a shingle) of each row of shingle_sets(). A key is a hash of the least values that
     LEAST functions take over the row's shingles: two rows share it with their similarity to the power LEAST."""
-    h, count = shingle_sets(data, offsets, k)
     wide = np.stack([majority(K.mix(h + U((2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), count) for i in range(WIDE)], 1)
     keys = np.zeros((len(count), KEYS), U)
     full = np.flatnonzero(count)
@@ -432,12 +435,119 @@ def radius_of(similarity: float) -> int:
     return round(64 * WIDE * p + 3 * math.sqrt(64 * WIDE * p * (1 - p)))
 
 
+def prefixes(h: np.ndarray, count: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each row's set, rarest first, and their number. Two sets that are alike to `similarity` share more
+    than what either has outside its first n - similarity * n + 1, so that they share one of these. Any one order of all
+    shingles will do; this one is by count (`times` of `common`, in order; others have none), then by hash."""
+    rows = np.repeat(np.arange(len(count)), count)
+    often = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        often = np.where(common[at] == h, times[at], 0)
+    h = h[np.lexsort((h, often, rows))]
+    most = np.where(count > 0, count - np.ceil((similarity - 1e-9) * count).astype(np.int64) + 1, 0)
+    return h[np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count) < np.repeat(most, count)], most
+
+
+def marks(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """MARKS words per row: bit b tells whether an odd number of its shingles fall on b. Sets differ in at least as many shingles
+    as their marks do in bits."""
+    bit, out = K.mix(h) % U(64 * MARKS), np.zeros(len(count) * MARKS, U)
+    np.bitwise_xor.at(out, np.repeat(np.arange(len(count)) * MARKS, count) + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+    return out.reshape(len(count), MARKS)
+
+
+def meeting(group: np.ndarray, n: np.ndarray, place: np.ndarray, part: np.ndarray, root: np.ndarray, mark: np.ndarray, similarity: float):
+    """Pairs (i, j) of rows of one group that can be alike, by sizes, places of the key in both orders, and marks; not those of one
+    root, nor of one part in a group of two. Rows are sorted by group (number, whether of two parts) and size."""
+    share = (similarity - 1e-9) / (1 + similarity)
+    sorted_by = group[:, 0] << 32 | n
+    end = np.searchsorted(sorted_by, group[:, 0] << 32 | (n / (similarity - 1e-9)).astype(np.int64), "right")
+    width = end - np.arange(len(n)) - 1
+    total, lo, found = np.cumsum(width), 0, []
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
+        i = np.repeat(np.arange(lo, hi), width[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(width[lo:hi]) - width[lo:hi], width[lo:hi])
+        both = n[i] + n[j]
+        # At the first shingle that both share nothing before it counts, and no more than what follows it in either.
+        ok = (root[i] != root[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= share * both)
+        ok &= (group[i, 1] == 0) | (part[i] != part[j])
+        i, j, both = i[ok], j[ok], both[ok]
+        ok = np.bitwise_count(mark[i] ^ mark[j]).sum(1) <= both * (1 - 2 * share)
+        found.append((i[ok], j[ok]))
+        lo = hi
+    return np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]), np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
+
+
+def _counted(marked: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hash, in how many texts) of shingles that are frequent in a sample of about SAMPLE of the texts (node, text), by hash."""
+
+    def shingles():
+        def apply(data, offsets):
+            h, count = shingle_sets(data, offsets, k)
+            return [lists(pa.array(h.view(np.int64)), count)]
+
+        return apply
+
+    parts = max(1, marked.count() // SAMPLE)
+    some = marked.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == 0).select("node", "text").dropDuplicates(["node"])
+    sets = map_text(some, "text", shingles, [T.StructField("s", T.ArrayType(T.LongType()))]).select(F.explode("s").alias("h"))
+    top = sets.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COUNTED).collect()
+    common, times = np.array([r.h for r in top], np.int64).view(U), np.array([r.n for r in top], np.int64)
+    order = np.argsort(common)
+    return common[order], times[order]
+
+
+def _met(one: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of texts (nid, n, prefix, m0, m1, ...) of different roots (nid, root) that share a shingle of their prefixes and can be
+    alike: all pairs that are, whatever the number of texts of one shingle. Of a shingle's texts PART on average meet PART in
+    a task, and every two parts do in one."""
+    fields = [f"m{i}" for i in range(MARKS)]
+    n = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A text of one root with all others of its shingle is told by the shingle's least and greatest root.
+    rooted = cut(one.join(roots, "nid", "left").select("nid", F.coalesce("root", "nid").alias("root"), "n", "prefix", *fields))
+    keyed = rooted.select("nid", "root", "n", F.posexplode("prefix").alias("place", "key"))
+    own = Window.partitionBy("key")
+    keyed = keyed.withColumn("rows", F.count(F.lit(1)).over(own)).withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own))
+    keyed = cut(keyed.where("low < high").select("key", "nid", "place", F.ceil(F.col("rows") / PART).cast("int").alias("parts")))
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("nid"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keyed = keyed.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "nid", "place")
+    rows = keyed.join(rooted.select("nid", "root", "n", *fields), "nid").select("key", "low", "high", "part", "nid", "place", "root", "n", *fields)
+
+    def run(batches):
+        def compare(table):
+            column = [table.column(i).to_numpy() for i in range(8)]
+            key, low, high, part, nid, place, root, size = column
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+            mark = np.stack([table.column(8 + i).to_numpy() for i in range(MARKS)], 1).view(U)
+            group = np.stack([np.cumsum(new), low != high], 1).astype(np.int64)
+            i, j = meeting(group, size.astype(np.int64), place.astype(np.int64), part, root, mark, similarity)
+            pair = np.unique(np.stack([np.minimum(nid[i], nid[j]), np.maximum(nid[i], nid[j])], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+        rest = None
+        for batch in trimmed(batches):
+            now = pa.Table.from_batches([batch])
+            rest = pa.concat_tables([rest, now]).combine_chunks() if rest is not None and rest.num_rows else now
+            last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in (rest.column(i).to_numpy() for i in range(3))], axis=0))
+            if len(last):  # the last group may go on
+                yield compare(rest.slice(0, last[-1] + 1))
+                rest = rest.slice(last[-1] + 1)
+        if rest is not None and rest.num_rows:
+            yield compare(rest)
+
+    return rows.repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high", "n").mapInArrow(run, "a long, b long").distinct()
+
+
 def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, node, root, component_id): texts whose sets of k-word shingles are alike to `similarity` or more have one root,
     a text of the group, and one component_id, the smallest doc_id reachable.
 
-    Candidates share one of KEYS keys of least shingle hashes (at a similarity of 0.8 all but one in 5,000 do) and differ in at
-    most radius_of(similarity) bits of 256. Of these a spanning forest of least distance is verified on the shingles themselves.
+    No link is lost: any two such texts share a shingle of their prefixes(), and all pairs that do and can be alike by sound bounds
+    are verified on the shingles themselves, unless links join them already. For large groups most links come from a first
+    pass that may lose some: candidates share one of KEYS keys of least shingle hashes and differ in at most
+    radius_of(similarity) bits of 256; of these a spanning forest of least distance is verified.
     node is a 128-bit hash of the text: equal texts are one node. Null texts and texts without words are like nothing but
     their equals, with a component of their own text. Repeated rows stay repeated; a null doc_id takes part, but is nobody's
     smallest unless no other is there; texts of any length are read whole; an empty table gives no rows; other columns are not
@@ -445,10 +555,16 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     """
     marked = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
 
+    common, times = _counted(marked, k)
+
     def sketch():
         def apply(data, offsets):
-            wide, keys, some = sketches(data, offsets, k)
-            return [pa.array(wide[:, i].view(np.int64)) for i in range(WIDE)] + [lists(pa.array(keys[some].ravel().view(np.int64)), np.where(some, KEYS, 0))]
+            h, count = shingle_sets(data, offsets, k)
+            wide, keys, some = sketches(h, count)
+            first, size = prefixes(h, count, similarity, common, times)
+            mark = marks(h, count)
+            added = [pa.array(wide[:, i].view(np.int64)) for i in range(WIDE)] + [pa.array(mark[:, i].view(np.int64)) for i in range(MARKS)]
+            return [*added, lists(pa.array(keys[some].ravel().view(np.int64)), np.where(some, KEYS, 0)), pa.array(count), lists(pa.array(first.view(np.int64)), size)]
 
         return apply
 
@@ -459,19 +575,31 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
 
         return apply
 
-    longs = [T.StructField(f"f{i}", T.LongType()) for i in range(WIDE)]
-    sketched = map_text(marked, "text", sketch, [*longs, T.StructField("keys", T.ArrayType(T.LongType()))])
-    sketched = cut(sketched.select("doc_id", "node", *[f.name for f in longs], "keys"))
-    nodes = cut(sketched.groupBy("node").agg(F.min("doc_id").alias("low")))
-    keyed = sketched.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", *[f.name for f in longs])
-    found = cut(links(keyed, radius_of(similarity), WIDE).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = found.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    # Shingles of the texts that have a candidate, compared row by row in the JVM: no batch holds many long sets.
-    own = marked.select("node", "text").join(ends, F.col("node") == F.col("end"), "left_semi")
-    sets = map_text(own, "text", shingles, [T.StructField("s", T.ArrayType(T.LongType()))]).select("node", "s").dropDuplicates(["node"])
-    sets = cut(sets)
-    pairs = found.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = pairs.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    named = cut(_named(nodes, alike))
+    longs = [f"f{i}" for i in range(WIDE)]
+    many = T.ArrayType(T.LongType())
+    fields = [T.StructField(f, T.LongType()) for f in [*longs, *[f"m{i}" for i in range(MARKS)]]]
+    fields += [T.StructField("keys", many), T.StructField("n", T.LongType()), T.StructField("prefix", many)]
+    sketched = cut(map_text(marked, "text", sketch, fields).drop("text"))
+    own = [f.name for f in fields]
+    one = cut(sketched.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in own]).withColumn("nid", F.monotonically_increasing_id()))
+
+    def alike(found: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) of nid that are alike."""
+        found = cut(found)
+        ends = found.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(one.select("nid", "node"), "nid")
+        # Shingles of the texts that have a candidate, compared row by row in the JVM: no batch holds many long sets.
+        own = marked.select("node", "text").join(ends, "node")
+        sets = cut(map_text(own, "text", shingles, [T.StructField("s", many)]).select("nid", "s").dropDuplicates(["nid"]))
+        pairs = found.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("nid").alias("b"), F.col("s").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return cut(pairs.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+
+    keyed = one.select(F.explode("keys").alias("key"), F.col("nid").alias("node"), *longs)
+    found = links(keyed, radius_of(similarity), WIDE).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = alike(found)
+    roots = components(linked).withColumnRenamed("node", "nid")
+    more = alike(_met(one.select("nid", "n", "prefix", *[f"m{i}" for i in range(MARKS)]), roots, similarity))
+    named = _named(one.select(F.col("nid").alias("node"), "low"), roots.toDF("a", "b").union(more)).withColumnRenamed("node", "nid")
+    name = one.select("nid", "node")
+    named = cut(named.join(name, "nid").drop("nid").join(name.toDF("root", "text"), "root").select("node", F.col("text").alias("root"), "component_id"))
     return sketched.select("doc_id", "node").join(named, "node").select("doc_id", "node", "root", "component_id")

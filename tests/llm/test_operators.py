@@ -478,6 +478,50 @@ def test_similar_texts(spark):
     assert simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
+def test_similar_texts_lose_no_link(spark, monkeypatch):
+    """Links are found where the first pass finds next to none, and in keys of more texts than a part holds."""
+    own = random.Random(11)
+    word = lambda: f"w{own.randrange(10**9)}"
+    phrase = [word() for _ in range(30)]
+    rows = []
+    for g in range(12):  # each text has some words of its group's last one changed: chains of just above and below 0.8
+        w = phrase[: 5 + g] + [word() for _ in range(60 + 15 * g)]
+        for i in range(8):
+            rows.append((100 * g + i, " ".join(w)))
+            w = list(w)
+            for at in own.sample(range(len(w)), own.choice([1, 1, 2, 3])):
+                w[at] = word()
+    rows += [(5000 + i, " ".join(phrase[:6])) for i in range(3)] + [(6000, "one"), (6001, "ONE "), (6002, None), (6003, "")]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").translate(LOWER).split()) else frozenset((t or "",)) for _, t in rows]
+    want = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                want = [want[b] if x == want[a] else x for x in want]
+    least = {x: min(r[0] for r, y in zip(rows, want) if x == y) for x in want}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "PART", 3)
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    monkeypatch.setattr(simhash, "radius_of", lambda similarity: 0)
+    out = {r.doc_id: r.component_id for r in simhash.similar_texts(table).collect()}
+    assert out == {r[0]: least[x] for r, x in zip(rows, want)}
+
+
+def test_links_beside_a_failed_closest_pair(spark):
+    """Two texts that are alike are linked where both are about as close to a third that is like neither."""
+    own = random.Random(3)
+    word = lambda: f"w{own.randrange(10**9)}"
+    rows = []
+    for g in range(60):
+        w = [word() for _ in range(100)]
+        # 10 of 96 shingles differ between the first two, 11 between the third and either.
+        for i, places in enumerate(([], [30, 60], [30, 60, 99])):
+            v = [word() if at in places else x for at, x in enumerate(w)]
+            rows.append((10 * g + i, " ".join(v)))
+    out = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {d: d - (d % 10 == 1) for d, _ in rows}
+
+
 def test_shard_sorting_stays_small():
     """A shard is sorted within 50 bytes for each of its own."""
     own = random.Random(5)
