@@ -8,6 +8,10 @@ import tempfile
 import numpy as np
 
 
+#: Characters whose kinds are told at a time.
+BLOCK = 1 << 18
+
+
 def place_type(n: int) -> type:
     """The type of positions in n characters: half as wide where that is enough."""
     return np.int32 if n < 1 << 31 else np.int64
@@ -117,42 +121,53 @@ def induce(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray, memory: int) -
 
 def kinds(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next (S). A 0 is always S."""
-    n = len(text)
-    differs = np.flatnonzero(text[1:] != text[:-1]).astype(place_type(n))
-    rises = np.append(text[differs + 1] > text[differs], True)
-    is_s = np.repeat(rises, np.diff(differs, prepend=-1, append=n - 1))
+    n, after = len(text), True
+    is_s = np.empty(n, bool)
+    for lo in reversed(range(0, n, BLOCK)):
+        # With the first of what follows; a run that goes on there is of its kind.
+        part, size = text[lo : lo + BLOCK + 1], min(BLOCK, n - lo)
+        differs = np.flatnonzero(part[1:] != part[:-1])
+        rises = np.append(part[differs + 1] > part[differs], after)
+        is_s[lo : lo + size] = np.repeat(rises, np.diff(differs, prepend=-1, append=size - 1))
+        after = is_s[lo]
     is_s[text == 0] = True
     return is_s
 
 
 def order_names(names: np.ndarray) -> np.ndarray:
     """Ranks of the suffixes of a string of names in which the last of each part is unique: ranks are refined by doubling."""
-    rank = names.astype(place_type(len(names)))
-    step, todo = 1, None
-    while True:
-        order = np.argsort(rank, kind="stable") if todo is None else None
-        if order is not None:
-            r = rank[order]
-            start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-            size = np.diff(np.concatenate((start, [len(r)])))
-            rank[order] = np.repeat(start.astype(rank.dtype), size)
-            todo = np.sort(order[np.repeat(size > 1, size)]).astype(rank.dtype)
-            del order, r
-        if not len(todo):
-            return rank
+    kind = place_type(len(names))
+    rank = names.astype(kind)
+
+    def leads(new: np.ndarray) -> np.ndarray:
+        """For each of a row of elements, where the group begins that it is in; new: whether it begins one."""
+        lead = np.arange(len(new), dtype=kind)
+        lead[~new] = 0
+        return np.maximum.accumulate(lead, out=lead)
+
+    order = np.argsort(rank, kind="stable").astype(kind)
+    r = rank[order]
+    new = np.concatenate(([True], r[1:] != r[:-1]))[: len(r)]
+    del r
+    rank[order] = leads(new)
+    todo = np.sort(order[~(new & np.append(new[1:], True)[: len(new)])])
+    del order, new
+    step = 1
+    while len(todo):
+        was = rank[todo]
         key = rank[np.minimum(todo + step, len(rank) - 1)]
-        o = np.lexsort((key, rank[todo]))
-        t, k, r = todo[o], key[o], rank[todo][o]
+        o = np.lexsort((key, was)).astype(kind)
+        t, k, r = todo[o], key[o], was[o]
+        del o, key, was
         new_group = np.concatenate(([True], r[1:] != r[:-1]))
         new = new_group | np.concatenate(([True], k[1:] != k[:-1]))
-        group = np.flatnonzero(new_group)
-        base = np.repeat(np.arange(len(group)), np.diff(np.concatenate((group, [len(t)]))))
-        start = np.flatnonzero(new)
-        size = np.diff(np.concatenate((start, [len(t)])))
-        lead = np.repeat(start, size)
-        rank[t] = r + lead - group[base]
-        todo = t[np.repeat(size > 1, size)]
+        del k
+        r += leads(new)
+        r -= leads(new_group)
+        rank[t] = r
+        todo = t[~(new & np.append(new[1:], True))]
         step *= 2
+    return rank
 
 
 def suffix_order(text: np.ndarray, memory: int = 256 << 20) -> np.ndarray:

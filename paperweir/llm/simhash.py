@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperweir.llm import tokens as K
-from paperweir.llm.common import cut, lists, map_text, trimmed
+from paperweir.llm.common import Scratch, cut, lists, map_text, trimmed
 from paperweir.llm.components import components
 
 U = np.uint64
@@ -493,20 +493,18 @@ def _counted(marked: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     parts = max(1, marked.count() // SAMPLE)
     some = marked.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == 0).select("node", "text").dropDuplicates(["node"])
     sets = map_text(some, "text", shingles, [T.StructField("s", T.ArrayType(T.LongType()))]).select(F.explode("s").alias("h"))
-    top = sets.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COUNTED).collect()
-    common, times = np.array([r.h for r in top], np.int64).view(U), np.array([r.n for r in top], np.int64)
+    top = sets.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COUNTED).toArrow()
+    common, times = top.column("h").to_numpy().view(U), top.column("n").to_numpy()
     order = np.argsort(common)
     return common[order], times[order]
 
 
-def _met(one: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of texts (nid, n, prefix, m0, m1, ...) of different roots (nid, root) that share a shingle of their prefixes and can be
+def _met(rooted: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of texts (nid, root, n, prefix, m0, m1, ...) of different roots that share a shingle of their prefixes and can be
     alike: all pairs that are, whatever the number of texts of one shingle. Of a shingle's texts PART on average meet PART in
     a task, and every two parts do in one."""
     fields = [f"m{i}" for i in range(MARKS)]
-    n = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A text of one root with all others of its shingle is told by the shingle's least and greatest root.
-    rooted = cut(one.join(roots, "nid", "left").select("nid", F.coalesce("root", "nid").alias("root"), "n", "prefix", *fields))
+    n = int(rooted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = rooted.select("nid", "root", "n", F.posexplode("prefix").alias("place", "key"))
     own = Window.partitionBy("key")
     keyed = keyed.withColumn("rows", F.count(F.lit(1)).over(own)).withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own))
@@ -579,27 +577,40 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     many = T.ArrayType(T.LongType())
     fields = [T.StructField(f, T.LongType()) for f in [*longs, *[f"m{i}" for i in range(MARKS)]]]
     fields += [T.StructField("keys", many), T.StructField("n", T.LongType()), T.StructField("prefix", many)]
-    sketched = cut(map_text(marked, "text", sketch, fields).drop("text"))
+    # Sketches and shingles are most of what is stored: they go once they are read, and (node, doc_id) and (nid, node, low) stay.
+    first, second = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    sketched = first.cut(map_text(marked, "text", sketch, fields).drop("text"))
     own = [f.name for f in fields]
-    one = cut(sketched.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in own]).withColumn("nid", F.monotonically_increasing_id()))
+    one = second.cut(sketched.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in own]).withColumn("nid", F.monotonically_increasing_id()))
+    rows = cut(sketched.select("doc_id", "node"))
+    first.release()
+    nodes = cut(one.select("nid", "node", "low"))
 
     def alike(found: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of nid that are alike."""
-        found = cut(found)
-        ends = found.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(one.select("nid", "node"), "nid")
+        held = Scratch(docs.sparkSession)
+        found = held.cut(found)
+        ends = found.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "node"), "nid")
         # Shingles of the texts that have a candidate, compared row by row in the JVM: no batch holds many long sets.
         own = marked.select("node", "text").join(ends, "node")
-        sets = cut(map_text(own, "text", shingles, [T.StructField("s", many)]).select("nid", "s").dropDuplicates(["nid"]))
+        sets = held.cut(map_text(own, "text", shingles, [T.StructField("s", many)]).select("nid", "s").dropDuplicates(["nid"]))
         pairs = found.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("nid").alias("b"), F.col("s").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
-        return cut(pairs.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+        kept = cut(pairs.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+        held.release()
+        return kept
 
     keyed = one.select(F.explode("keys").alias("key"), F.col("nid").alias("node"), *longs)
     found = links(keyed, radius_of(similarity), WIDE).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     linked = alike(found)
     roots = components(linked).withColumnRenamed("node", "nid")
-    more = alike(_met(one.select("nid", "n", "prefix", *[f"m{i}" for i in range(MARKS)]), roots, similarity))
-    named = _named(one.select(F.col("nid").alias("node"), "low"), roots.toDF("a", "b").union(more)).withColumnRenamed("node", "nid")
-    name = one.select("nid", "node")
+    # A text of one root with all others of its shingle is told by the shingle's least and greatest root.
+    marks_of = [f"m{i}" for i in range(MARKS)]
+    rooted = first.cut(one.join(roots, "nid", "left").select("nid", F.coalesce("root", "nid").alias("root"), "n", "prefix", *marks_of))
+    second.release()
+    more = alike(_met(rooted, similarity))
+    first.release()
+    named = _named(nodes.select(F.col("nid").alias("node"), "low"), roots.toDF("a", "b").union(more)).withColumnRenamed("node", "nid")
+    name = nodes.select("nid", "node")
     named = cut(named.join(name, "nid").drop("nid").join(name.toDF("root", "text"), "root").select("node", F.col("text").alias("root"), "component_id"))
-    return sketched.select("doc_id", "node").join(named, "node").select("doc_id", "node", "root", "component_id")
+    return rows.join(named, "node").select("doc_id", "node", "root", "component_id")

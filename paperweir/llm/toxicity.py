@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperweir.llm import tokens as K
-from paperweir.llm.common import map_text, steps, text_bytes
+from paperweir.llm.common import map_text, steps, text_bytes, trim
 from paperweir.llm.svm import calibrate, fit_hinge, labelled_sample, sigmoid
 
 #: Labelled rows of each class, landmarks of each kind, decay per spanned character, and longest string compared whole.
@@ -25,6 +25,8 @@ MOST, LANDMARKS, DECAY, LONGEST = 1500, 32, 0.6, 16
 LEAST_RATIO, CANDIDATES = 10.0, 192
 #: Kernel value from which two words count as forms of one; share of a word's length that its map must hold.
 ALIKE, HELD = 0.6, 0.2
+#: Subsequences of words that are compared with the landmarks at a time.
+PLACES = 1 << 19
 #: Letters of the shortest beginning that words may share to be forms of one.
 STEM = 5
 #: What texts' maps are multiplied by before fitting, so that a word in fifty has length 1.
@@ -112,10 +114,11 @@ class Kernel:
         self.table /= np.maximum(np.sqrt((self.table**2).sum(0)), 1e-9)
         value, vector = np.linalg.eigh(self.of(*_joined(landmarks)).astype(float))
         self.root = (vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T).astype(np.float32)
+        self.rows = np.empty((self.KEEP, self.m), np.float32)  # memory is taken as rows come
         self._clear()
 
     def _clear(self):
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros((0, self.m), np.float32)
+        self.keys, self.slot, self.held = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
 
     def of(self, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros((len(a), self.m), np.float32)
@@ -123,7 +126,7 @@ class Kernel:
         for n in np.unique(size):
             if n < 3:
                 continue
-            for rows in np.array_split(np.flatnonzero(size == n), max(1, (size == n).sum() * len(_triples(int(n))[1]) // 2_000_000)):
+            for rows in np.array_split(np.flatnonzero(size == n), max(1, (size == n).sum() * len(_triples(int(n))[1]) // PLACES)):
                 words = flat[a[rows][:, None] + np.arange(n)]
                 code, w = _spectrum(words)
                 acc = np.zeros((len(rows), self.m), np.float32)
@@ -155,15 +158,20 @@ class Kernel:
         if len(self.keys):
             known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
         values = np.zeros((len(keys), self.m), np.float32)
-        values[known] = self.rows[at[known]]
+        values[known] = self.rows[self.slot[at[known]]]
         new = np.flatnonzero(~known)
         if len(new):
             values[new] = self.mapped(flat, a[first[new]], b[first[new]])
-            if len(self.keys) + len(new) > self.KEEP:
+            if self.held + len(new) > self.KEEP:
                 self._clear()
+                new = new[: self.KEEP]
+            # Rows stay where they are put; only keys and places are sorted anew.
+            end = self.held + len(new)
+            self.rows[self.held : end] = values[new]
             k = np.concatenate((self.keys, keys[new]))
             order = np.argsort(k)
-            self.keys, self.rows = k[order], np.concatenate((self.rows, values[new]))[order]
+            self.keys, self.slot = k[order], np.concatenate((self.slot, np.arange(self.held, end, dtype=np.int32)))[order]
+            self.held = end
         return values, back
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -309,7 +317,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
 
     What is learned from, and how repeated labels, ids and rows count, is labelled_sample's to say."""
     sample, sizes = labelled_sample(docs, labels, label, most, doc_id, text)
-    return learn(sample.select("d", "h", "text", "y").toArrow().sort_by([("d", "ascending"), ("h", "ascending")]), sizes, each)
+    model = learn(sample.select("d", "h", "text", "y").toArrow().sort_by([("d", "ascending"), ("h", "ascending")]), sizes, each)
+    trim()
+    return model
 
 
 def learn(table: pa.Table, sizes: dict[int, int], each: int = LANDMARKS) -> dict:
