@@ -24,6 +24,8 @@ BLOCK, MOST = 1024, 16_384
 WIDE, KEYS, LEAST = 4, 16, 4
 #: Words of 64 bits in the marks that bound how far two shingle sets differ; texts that shingles are counted in, and most counts.
 MARKS, SAMPLE, COUNTED = 16, 10_000, 50_000
+#: Shingles above which a text has a parity() besides its marks, which tell larger sets apart less and less.
+LONG = 32 * MARKS
 #: Rows of one part of a key, and pairs that are held against each other at a time.
 PART, PAIRS = 8192, 100_000
 #: Bits of each band; any two fingerprints that differ in at most 3 bits agree on 2 of the 5 bands whole.
@@ -457,6 +459,54 @@ def marks(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out.reshape(len(count), MARKS)
 
 
+def parity(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marks of rows of more than LONG shingles, in as many bits as twice their shingles, up to a power of two; and the words
+    per row, 0 for the others. Half of one, put on its other half by XOR, is what half as many bits would be."""
+    words = np.where(count > LONG, 1 << np.ceil(np.log2(np.maximum(count, 1) / 32)).astype(np.int64), 0)
+    start = np.cumsum(words) - words
+    rows = np.repeat(np.arange(len(count)), count)
+    held = words[rows] > 0
+    bit, rows = K.mix(h[held]), rows[held]
+    bit &= (words[rows] * 64 - 1).astype(U)
+    out = np.zeros(words.sum(), U)
+    np.bitwise_xor.at(out, start[rows] + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+    return out, words
+
+
+def unlike(x: pa.ListArray, y: pa.ListArray, both: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the parities x and y of each row, if both are there, rule out that its sets are alike: sets differ in at least as many
+    shingles as these do in bits. both: shingles of the two together."""
+    out = np.zeros(len(both), bool)
+    values = [c.values.to_numpy().view(U) for c in (x, y)]
+    at = [c.offsets.to_numpy() for c in (x, y)]
+    size = [np.diff(o) for o in at]
+    some = (size[0] > 0) & (size[1] > 0)
+    share = (similarity - 1e-9) / (1 + similarity)
+    for p, q in set(zip(size[0][some].tolist(), size[1][some].tolist())):
+        mine, least = np.flatnonzero((size[0] == p) & (size[1] == q)), min(p, q)
+        for rows in np.array_split(mine, -(-len(mine) * (p + q) // (1 << 20))):
+            a, b = (np.bitwise_xor.reduce(v[o[rows][:, None] + np.arange(n)].reshape(len(rows), n // least, least), axis=1) for v, o, n in zip(values, at, (p, q)))
+            out[rows] = np.bitwise_count(a ^ b).sum(1) > both[rows] * (1 - 2 * share)
+    return out
+
+
+def _close(found: DataFrame, long: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that parities (nid, n, parity) do not rule out. A parity is a 25th of its text, and a set is larger
+    than its text: pairs that share a shingle by chance, which grow with the square of the texts, carry no sets."""
+    x = long.select(F.col("nid").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("x"))
+    y = long.select(F.col("nid").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("y"))
+    none = F.array().cast("array<long>")
+    both = F.coalesce(F.col("n_a") + F.col("n_b"), F.lit(0)).alias("both")
+    pairs = found.join(x, "a", "left").join(y, "b", "left").select("a", "b", both, F.coalesce("x", none).alias("x"), F.coalesce("y", none).alias("y"))
+
+    def run(batches):
+        for batch in trimmed(batches):
+            drop = unlike(batch.column(3), batch.column(4), batch.column(2).to_numpy(), similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(~drop)) for i in (0, 1)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def meeting(group: np.ndarray, n: np.ndarray, place: np.ndarray, part: np.ndarray, root: np.ndarray, mark: np.ndarray, similarity: float):
     """Pairs (i, j) of rows of one group that can be alike, by sizes, places of the key in both orders, and marks; not those of one
     root, nor of one part in a group of two. Rows are sorted by group (number, whether of two parts) and size."""
@@ -543,7 +593,8 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     a text of the group, and one component_id, the smallest doc_id reachable.
 
     No link is lost: any two such texts share a shingle of their prefixes(), and all pairs that do and can be alike by sound bounds
-    are verified on the shingles themselves, unless links join them already. For large groups most links come from a first
+    are verified on the shingles themselves, unless links join them already. Long texts that share one by chance are ruled out
+    by their parity() before sets are fetched. For large groups most links come from a first
     pass that may lose some: candidates share one of KEYS keys of least shingle hashes and differ in at most
     radius_of(similarity) bits of 256; of these a spanning forest of least distance is verified.
     node is a 128-bit hash of the text: equal texts are one node. Null texts and texts without words are like nothing but
@@ -561,8 +612,9 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
             wide, keys, some = sketches(h, count)
             first, size = prefixes(h, count, similarity, common, times)
             mark = marks(h, count)
+            own, words = parity(h, count)
             added = [pa.array(wide[:, i].view(np.int64)) for i in range(WIDE)] + [pa.array(mark[:, i].view(np.int64)) for i in range(MARKS)]
-            return [*added, lists(pa.array(keys[some].ravel().view(np.int64)), np.where(some, KEYS, 0)), pa.array(count), lists(pa.array(first.view(np.int64)), size)]
+            return [*added, lists(pa.array(own.view(np.int64)), words), lists(pa.array(keys[some].ravel().view(np.int64)), np.where(some, KEYS, 0)), pa.array(count), lists(pa.array(first.view(np.int64)), size)]
 
         return apply
 
@@ -576,7 +628,7 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     longs = [f"f{i}" for i in range(WIDE)]
     many = T.ArrayType(T.LongType())
     fields = [T.StructField(f, T.LongType()) for f in [*longs, *[f"m{i}" for i in range(MARKS)]]]
-    fields += [T.StructField("keys", many), T.StructField("n", T.LongType()), T.StructField("prefix", many)]
+    fields += [T.StructField("parity", many), T.StructField("keys", many), T.StructField("n", T.LongType()), T.StructField("prefix", many)]
     # Sketches and shingles are most of what is stored: they go once they are read, and (node, doc_id) and (nid, node, low) stay.
     first, second = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     sketched = first.cut(map_text(marked, "text", sketch, fields).drop("text"))
@@ -607,8 +659,9 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     # A text of one root with all others of its shingle is told by the shingle's least and greatest root.
     marks_of = [f"m{i}" for i in range(MARKS)]
     rooted = first.cut(one.join(roots, "nid", "left").select("nid", F.coalesce("root", "nid").alias("root"), "n", "prefix", *marks_of))
+    long = first.cut(one.where(F.size("parity") > 0).select("nid", "n", "parity"))
     second.release()
-    more = alike(_met(rooted, similarity))
+    more = alike(_close(first.cut(_met(rooted, similarity)), long, similarity))
     first.release()
     named = _named(nodes.select(F.col("nid").alias("node"), "low"), roots.toDF("a", "b").union(more)).withColumnRenamed("node", "nid")
     name = nodes.select("nid", "node")

@@ -567,3 +567,38 @@ def test_scratch_is_of_one_call(spark, docs):
     assert own.paths
     own.release()
     assert not own.paths and pending.count() == len(ROWS)
+
+
+def test_long_texts_that_share_a_passage_fetch_no_sets(spark, monkeypatch):
+    own = random.Random(5)
+    texts = [[f"w{own.randrange(10**6)}" for _ in range(4000)] for _ in range(8)]
+    for i in range(0, 8, 2):
+        shared = [f"s{i}x{j}" for j in range(60)]
+        texts[i][100:160], texts[i + 1][2000:2060] = shared, shared
+    alike = texts[0][:3700] + [f"t{j}" for j in range(300)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, alike])]
+    sets, cut = [], simhash.Scratch.cut
+
+    def spy(self, df):
+        out = cut(self, df)
+        sets.extend(r.nid for r in out.select("nid").collect()) if out.columns == ["nid", "s"] else None
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "cut", spy)
+    out = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: i for i in range(8)} | {8: 0}
+    assert len(set(sets)) == 2
+
+
+def test_parities_bound_differences():
+    own = np.random.default_rng(3)
+    for n, same in ((700, 0), (700, 690), (1500, 1490), (1500, 1400), (1050, 1000), (4000, 100)):
+        a = np.unique(own.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[:same], own.integers(0, 2**63, round(n * own.choice([0.82, 1.0])) - same if same < n * 0.8 else n - same).astype(np.uint64))))
+        (x, nx), (y, ny) = (simhash.parity(v, np.array([len(v)])) for v in (a, b))
+        lists = [simhash.lists(simhash.pa.array(v.view(np.int64)), w) for v, w in ((x, nx), (y, ny))]
+        shared = len(np.intersect1d(a, b))
+        alike = shared >= 0.8 * (len(a) + len(b) - shared)
+        assert not (alike and simhash.unlike(*lists, np.array([len(a) + len(b)]), 0.8)[0])
+        assert alike or shared > 0.6 * n or simhash.unlike(*lists, np.array([len(a) + len(b)]), 0.8)[0]
+    assert simhash.parity(np.zeros(3, np.uint64), np.array([3, 0]))[1].tolist() == [0, 0]
