@@ -56,8 +56,8 @@ def _questions(spark, sf_dir):
 
 
 def bm25_rank(spark, sf_dir):
-    ranked = R.bm25(C.by_paragraph(document_pages(spark, sf_dir)), _questions(spark, sf_dir))
-    return ranked.where("rank <= 5").select("question", "document", "idx", F.bround("score", 6).alias("score"), "rank")
+    ranked = R.bm25(C.by_paragraph(document_pages(spark, sf_dir)), _questions(spark, sf_dir), top=5)
+    return ranked.select("question", "document", "idx", F.bround("score", 6).alias("score"), "rank")
 
 
 def question_status(spark, sf_dir):
