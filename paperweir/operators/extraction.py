@@ -40,10 +40,9 @@ def extract(pages: DataFrame, mask: bool = True, reveal: bool = False, max_token
     neither no scan runs. A page's counts stand on its first part. Blank and null pages have no part (see warnings)."""
     rows = pages.where(F.rlike("text", F.lit("(?U)\\S"))).select("document", "page", "text", "text_source")
     if mask or reveal:
-        done = I.mask_matches(rows, I.scan(rows, ["document", "page"], categories), ["document", "page"])
-        if not mask:
-            done = done.drop("text").join(rows.select("document", "page", "text"), ["document", "page"])
-        rows = done.join(rows.select("document", "page", "text_source"), ["document", "page"])
+        keep = ["text_source"] if mask else ["text_source", "__own"]
+        done = I.mask_matches(rows if mask else rows.withColumn("__own", F.col("text")), I.scan(rows, ["document", "page"], categories), ["document", "page"], keep=keep)
+        rows = done if mask else done.withColumn("text", F.col("__own")).drop("__own")
     else:
         rows = rows.withColumns({"replaced": F.lit(0).cast("long"), "confirmed": F.lit(0).cast("long")})
     parts = split(F.col("text"), max_tokens) if max_tokens else F.array("text")

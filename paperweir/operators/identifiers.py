@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterable
 from functools import lru_cache, reduce
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperweir.functions import text as X
+from paperweir.functions.arrow import parts
 from paperweir.functions.fixed import CATEGORIES, EVIDENCE_WEIGHT, MODEL_CATEGORIES, NEVER_REVEAL, SEVERITY_WEIGHT
 from paperweir.functions.validators import VALIDATORS
 
@@ -101,7 +103,7 @@ def candidates(pages: DataFrame, categories: Iterable[str] | None = None, text:
 
     def run(batches):
         find = _find(patterns)
-        for batch in batches:
+        for batch in parts(batches, len(kept)):
             at, rows = [], []
             for i, t in enumerate(batch.column(len(kept)).to_pylist()):
                 for n, *hit in find(t) if t else ():
@@ -141,19 +143,18 @@ def resolved(found: DataFrame, page: list[str]) -> DataFrame:
     """Of overlapping matches of exclusive categories on a page, the longest stays; of equals the one with context, then the
     more confident, then the first by pattern and place. Other categories stay as they are."""
     exclusive = [c.id for c in CATEGORIES if c.exclusive]
-    own = found.withColumn("__x", F.col("category").isin(exclusive))
-    rest = own.where("not __x").drop("__x")
-    rows = own.where("__x").drop("__x")
+    exclusive_one = F.col("category").isin(exclusive)
+    fields = F.struct(*[F.col(f"`{c}`") for c in found.columns if c not in page])
     row = F.struct(
         (-F.length("value")).alias("k1"), F.when(F.col("term").isNotNull(), 0).otherwise(1).alias("k2"), (-F.coalesce("confidence", F.lit(0.0))).alias("k3"),
-        F.col("ord").alias("k4"), F.col("start").alias("k5"), (F.col("start") + F.length("value")).alias("e"),
-        F.struct(*[F.col(f"`{c}`") for c in found.columns if c not in page]).alias("r"),
+        F.col("ord").alias("k4"), F.col("start").alias("k5"), (F.col("start") + F.length("value")).alias("e"), fields.alias("r"),
     )
-    per = rows.groupBy(*page).agg(F.array_sort(F.collect_list(row)).alias("c"))
+    # Both kinds in one sum: as two branches the search for matches would run twice.
+    per = found.groupBy(*page).agg(F.array_sort(F.collect_list(F.when(exclusive_one, row))).alias("c"), F.collect_list(F.when(~exclusive_one, fields)).alias("rest"))
     kind = per.schema["c"].dataType.simpleString()
     kept = F.aggregate("c", F.array().cast(kind), lambda a, x: F.when(F.exists(a, lambda t: (x["k5"] < t["e"]) & (t["k5"] < x["e"])), a).otherwise(F.concat(a, F.array(x))))
-    out = per.select(*page, F.explode(kept).alias("k")).select(*page, "k.r.*")
-    return out.select(*found.columns).unionByName(rest)
+    out = per.select(*page, F.explode(F.concat(F.transform(kept, lambda k: k["r"]), "rest")).alias("r")).select(*page, "r.*")
+    return out.select(*found.columns)
 
 
 def evidence(validators: Column, term: Column, model: Column | None = None) -> Column:
@@ -213,29 +214,46 @@ def evidence_rank(tier: Column) -> Column:
     return F.array_position(F.array(*[F.lit(k) for k in EVIDENCE_WEIGHT]), tier) - 1
 
 
-def mask_matches(pages: DataFrame, found: DataFrame, page: list[str], text: str = "text") -> DataFrame:
-    """page, text with matches masked, replaced and confirmed counts. Stronger evidence writes first, then line and column;
-    a match wholly under earlier ones does not count; one that runs past its line's end is left out, as places are per line."""
+def _masked(text: str, matches: list[dict]) -> tuple[str, int, int]:
+    """text with matches (rk, line, c, l, mk), in their order, masked; how many counted, and how many of these were confirmed."""
+    lines, changed, covered, n, confirmed = text.split("\n"), {}, {}, 0, 0
+    for m in matches:
+        at, c, end = m["line"] - 1, m["c"], m["c"] + m["l"]
+        if at >= len(lines) or end > len(lines[at]):
+            continue
+        own, taken = changed.setdefault(at, list(lines[at])), covered.setdefault(at, set())
+        places = [i for i in range(c, end) if i not in taken]
+        if places:
+            for i in places:
+                own[i] = m["mk"][i - c : i - c + 1]
+            taken.update(places)
+            n, confirmed = n + 1, confirmed + (m["rk"] == 0)
+    for at, own in changed.items():
+        lines[at] = "".join(own)
+    return "\n".join(lines), n, confirmed
+
+
+def mask_matches(pages: DataFrame, found: DataFrame, page: list[str], text: str = "text", keep: list[str] = ()) -> DataFrame:
+    """page and the columns to keep, text with matches masked, replaced and confirmed counts. Stronger evidence writes first, then
+    line and column; a match wholly under earlier ones does not count; one that runs past its line's end is left out, as places are per line."""
     rank = F.struct(evidence_rank(F.col("evidence")).alias("rk"), "line", F.col("column").alias("c"), F.col("length").alias("l"), F.col("masked").alias("mk"))
-    per = found.groupBy(*page).agg(F.array_sort(F.collect_list(rank)).alias("m"))
-    rows = pages.select(*page, F.col(text).alias("text")).join(per, page, "left")
-    split = rows.withColumn("parts", F.split("text", "\n", -1))
-    empty = F.struct(F.col("parts").alias("p"), F.lit(0).alias("n"), F.lit(0).alias("cf"), F.array().cast("array<struct<ln:int,a:int,b:int>>").alias("cov"))
-
-    def write(a, x):
-        own = F.get(a["p"], x["line"] - 1)
-        fits = x["c"] + x["l"] <= F.length(own)
-        mine = F.filter(a["cov"], lambda v: v["ln"] == x["line"])
-        places = F.filter(F.sequence(x["c"], x["c"] + x["l"] - 1), lambda i: ~F.exists(mine, lambda v: (i >= v["a"]) & (i < v["b"])))
-        use = fits & (F.size(places) > 0)
-        new = F.array_join(F.transform(F.split(own, ""), lambda ch, i: F.when(F.array_contains(places, i), F.substring(x["mk"], i - x["c"] + 1, F.lit(1))).otherwise(ch)), "")
-        parts = F.when(use, F.transform(a["p"], lambda p, i: F.when(i == x["line"] - 1, new).otherwise(p))).otherwise(a["p"])
-        cov = F.when(use, F.concat(a["cov"], F.array(F.struct(x["line"].alias("ln"), x["c"].alias("a"), (x["c"] + x["l"]).alias("b"))))).otherwise(a["cov"])
-        return F.struct(parts.alias("p"), (a["n"] + use.cast("int")).alias("n"), (a["cf"] + (use & (x["rk"] == 0)).cast("int")).alias("cf"), cov.alias("cov"))
-
-    done = F.aggregate("m", empty, write)
-    out = split.withColumn("d", F.when(F.col("m").isNotNull(), done))
-    return out.select(*page, F.coalesce(F.array_join("d.p", "\n"), "text").alias("text"), F.coalesce("d.n", F.lit(0)).cast("long").alias("replaced"), F.coalesce("d.cf", F.lit(0)).cast("long").alias("confirmed"))
+    per = found.groupBy(*page).agg(F.array_sort(F.collect_set(rank)).alias("__m"))
+    rows = pages.select(*page, F.struct(*page, *keep).alias("__row"), F.col(text).alias("__text")).join(per, page, "left").select("__row", "__text", "__m")
+    schema = T.StructType([rows.schema["__row"], T.StructField("__text", T.StringType()), T.StructField("replaced", T.LongType()), T.StructField("confirmed", T.LongType())])
+
+    def run(batches):
+        for batch in parts(batches, 1):
+            m = batch.column(2)
+            some = np.flatnonzero(m.is_valid().to_numpy(zero_copy_only=False))
+            n, confirmed, texts = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64), batch.column(1)
+            if len(some):
+                texts = texts.to_pylist()
+                for i in some.tolist():
+                    texts[i], n[i], confirmed[i] = _masked(texts[i] or "", m[i].as_py())
+                texts = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(n), pa.array(confirmed)], names=schema.names)
+
+    return rows.mapInArrow(run, schema).select("__row.*", F.col("__text").alias("text"), "replaced", "confirmed")
 
 
 def ranked(found: DataFrame, path: str, page: str) -> DataFrame:

@@ -118,3 +118,29 @@ def test_counts_repeats_and_masks_follow_from_the_scan(spark):
             done |= {(m.line, i) for i in range(m.column, m.column + m.length)}
             n += bool(free)
         assert (r.text, r.replaced) == ("\n".join(lines), n)
+
+
+def test_many_matches_on_one_long_line_are_masked_in_one_go(spark):
+    import time
+
+    text = " ".join(f"user{i}@example.org said so and so" for i in range(1500))
+    p = pages(spark, text)
+    found = I.scan(p, PAGE, ["email_address"])
+    assert found.count() == 1500
+    began = time.time()
+    (r,) = I.mask_matches(p, found, PAGE).collect()
+    assert time.time() - began < 30
+    assert r.replaced == 1500 and "@example" not in r.text and len(r.text) == len(text)
+
+
+def test_pages_are_searched_once(spark):
+    p = pages(spark, "4111 1111 1111 1111 and a@example.org")
+    plan = I.scan(p, PAGE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_masked_pages_keep_other_columns_and_repeated_rows(spark):
+    p = pages(spark, "to a@example.org", None, "nothing").selectExpr("*", "upper(document) AS other")
+    p = p.union(p)
+    got = [tuple(r) for r in I.mask_matches(p, I.scan(p, PAGE), PAGE, keep=["other"]).orderBy("document").collect()]
+    assert got == [(d, 1, d.upper(), t, n, 0) for d, t, n in [("d0", "to •@••••••e.org", 1), ("d1", None, 0), ("d2", "nothing", 0)] for _ in range(2)]
