@@ -10,6 +10,8 @@ ZERO_WIDTH = "\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}\\x{180E}"
 INVISIBLE = "[\\x{E0000}-\\x{E007F}" + ZERO_WIDTH + "\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]"
 #: Line ends beyond the line feed.
 LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+#: Two spaces, or white space that is no space.
+LOOSE = "  |[\\t-\\r\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 MATCH = "array<struct<s:int,v:string>>"
 
 
@@ -42,13 +44,19 @@ def mask(value: Column, tail: int = 4) -> Column:
     return F.regexp_replace(hidden, "(?U)[\\p{Cc}\\p{Cf}\\p{Cs}\\p{Co}\\p{Cn}\\p{Zl}\\p{Zp}[\\p{Zs}&&[^ ]]]", " ")
 
 
+def _edged(text: Column) -> Column:
+    """Whether a text begins or ends with white space: two characters are looked at instead of all."""
+    return F.rlike(F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1))), F.lit("(?U)\\s"))
+
+
 def squeeze(text: Column) -> Column:
     """White space runs become one space; none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, "(?U)^\\s+|\\s+$", ""), "(?U)\\s+", " ")
+    done = F.regexp_replace(F.regexp_replace(text, "(?U)^\\s+|\\s+$", ""), "(?U)\\s+", " ")
+    return F.when(_edged(text) | F.rlike(text, F.lit(LOOSE)), done).otherwise(text)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+    return F.when(_edged(text), F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")).otherwise(text)
 
 
 def casefold(text: Column) -> Column:
@@ -81,7 +89,8 @@ def terms(text: Column) -> Column:
 def lines(text: Column) -> Column:
     """Lines, at any of the line ends; a last line without text is none."""
     parts = F.split(text, LINE_ENDS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    several = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.when(F.rlike(text, F.lit(LINE_ENDS.split("|")[1])) | (text == ""), several).otherwise(F.when(text.isNotNull(), F.array(text)))
 
 
 def tokens_estimate(text: Column) -> Column:

@@ -32,58 +32,86 @@ def by_words(docs: DataFrame, size: int = 100, overlap: int = 0, chunker: str =
     rows = docs.select(F.lit(chunker).alias("chunker"), "document", words.alias("w")).where(F.size("w") > 0)
     # Starts stop where the rest is but an overlap.
     last = F.greatest(F.size("w") - overlap - 1, F.lit(0))
-    rows = rows.select("chunker", "document", "w", F.explode(F.sequence(F.lit(0), last, F.lit(size - overlap))).alias("at"))
-    return rows.select("chunker", "document", (F.col("at") / (size - overlap)).cast("int").alias("idx"), F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " ").alias("text"))
+    # Chunks are made before they become rows: each row would carry all words of its document.
+    parts = F.transform(F.sequence(F.lit(0), last, F.lit(size - overlap)), lambda at: F.array_join(F.slice("w", at + 1, F.lit(size)), " "))
+    return rows.select("chunker", "document", F.posexplode(parts).alias("idx", "text"))
 
 
 def by_characters(docs: DataFrame, size: int = 500, overlap: int = 0, chunker: str = "characters") -> DataFrame:
     rows = docs.where(F.length("text") > 0)
     last = F.greatest(F.length("text") - overlap - 1, F.lit(0))
-    rows = rows.select(F.lit(chunker).alias("chunker"), "document", "text", F.explode(F.sequence(F.lit(0), last, F.lit(size - overlap))).alias("at"))
-    return rows.select("chunker", "document", (F.col("at") / (size - overlap)).cast("int").alias("idx"), F.substring(F.col("text"), F.col("at") + 1, F.lit(size)).alias("text"))
+    parts = F.transform(F.sequence(F.lit(0), last, F.lit(size - overlap)), lambda at: F.substring(F.col("text"), at + 1, F.lit(size)))
+    return rows.select(F.lit(chunker).alias("chunker"), "document", F.posexplode(parts).alias("idx", "text"))
 
 
 def _filled(text: Column) -> Column:
     return F.filter(F.transform(X.lines(text), X.strip), lambda s: s != "")
 
 
+def _ended(text: Column) -> Column:
+    """SENTENCE_END for a text without white space at its ends: its last character tells."""
+    return F.rlike(F.right(text, F.lit(1)), F.lit(SENTENCE_END))
+
+
+def _tabular(line: Column) -> Column:
+    return (F.contains(line, F.lit("|")) | F.contains(line, F.lit("\t"))) & F.rlike(line, F.lit(TABLE_LINE))
+
+
 def flags(chunks: DataFrame, min_tokens: int = 20, max_tokens: int | None = None, metadata: str | None = None) -> DataFrame:
     """chunks with characters, tokens and flags: tiny, oversized, split_sentence, split_table, heading_at_end, duplicate,
     path_metadata. Neighbours are within a document; duplicates are of an earlier chunk of the chunker by document and place."""
-    t = F.col("text")
-    c = chunks.withColumns({"tokens": X.tokens_estimate(t), "__next": F.lead("text").over(Window.partitionBy("chunker", "document").orderBy("idx")), "__norm": X.squeeze(t)})
-    # The first of equal chunks is found by a sum that is partial before the shuffle: a chunk that stands everywhere is one row.
-    c = c.withColumns({"__key": F.md5(F.col("__norm").cast("binary")), "__at": F.struct("document", "idx")})
-    firsts = c.where("__norm <> ''").groupBy("chunker", "__key").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    c = c.join(firsts, ["chunker", "__key"], "left")
-    nxt, own = F.col("__next"), X.strip(t)
-    last, first = F.get(F.slice(_filled(t), -1, 1), F.lit(0)), F.get(_filled(nxt), F.lit(0))
-    start = F.substring(X.strip(nxt), 1, 1)
-    cut = nxt.isNotNull() & (own != "") & ~F.rlike(own, F.lit(SENTENCE_END)) & F.rlike(start, F.lit("\\p{Ll}"))
-    table = F.rlike(last, F.lit(TABLE_LINE)) & F.rlike(first, F.lit(TABLE_LINE))
+    # What rules ask of a chunk and of the one after it is read off each text once, where it is; texts themselves are not sent.
+    text = F.col("text")
+    own = F.struct(X.strip(text).alias("own"), X.squeeze(text).alias("norm"), _filled(text).alias("lines"), X.tokens_estimate(text).alias("tokens"), F.length(text).alias("characters"))
+    c = chunks.select("*", F.explode_outer(F.array(own)).alias("__o"))
+    ends = F.struct(F.get("__o.lines", F.size("__o.lines") - 1).alias("last"), F.get("__o.lines", F.lit(0)).alias("first"))
+    c = c.select("*", F.explode_outer(F.array(ends)).alias("__l"))
+    last, first = F.col("__l.last"), F.col("__l.first")
     words = F.size(F.regexp_extract_all(last, F.lit("(?U)\\S+"), F.lit(0)))
-    shout = (words <= 8) & (F.upper(last) == last) & (F.lower(last) != last) & ~F.rlike(last, F.lit(SENTENCE_END))
-    heading = (F.size(_filled(t)) >= 2) & (F.startswith(last, F.lit("#")) | shout)
+    shout = (F.upper(last) == last) & (F.lower(last) != last) & ~_ended(last) & (words <= 8)
     path = F.exists(F.map_values(metadata), lambda v: F.rlike(v, F.lit(ABSOLUTE_PATH))) if metadata else F.lit(False)
+    sure = lambda rule: F.coalesce(rule, F.lit(False))
+    c = c.select(
+        *chunks.columns, F.col("__o.tokens").alias("tokens"), F.col("__o.characters").alias("characters"), F.when(F.col("__o.norm") != "", F.md5(F.col("__o.norm").cast("binary"))).alias("__key"),
+        sure((F.col("__o.own") != "") & ~_ended(F.col("__o.own"))).alias("__open"), sure(F.rlike(F.substring("__o.own", 1, 1), F.lit("\\p{Ll}"))).alias("__low"),
+        sure(_tabular(last)).alias("__to"), sure(_tabular(first)).alias("__from"),
+        sure((F.size("__o.lines") >= 2) & (F.startswith(last, F.lit("#")) | shout)).alias("__heading"), sure(path).alias("__path"),
+    )
+    w = Window.partitionBy("chunker", "document").orderBy("idx")
+    c = c.withColumn("__next", F.lead(F.struct("__low", "__from")).over(w))
+    # Chunks that are the only ones of their text are most: the others' places are joined by a hash of it. The first of equal chunks
+    # is found by a sum that is partial before the shuffle: a chunk that stands everywhere is one row.
+    c = c.withColumn("__at", F.struct("document", "idx"))
+    firsts = c.where("__key is not null").groupBy("chunker", "__key").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    c = c.join(firsts, ["chunker", "__key"], "left")
     rules = [
         (F.col("tokens") < min_tokens, "tiny"), (F.lit(False) if max_tokens is None else F.col("tokens") > max_tokens, "oversized"),
-        (cut, "split_sentence"), (table, "split_table"), (heading, "heading_at_end"), (F.col("__at") != F.col("__first"), "duplicate"), (path, "path_metadata"),
+        (F.col("__open") & F.col("__next.__low"), "split_sentence"), (F.col("__to") & F.col("__next.__from"), "split_table"), (F.col("__heading"), "heading_at_end"),
+        (F.col("__at") != F.col("__first"), "duplicate"), (F.col("__path"), "path_metadata"),
     ]
-    found = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for rule, name in rules]))
-    return c.withColumns({"characters": F.length(t), "flags": found}).select(*chunks.columns, "tokens", "characters", "flags")
+    found = F.array_compact(F.array(*[F.when(sure(rule), name) for rule, name in rules]))
+    return c.withColumn("flags", found).select(*chunks.columns, "tokens", "characters", "flags")
 
 
 def stats(flagged: DataFrame) -> DataFrame:
     """Per chunker: count, total, least, median, 95th percentile (nearest rank, half to even) and most tokens."""
-    g = flagged.groupBy("chunker").agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum("tokens").alias("tokens_total"), F.min("tokens").alias("tokens_min"), F.median("tokens").alias("tokens_median"), F.max("tokens").alias("tokens_max"),
+    return _summary(flagged).drop("flagged")
+
+
+def _summary(flagged: DataFrame) -> DataFrame:
+    """stats() and the number of chunks with any flag, from one sum per number of tokens: a list of all would not stay small, and
+    each further sum would make and flag all chunks again."""
+    per = flagged.groupBy("chunker", "tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("flags") > 0).alias("m"))
+    known, every = F.when(F.col("tokens").isNotNull(), F.col("n")).otherwise(F.lit(0)), Window.partitionBy("chunker")
+    upto = every.orderBy("tokens")
+    per = per.withColumns({"upto": F.sum("n").over(upto), "seen": F.sum(known).over(upto), "chunks": F.sum("n").over(every), "known": F.sum(known).over(every)})
+    at = lambda reached: F.min(F.when(reached, F.col("tokens")))
+    g = per.groupBy("chunker", "chunks").agg(
+        F.sum(F.col("tokens") * F.col("n")).alias("tokens_total"), F.min("tokens").alias("tokens_min"),
+        ((at(F.col("seen") >= F.floor((F.col("known") + 1) / 2)) + at(F.col("seen") >= F.floor(F.col("known") / 2) + 1)) / 2.0).cast("double").alias("tokens_median"),
+        F.max("tokens").alias("tokens_max"), at(F.col("upto") >= F.bround((F.col("chunks") - 1) * 0.95) + 1).cast("double").alias("tokens_p95"), F.sum("m").alias("flagged"),
     )
-    # The percentile's rank is looked up among counts per number of tokens: a list of all would not stay small.
-    per = flagged.groupBy("chunker", "tokens").agg(F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("upto", F.sum("n").over(Window.partitionBy("chunker").orderBy("tokens")))
-    rank = F.bround((F.col("chunks") - 1) * 0.95) + 1
-    p95 = per.join(g, "chunker").where(F.col("upto") >= rank).groupBy("chunker").agg(F.min("tokens").cast("double").alias("tokens_p95"))
-    return g.join(p95, "chunker")
+    return g
 
 
 def flag_counts(flagged: DataFrame) -> DataFrame:
@@ -92,8 +120,7 @@ def flag_counts(flagged: DataFrame) -> DataFrame:
 
 def compare(flagged: DataFrame) -> DataFrame:
     """One row per chunker: statistics and the number of chunks with any flag."""
-    some = flagged.groupBy("chunker").agg(F.count_if(F.size("flags") > 0).alias("flagged"))
-    return stats(flagged).join(some, "chunker")
+    return _summary(flagged)
 
 
 def by_function(docs: DataFrame, split, chunker: str = "own") -> DataFrame:
