@@ -11,7 +11,7 @@ INVISIBLE = "[\\x{E0000}-\\x{E007F}" + ZERO_WIDTH + "\\x{202A}-\\x{202E}\\x{2066
 #: Line ends beyond the line feed.
 LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
 #: Two spaces, or white space that is no space.
-LOOSE = "  |[\\t-\\r\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+LOOSE = "(?U)  |[^\\S ]"
 MATCH = "array<struct<s:int,v:string>>"
 
 

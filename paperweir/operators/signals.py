@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,23 @@ APPLIES = {
 }
 
 
+def _between(mark: str):
+    return lambda text: F.contains(text, F.lit(mark)) & F.rlike(text, F.lit(f"\\p{{Nd}}[{mark}]\\p{{Nd}}"))
+
+
+def _month(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in re.findall("[A-Z][a-z]{2}", MONTH)])
+
+
+#: Per family of dates a cheap test that a text with one of it passes.
+_MAY = [_between("-"), _between("/"), _between("."), _between("-"), _month, _month]
+
+
+def _with(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f asks for it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def run_together(text: Column) -> Column:
     """Words that look like several whose spaces were lost."""
     long = F.filter(F.regexp_extract_all(text, F.lit("(?U)\\S{15,}"), F.lit(0)), lambda t: F.rlike(t, F.lit("(?U)\\p{L}")))
@@ -49,15 +67,19 @@ def unmapped(text: Column) -> Column:
 
 
 def hyphenated(text: Column) -> Column:
-    words = F.regexp_count(text, F.lit("(?U)\\w+"))
     breaks = F.regexp_count(text, F.lit("[a-z]{2,}-[ \\t]*\\n[ \\t]*[a-z]{2,}"))
-    return F.when(words >= MIN_WORDS, F.bround(breaks / words * 1000, 2))
+    breaks = F.when(F.contains(text, F.lit("\n")) & F.rlike(text, F.lit("-[ \\t]*\\n")), breaks).otherwise(F.lit(0))
+    return _with(F.regexp_count(text, F.lit("(?U)\\w+")), lambda words: F.when(words >= MIN_WORDS, F.bround(breaks / words * 1000, 2)))
 
 
 def date_consistency(text: Column) -> Column:
-    counts = [F.regexp_count(text, F.lit("(?U)" + f)) for f in DATE_FAMILIES]
-    total = reduce(lambda a, b: a + b, counts)
-    return F.when(total >= MIN_DATES, F.bround(F.greatest(*counts) / total * 100, 2))
+    counts = F.array(*[F.when(may(text), F.regexp_count(text, F.lit("(?U)" + f))).otherwise(F.lit(0)) for f, may in zip(DATE_FAMILIES, _MAY)])
+
+    def share(n):
+        total = F.aggregate(n, F.lit(0), lambda a, x: a + x)
+        return F.when(total >= MIN_DATES, F.bround(F.array_max(n) / total * 100, 2))
+
+    return F.when(text.isNotNull(), _with(counts, share))
 
 
 def text_signals(pages: DataFrame) -> DataFrame:
