@@ -71,23 +71,25 @@ def flags(chunks: DataFrame, min_tokens: int = 20, max_tokens: int | None = None
     shout = (F.upper(last) == last) & (F.lower(last) != last) & ~_ended(last) & (words <= 8)
     path = F.exists(F.map_values(metadata), lambda v: F.rlike(v, F.lit(ABSOLUTE_PATH))) if metadata else F.lit(False)
     sure = lambda rule: F.coalesce(rule, F.lit(False))
-    c = c.select(
-        *chunks.columns, F.col("__o.tokens").alias("tokens"), F.col("__o.characters").alias("characters"), F.when(F.col("__o.norm") != "", F.md5(F.col("__o.norm").cast("binary"))).alias("__key"),
-        sure((F.col("__o.own") != "") & ~_ended(F.col("__o.own"))).alias("__open"), sure(F.rlike(F.substring("__o.own", 1, 1), F.lit("\\p{Ll}"))).alias("__low"),
-        sure(_tabular(last)).alias("__to"), sure(_tabular(first)).alias("__from"),
-        sure((F.size("__o.lines") >= 2) & (F.startswith(last, F.lit("#")) | shout)).alias("__heading"), sure(path).alias("__path"),
-    )
+    told = {
+        "open": (F.col("__o.own") != "") & ~_ended(F.col("__o.own")), "low": F.rlike(F.substring("__o.own", 1, 1), F.lit("\\p{Ll}")), "to": _tabular(last), "from": _tabular(first),
+        "heading": (F.size("__o.lines") >= 2) & (F.startswith(last, F.lit("#")) | shout), "path": path,
+    }
+    # One string, which is asked for whole: so the search for equal chunks reads what the rules read, and texts are read once.
+    code = F.concat_ws(",", F.coalesce(F.when(F.col("__o.norm") != "", F.md5(F.col("__o.norm").cast("binary"))), F.lit("")), F.coalesce(F.col("__o.tokens").cast("string"), F.lit("")), F.coalesce(F.col("__o.characters").cast("string"), F.lit("")), *[sure(r).cast("int").cast("string") for r in told.values()])
+    c = c.select(*chunks.columns, code.alias("__code")).repartition("chunker", "document").withColumn("__part", F.split("__code", ","))
+    c = c.withColumns({"__key": F.coalesce(F.get("__part", F.lit(0)), F.lit("")), "__at": F.struct("document", "idx")})
+    # The first of equal chunks is found by a sum that is partial before the shuffle: a chunk that stands everywhere is one row.
+    # No filter on the key, which would go below the shuffle and make it another: blank chunks, of key '', are one row too.
+    firsts = c.groupBy("chunker", "__key").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     w = Window.partitionBy("chunker", "document").orderBy("idx")
-    c = c.withColumn("__next", F.lead(F.struct("__low", "__from")).over(w))
-    # Chunks that are the only ones of their text are most: the others' places are joined by a hash of it. The first of equal chunks
-    # is found by a sum that is partial before the shuffle: a chunk that stands everywhere is one row.
-    c = c.withColumn("__at", F.struct("document", "idx"))
-    firsts = c.where("__key is not null").groupBy("chunker", "__key").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    c = c.join(firsts, ["chunker", "__key"], "left")
+    number = lambda i, kind: F.nullif(F.get("__part", F.lit(i)), F.lit("")).cast(kind)
+    c = c.withColumns({"tokens": number(1, "long"), "characters": number(2, "int"), **{f"__{name}": F.get("__part", F.lit(3 + i)) == "1" for i, name in enumerate(told)}})
+    c = c.withColumn("__next", F.lead(F.struct("__low", "__from")).over(w)).join(firsts, ["chunker", "__key"], "left")
     rules = [
         (F.col("tokens") < min_tokens, "tiny"), (F.lit(False) if max_tokens is None else F.col("tokens") > max_tokens, "oversized"),
         (F.col("__open") & F.col("__next.__low"), "split_sentence"), (F.col("__to") & F.col("__next.__from"), "split_table"), (F.col("__heading"), "heading_at_end"),
-        (F.col("__at") != F.col("__first"), "duplicate"), (F.col("__path"), "path_metadata"),
+        ((F.col("__key") != "") & (F.col("__at") != F.col("__first")), "duplicate"), (F.col("__path"), "path_metadata"),
     ]
     found = F.array_compact(F.array(*[F.when(sure(rule), name) for rule, name in rules]))
     return c.withColumn("flags", found).select(*chunks.columns, "tokens", "characters", "flags")

@@ -59,3 +59,10 @@ def test_flags_send_no_texts_and_statistics_flag_once(spark):
     assert sent < 40 * 400 * 128 * 0.6  # repartition() sends the texts once, compressed
     plan = C.compare(flagged)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lead(") == 1
+
+
+def test_texts_are_read_once(spark):
+    df = spark.createDataFrame([("d", 1, "a b\nc d\na b")], "document string, page int, text string")
+    flagged = C.flags(C.by_paragraph(df).unionByName(C.by_words(df, 2, 1)), 20, 200).select("chunker", "document", "idx", "flags")
+    assert sorted((r.chunker, r.idx) for r in flagged.collect() if "duplicate" in r.flags) == [("paragraph", 2), ("words", 4)]
+    assert "ReusedExchange" in flagged._jdf.queryExecution().executedPlan().toString()
